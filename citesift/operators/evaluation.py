@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +43,9 @@ def candidates(queries: DataFrame, index: DataFrame, k: int, scorer: PairScorer)
 
     Queries without hits have no rows.
     """
-    hits = attach_passages(dense_topk(queries, index, k), index)
-    # Only the query's text rejoins the hits; its vector stays behind.
-    return rank_features(hits.join(queries.drop("embedding"), "query_id"), scorer)
+    hits = attach_passages(dense_topk(queries.select("query_id", "embedding"), index, k), index)
+    # The query's text rejoins the hits; its vector stays behind.
+    return rank_features(hits.join(scorer.prepare(queries.drop("embedding")), "query_id"), scorer)
 
 
 def evaluate_ranking(features: DataFrame, relevance: DataFrame, ranker: Ranker, k: int) -> DataFrame:
@@ -83,17 +84,18 @@ def build_report(
                 ),
             ).alias("per_query")
         )
-        ranking = _beside(ranking, listed)
+        ranking = _one_row(ranking, listed)
     else:
         ranking = ranking.withColumn("per_query", F.lit(None).cast(row_type))
-    report = _beside(
+    parts = [
         ranking.select(F.struct(*ranking.columns).alias("reranker")),
         routing.select(F.struct(*routing.columns).alias("intent")),
-    )
+    ]
+    if grounding is not None:
+        parts.append(grounding.select(F.struct(*grounding.columns).alias("grounding")))
+    report = _one_row(*parts)
     if grounding is None:
         report = report.withColumn("grounding", F.lit(None).cast(GROUNDING))
-    else:
-        report = _beside(report, grounding.select(F.struct(*grounding.columns).alias("grounding")))
     settings = F.struct(*[F.lit(v).alias(k) for k, v in vars(config).items()])
     return report.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("generated_at"),
@@ -104,7 +106,7 @@ def build_report(
     )
 
 
-def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Put two one-row tables next to each other."""
-    one = F.lit(1)
-    return left.withColumn("_row", one).join(right.withColumn("_row", one), "_row").drop("_row")
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Merge one-row tables with different columns into one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])

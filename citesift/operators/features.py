@@ -1,7 +1,8 @@
 """Ranking features of (query, candidate) rows: dense score, pair score, lexical overlap.
 
-A pair scorer is any object with ``score(candidates) -> DataFrame`` that adds ``pair_score`` to rows
-holding ``query_id, query, chunk_id, text``.
+A pair scorer has two methods: ``prepare(queries)`` adds what it needs to know of a query (computed
+once per query, before the join with its hits) and ``score(candidates)`` adds ``pair_score`` to rows
+holding ``query_id, query, text`` and the prepared columns.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ B = 0.75
 
 
 class PairScorer(Protocol):
+    def prepare(self, queries: DataFrame) -> DataFrame: ...
+
     def score(self, candidates: DataFrame) -> DataFrame: ...
 
 
@@ -56,20 +59,20 @@ class Bm25Scorer:
         row = size.first()
         return cls(frequency, row["n_chunks"], row["n_tokens"])
 
-    def query_weights(self, queries: DataFrame) -> DataFrame:
-        """``query_id, terms array<struct<token, idf>>`` of the tokens known to the corpus."""
+    def prepare(self, queries: DataFrame) -> DataFrame:
+        """Add ``terms array<struct<token, idf>>``: the query's tokens that the corpus knows."""
         tokens = queries.select("query_id", F.explode(token_set(F.col("query"))).alias("token"))
         n, df = F.lit(float(self.n_chunks)), F.col("df").cast("double")
         idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-        return (
+        terms = (
             tokens.join(self.frequency, "token")
             .withColumn("idf", idf)
             .groupBy("query_id")
             .agg(F.collect_list(F.struct("token", "idf")).alias("terms"))
         )
+        return queries.join(terms, "query_id", "left")
 
     def score(self, candidates: DataFrame) -> DataFrame:
-        queries = candidates.select("query_id", "query").distinct()
         average = self.n_tokens / self.n_chunks if self.n_chunks else 1.0
 
         def bm25(tokens: Column) -> Column:
@@ -88,8 +91,7 @@ class Bm25Scorer:
 
         best = F.max("_bm25").over(Window.partitionBy("query_id"))
         return (
-            candidates.join(self.query_weights(queries), "query_id", "left")
-            .withColumn("_bm25", F.coalesce(bind(token_list(F.col("text")), bm25), F.lit(0.0)))
+            candidates.withColumn("_bm25", F.coalesce(bind(token_list(F.col("text")), bm25), F.lit(0.0)))
             .withColumn("_best", best)
             .withColumn("pair_score", F.when(F.col("_best") > 0, F.col("_bm25") / F.col("_best")).otherwise(0.0))
             .drop("terms", "_bm25", "_best")
@@ -105,6 +107,9 @@ class BatchPairScorer:
     def __init__(self, factory: Callable[[], Callable]):
         self.factory = factory
 
+    def prepare(self, queries: DataFrame) -> DataFrame:
+        return queries
+
     def score(self, candidates: DataFrame) -> DataFrame:
         import pandas as pd
 

@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from citesift.functions.text import bind, words
 
 ANCHOR_WORDS = 5
+BROADCAST_PASSAGES = 500_000
 
 
 def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """Distinct ``query_id, doc_id`` where the document's words contain the query's words.
 
     Passages shorter than the anchor use their whole length; the few anchor lengths in use are
-    looked up first, so documents are only cut into runs that some passage needs.
+    looked up first, so documents are only cut into runs that some passage needs. Up to
+    ``BROADCAST_PASSAGES`` passages (two numbers each) the keys are broadcast and no document run is
+    shuffled; beyond that the join shuffles the runs, and AQE splits runs that many copies share.
     """
     passages = queries.select("query_id", words(F.col("query")).alias("w")).where(F.size("w") > 0)
     passages = passages.select(
@@ -29,9 +32,13 @@ def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = A
         _spaced(F.col("w")).alias("passage"),
         F.xxhash64(F.slice("w", 1, anchor)).alias("run"),
     )
-    lengths = sorted(r["length"] for r in passages.select("length").distinct().collect())
+    used = passages.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    lengths = sorted(r["length"] for r in used)
     if not lengths:
-        return queries.join(documents, F.lit(False)).select("query_id", "doc_id")
+        return queries.select("query_id", F.lit("").alias("doc_id")).where(F.lit(False))
+    keys = passages.select("query_id", "run")
+    if sum(r["n"] for r in used) <= BROADCAST_PASSAGES:
+        keys = F.broadcast(keys)
 
     def runs(w: Column) -> Column:
         def of_length(n: int) -> Column:
@@ -42,7 +49,7 @@ def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = A
         return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
 
     keyed = documents.select("doc_id", F.explode(bind(words(F.col("text")), runs)).alias("run"))
-    candidates = keyed.join(passages.select("query_id", "run"), "run").select("query_id", "doc_id").distinct()
+    candidates = keyed.join(keys, "run").select("query_id", "doc_id").distinct()
     return (
         candidates.join(documents.select("doc_id", "text"), "doc_id")
         .join(passages.select("query_id", "passage"), "query_id")

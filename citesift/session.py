@@ -42,3 +42,13 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     """Cut lineage through a Parquet table: a lost executor re-reads it, nothing is recomputed."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a table scan at least one partition per core.
+
+    A file with one row group is one task however many cores there are. Large inputs have more
+    splits than cores and pass unchanged, without a shuffle.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
