@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 # They decide which characters separate words and which form tokens.
 WHITESPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+WHITESPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 TOKEN = "[a-z0-9]+"
 ID_HEX_DIGITS = 12
 
@@ -23,7 +27,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def words(text: Column) -> Column:

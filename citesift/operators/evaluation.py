@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citesift.operators.features import PairScorer, label_candidates, rank_features
+from citesift.operators.features import PairScorer, label_candidates, rank_features, with_query_tokens
 from citesift.operators.metrics import compare_orders, ranking_summary
 from citesift.operators.rerank import Ranker, rerank
 from citesift.operators.topk import attach_passages, dense_topk
@@ -45,7 +45,8 @@ def candidates(queries: DataFrame, index: DataFrame, k: int, scorer: PairScorer)
     """
     hits = attach_passages(dense_topk(queries.select("query_id", "embedding"), index, k), index)
     # The query's text rejoins the hits; its vector stays behind.
-    return rank_features(hits.join(scorer.prepare(queries.drop("embedding")), "query_id"), scorer)
+    asked = scorer.prepare(with_query_tokens(queries.drop("embedding")))
+    return rank_features(hits.join(asked, "query_id"), scorer)
 
 
 def evaluate_ranking(features: DataFrame, relevance: DataFrame, ranker: Ranker, k: int) -> DataFrame:

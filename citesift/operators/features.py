@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesift.functions.text import bind, lexical_overlap, token_list, token_set
+from citesift.functions.text import bind, overlap_of_sets, token_list, token_set
 
 # The order in which a model sees the features.
 FEATURES = ("dense_cosine", "cross_encoder_score", "lexical_overlap")
@@ -60,41 +60,41 @@ class Bm25Scorer:
         return cls(frequency, row["n_chunks"], row["n_tokens"])
 
     def prepare(self, queries: DataFrame) -> DataFrame:
-        """Add ``terms array<struct<token, idf>>``: the query's tokens that the corpus knows."""
+        """Add ``terms`` and ``term_idf``: the query's tokens that the corpus knows, in step."""
         tokens = queries.select("query_id", F.explode(token_set(F.col("query"))).alias("token"))
         n, df = F.lit(float(self.n_chunks)), F.col("df").cast("double")
         idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-        terms = (
+        known = (
             tokens.join(self.frequency, "token")
-            .withColumn("idf", idf)
             .groupBy("query_id")
-            .agg(F.collect_list(F.struct("token", "idf")).alias("terms"))
+            .agg(F.collect_list(F.struct("token", idf.alias("idf"))).alias("known"))
+        )
+        terms = known.select(
+            "query_id", F.col("known.token").alias("terms"), F.col("known.idf").alias("term_idf")
         )
         return queries.join(terms, "query_id", "left")
 
     def score(self, candidates: DataFrame) -> DataFrame:
         average = self.n_tokens / self.n_chunks if self.n_chunks else 1.0
+        terms, idf = F.col("terms"), F.col("term_idf")
 
         def bm25(tokens: Column) -> Column:
             length = F.size(tokens).cast("double")
             damp = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(average))
-            matched = F.filter(tokens, lambda t: F.array_contains(F.col("terms.token"), t))
 
-            def add_term(total: Column, term: Column, found: Column) -> Column:
-                tf = F.size(F.filter(found, lambda t: t == term.token)).cast("double")
-                return total + term.idf * tf * F.lit(K1 + 1) / (tf + damp)
+            def add(total: Column, token: Column) -> Column:
+                tf = F.size(tokens) - F.size(F.array_remove(tokens, token))
+                weight = F.element_at(idf, F.array_position(terms, token).cast("int"))
+                return total + weight * F.lit(K1 + 1) / (F.lit(1.0) + damp / tf)
 
-            return bind(
-                matched,
-                lambda found: F.aggregate("terms", F.lit(0.0), lambda s, term: add_term(s, term, found)),
-            )
+            return F.aggregate(F.array_intersect(tokens, terms), F.lit(0.0), add)
 
         best = F.max("_bm25").over(Window.partitionBy("query_id"))
         return (
             candidates.withColumn("_bm25", F.coalesce(bind(token_list(F.col("text")), bm25), F.lit(0.0)))
             .withColumn("_best", best)
             .withColumn("pair_score", F.when(F.col("_best") > 0, F.col("_bm25") / F.col("_best")).otherwise(0.0))
-            .drop("terms", "_bm25", "_best")
+            .drop("terms", "term_idf", "_bm25", "_best")
         )
 
 
@@ -124,20 +124,25 @@ class BatchPairScorer:
         return candidates.withColumn("pair_score", run("query", "text"))
 
 
+def with_query_tokens(queries: DataFrame) -> DataFrame:
+    """Tokenise each query once, before it is joined with its hits."""
+    return queries.withColumn("query_tokens", token_set(F.col("query")))
+
+
 def rank_features(candidates: DataFrame, scorer: PairScorer) -> DataFrame:
-    """Add the three feature columns to ``query_id, query, chunk_id, text, score``.
+    """Add the three feature columns to ``query_id, query, query_tokens, chunk_id, text, score``.
 
     A missing input column is an error before anything runs.
     """
-    missing = {"query_id", "query", "text", "score"} - set(candidates.columns)
+    missing = {"query_id", "query", "query_tokens", "text", "score"} - set(candidates.columns)
     if missing:
         raise KeyError(f"candidates lack {sorted(missing)}")
     return (
         scorer.score(candidates)
         .withColumn("dense_cosine", F.col("score"))
         .withColumn("cross_encoder_score", F.col("pair_score"))
-        .withColumn("lexical_overlap", lexical_overlap(F.col("query"), F.col("text")))
-        .drop("pair_score")
+        .withColumn("lexical_overlap", overlap_of_sets(F.col("query_tokens"), token_list(F.col("text"))))
+        .drop("pair_score", "query_tokens")
     )
 
 

@@ -28,9 +28,11 @@ from citesift.operators.features import FEATURES
 from citesift.operators.metrics import mean_ndcg
 from citesift.operators.rerank import ModelRanker
 from citesift.operators.splits import VALIDATION_SHARE, prefix_split
+from citesift.session import pack_for_training
 
 TRIALS = 12
 METRIC_DEPTH = 5
+ROW_BYTES = 128
 
 # The search space of the boosted trees.
 STEP_SIZE = (0.01, 0.3)
@@ -145,20 +147,24 @@ def train_ranker(
         queries = rows.select("query_id", "seq").distinct()
         if queries.count() < 2:
             raise ValueError("training needs at least 2 labelled queries with candidates")
-        split = rows.join(prefix_split(queries, val_share).drop("seq", "position"), "query_id").persist()
+        marked = rows.join(prefix_split(queries, val_share).drop("seq", "position"), "query_id")
+        n_rows = rows.count()
+        split = pack_for_training(marked, n_rows, ROW_BYTES).persist()
         train, validation = split.where(~F.col("is_validation")), split.where("is_validation")
 
         def run(config: RankerConfig) -> float:
             return validation_ndcg(fit_ranker(train, config), validation, k)
 
+        in_session = inheritable_thread_target(examples.sparkSession)
         with ThreadPoolExecutor(parallelism) as pool:
-            futures = [pool.submit(inheritable_thread_target(run), c) for c in configs]
+            futures = [pool.submit(in_session(run), c) for c in configs]
             scores = [f.result() for f in futures]
         usable = [(s, -i) for i, s in enumerate(scores) if not math.isnan(s)]
         if not usable:
             raise RuntimeError("no ranker trial succeeded")
         score, best = max(usable)
         split.unpersist()
-        return RankerTraining(fit_ranker(rows, configs[-best]), configs[-best], score)
+        packed = pack_for_training(rows, n_rows, ROW_BYTES)
+        return RankerTraining(fit_ranker(packed, configs[-best]), configs[-best], score)
     finally:
         rows.unpersist()

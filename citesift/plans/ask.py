@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from citesift.operators.grounding import with_passages
 from citesift.operators.guardrail import admitted, refused
 from citesift.operators.rerank import Ranker, rerank
 from citesift.operators.routing import OUT_OF_SCOPE, Router
+from citesift.session import work_dir, write_and_read
 
 RETRIEVE_TOP_K = 50
 RERANK_TOP_K = 5
@@ -48,9 +50,11 @@ class Assistant:
         """``query_id, intent, confidence, answer, sources`` for ``query_id, query``.
 
         Only admitted queries are searched. One that finds nothing is still answered, from an
-        empty list of passages.
+        empty list of passages. The routed queries are written once: search, features, prompts and
+        refusals all read them, and none of these encodes or routes again.
         """
-        routed = self.route(queries)
+        place = f"{work_dir(queries.sparkSession)}/asked/{uuid.uuid4().hex}"
+        routed = write_and_read(self.route(queries), place)
         kept = admitted(routed, self.refuse).select("query_id", "query", "embedding", "intent", "confidence")
         features = candidates(kept.select("query_id", "query", "embedding"), self.index, self.retrieve_top_k, self.scorer)
         ranked = rerank(features, self.ranker, self.rerank_top_k)

@@ -303,7 +303,7 @@ FROM routed r LEFT JOIN passages p USING (query_id)"""
 
 ROLLUP = """
 SELECT strftime(day, '%Y-%m-%d') AS day, intent, n, round(refusal_rate, 6) AS refusal_rate,
-       round(p50, 6) AS p50, round(p95, 6) AS p95, round(mean, 6) AS mean
+       round(p50, 6) AS p50, round(p95, 6) AS p95, round(mean, 9) AS mean
 FROM (
   SELECT date_trunc('day', ts) AS day, event_type AS intent, count(*) AS n,
          avg((event_type = 'error')::int::double) AS refusal_rate,
@@ -563,7 +563,7 @@ SELECT event_id, json_object(
 FROM events""",
     "latency_summary": f"""
 SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50,
-       round(quantile_cont(value, 0.95), 6) AS p95, {r6("avg(value)", "mean")}
+       round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 9) AS mean
 FROM events GROUP BY event_type""",
     "event_rollup": ROLLUP,
     "ask_batch": sql(*ASK, select=ASK_SELECT),

@@ -52,6 +52,8 @@ from citesift.streaming.rollup import latency_counts, rollup, stream_latency_cou
 
 KNN = 10
 DIGITS = 6
+# Means of two-decimal values over few rows often end exactly on the half of the sixth digit.
+MEAN_DIGITS = 9
 REFUSED_LANGUAGE = "es"
 DECLARED_ROLES = ["assistant", "tool", "user"]
 FOLDS = 3
@@ -440,7 +442,7 @@ def guardrail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def route_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.labelled_documents(spark, sf_dir)
-    trained = train_router(rows, trials=3)
+    trained = train_router(rows, trials=2)
     return LogisticRouter(trained.model).route(rows.select("query_id", "embedding")).select(
         "query_id", "intent", rounded("confidence")
     )
@@ -630,7 +632,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_summary_(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = T.table(spark, sf_dir, "events").select("event_type", F.col("value").alias("latency_ms"))
     found = latency_summary(events, ["event_type"])
-    return found.select("event_type", "n", rounded("p50"), rounded("p95"), rounded("mean"))
+    return found.select("event_type", "n", rounded("p50"), rounded("p95"), F.round("mean", MEAN_DIGITS).alias("mean"))
 
 
 def _rollup_columns(found: DataFrame) -> DataFrame:
@@ -641,7 +643,7 @@ def _rollup_columns(found: DataFrame) -> DataFrame:
         rounded("refusal_rate"),
         rounded("p50"),
         rounded("p95"),
-        rounded("mean"),
+        F.round("mean", MEAN_DIGITS).alias("mean"),
     )
 
 

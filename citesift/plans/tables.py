@@ -68,7 +68,8 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries put by users: every user turn of the conversations, whole."""
-    return user_turns(table(spark, sf_dir, "conversations"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return user_turns(spread(turns))
 
 
 def user_turns(turns: DataFrame) -> DataFrame:

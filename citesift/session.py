@@ -52,3 +52,12 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
+def pack_for_training(rows: DataFrame, n_rows: int, row_bytes: int, split_bytes: int = 16 << 20) -> DataFrame:
+    """As many partitions as the training data needs, and not more.
+
+    Iterative fits start one task per partition and iteration, so small training sets belong in few
+    partitions; large ones keep all they have.
+    """
+    return rows.coalesce(max(1, -(-n_rows * row_bytes // split_bytes)))
