@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -60,8 +61,6 @@ class BatchEncoder:
         self.factory, self.dim, self.batch_rows, self.partitions = factory, dim, batch_rows, partitions
 
     def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
-        import pandas as pd
-
         factory, dim, step = self.factory, self.dim, self.batch_rows
 
         @F.pandas_udf("array<float>")

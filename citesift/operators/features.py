@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +112,6 @@ class BatchPairScorer:
         return queries
 
     def score(self, candidates: DataFrame) -> DataFrame:
-        import pandas as pd
-
         factory = self.factory
 
         @F.pandas_udf("double")

@@ -29,13 +29,14 @@ def work_dir(spark: SparkSession) -> str:
     none gets a temporary folder; on a cluster that is an error, because a folder on one machine
     would be lost with it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="citesift-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/citesift/{spark.sparkContext.applicationId}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="citesift-"))
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/citesift/{context.applicationId}"
 
 
 def write_and_read(df: DataFrame, path: str) -> DataFrame:
