@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesift.functions.citations import id_survives_citation
@@ -46,13 +46,22 @@ def index_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def check_index_facts(facts: dict[str, int], n_rows: int) -> None:
+    if facts["n_chunks"] != n_rows:
+        raise ValueError(f"the index holds {n_rows} chunks, but {facts['n_chunks']} were saved")
+    if facts["n_chunks"] != facts["n_vectors"]:
+        raise ValueError(f"{facts['n_chunks']} chunks but {facts['n_vectors']} vectors")
+    if facts["min_dim"] != facts["max_dim"]:
+        raise ValueError(f"vectors of {facts['min_dim']} to {facts['max_dim']} dimensions in one index")
+
+
 def check_index(index: DataFrame) -> None:
-    """Every chunk has one vector, all vectors have one dimension, ids are unique."""
-    s = index_stats(index).first()
-    if s["n_chunks"] != s["n_vectors"]:
-        raise ValueError(f"{s['n_chunks']} chunks but {s['n_vectors']} vectors")
-    if s["min_dim"] != s["max_dim"]:
-        raise ValueError(f"vectors of {s['min_dim']} to {s['max_dim']} dimensions in one index")
+    """Every chunk has one vector, all vectors have one dimension, ids are unique.
+
+    The full check, for once after a build: it reads every vector and shuffles every id.
+    """
+    facts = index_stats(index).first().asDict()
+    check_index_facts(facts, facts["n_chunks"])
     twice = repeated_chunk_ids(index).take(3)
     if twice:
         raise ValueError(f"repeated chunk ids: {[r.chunk_id for r in twice]}")
@@ -79,13 +88,13 @@ def dangling_references(referenced: DataFrame, corpus: DataFrame, key: str = "do
     return referenced.select(key).distinct().join(corpus.select(key), key, "left_anti")
 
 
-def shared_texts(train: DataFrame, test: DataFrame, text: str = "query") -> DataFrame:
-    """Texts on both sides of a split, as digests: whole texts are never shuffled."""
+def text_digest(text: str) -> Column:
+    return F.sha2(F.col(text), 256).alias("text_digest")
 
-    def digests(df: DataFrame) -> DataFrame:
-        return df.select(F.sha2(text, 256).alias("text_digest"))
 
-    return digests(train).intersect(digests(test))
+def shared_texts(train: DataFrame, test: DataFrame, text: str = "query") -> DataFrame:
+    """Texts on both sides of a split, as digests: whole texts are never shuffled."""
+    return train.select(text_digest(text)).intersect(test.select(text_digest(text)))
 
 
 def vocabulary_drift(labels: DataFrame, declared: list[str]) -> DataFrame:

@@ -38,12 +38,20 @@ class RunConfig:
     intents_path: str
 
 
-def candidates(queries: DataFrame, index: DataFrame, k: int, scorer: PairScorer) -> DataFrame:
+def candidates(
+    queries: DataFrame,
+    index: DataFrame,
+    k: int,
+    scorer: PairScorer,
+    pilot_fraction: float | None = None,
+) -> DataFrame:
     """Retrieved, featurised candidates of every query. ``queries``: ``query_id, query, embedding``.
 
     Queries without hits have no rows.
     """
-    hits = attach_passages(dense_topk(queries.select("query_id", "embedding"), index, k), index)
+    vectors = queries.select("query_id", "embedding")
+    found = dense_topk(vectors, index, k, pilot_fraction=pilot_fraction)
+    hits = attach_passages(found, index, max_hits=queries.count() * k)
     # The query's text rejoins the hits; its vector stays behind.
     asked = scorer.prepare(with_query_tokens(queries.drop("embedding")))
     return rank_features(hits.join(asked, "query_id"), scorer)

@@ -8,13 +8,17 @@ compared in full.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesift.functions.text import bind, words
+from citesift.session import work_dir, write_and_read
 
 ANCHOR_WORDS = 5
 BROADCAST_PASSAGES = 500_000
+BROADCAST_CANDIDATES = 500_000
 
 
 def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = ANCHOR_WORDS) -> DataFrame:
@@ -24,6 +28,7 @@ def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = A
     looked up first, so documents are only cut into runs that some passage needs. Up to
     ``BROADCAST_PASSAGES`` passages (two numbers each) the keys are broadcast and no document run is
     shuffled; beyond that the join shuffles the runs, and AQE splits runs that many copies share.
+    The candidates are written and counted: few are sent to the documents, many are joined by id.
     """
     passages = queries.select("query_id", words(F.col("query")).alias("w")).where(F.size("w") > 0)
     passages = passages.select(
@@ -50,8 +55,13 @@ def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = A
 
     keyed = documents.select("doc_id", F.explode(bind(words(F.col("text")), runs)).alias("run"))
     candidates = keyed.join(keys, "run").select("query_id", "doc_id").distinct()
+    place = f"{work_dir(queries.sparkSession)}/anchored/{uuid.uuid4().hex}"
+    candidates = write_and_read(candidates, place)
+    if candidates.count() <= BROADCAST_CANDIDATES:
+        candidates = F.broadcast(candidates)
     return (
-        candidates.join(documents.select("doc_id", "text"), "doc_id")
+        documents.select("doc_id", "text")
+        .join(candidates, "doc_id")
         .join(passages.select("query_id", "passage"), "query_id")
         .where(F.contains(_spaced(words(F.col("text"))), F.col("passage")))
         .select("query_id", "doc_id")

@@ -9,9 +9,10 @@ one matrix product; what leaves the task is at most k hits per query. Two ways l
   cogrouped. The work is that of the exact search itself; each task holds two blocks.
 
 The local hits are then ranked by a window, for which Spark keeps only the k best rows per query
-before the shuffle (WindowGroupLimit). On a very large index ``pilot_fraction`` first searches a
-sample: its k-th score per query is a lower bound on the true one, so the full pass can leave out
-everything below it. The result stays exact.
+before the shuffle (WindowGroupLimit). Every task may send k hits per query, so on an index of many
+thousand splits ``pilot_fraction`` first searches a sample with one task per core: the sample's
+k-th score per query is a lower bound on the true one, and the full pass sends nothing below it.
+The result stays exact; only the number of hits sent changes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from citesift.functions.text import path_order
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_HITS = 200_000
 QUERY_BLOCK = 2_048
 CHUNK_BLOCK = 16_384
 
@@ -53,7 +55,8 @@ def dense_topk(
         "chunk_id", "doc_id", path_order(F.col("doc_id")).alias("path_order"), "chunk_index", "embedding"
     )
     if pilot_fraction:
-        sample = index.sample(fraction=pilot_fraction, seed=7)
+        cores = index.sparkSession.sparkContext.defaultParallelism
+        sample = index.sample(fraction=pilot_fraction, seed=7).coalesce(cores)
         pilot = _local_hits(queries, sample, k, broadcast_bytes, query_block, chunk_block)
         floors = (
             _best(pilot, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
@@ -63,9 +66,17 @@ def dense_topk(
     return _best(hits, k).select("query_id", "rank", "score", "chunk_id", "doc_id", "chunk_index")
 
 
-def attach_passages(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Fetch source and text for the hits only: the search itself carries ids and scores."""
-    return hits.join(index.select("chunk_id", "source", "text"), "chunk_id")
+def attach_passages(hits: DataFrame, index: DataFrame, max_hits: int | None = None) -> DataFrame:
+    """Fetch source and text for the hits only: the search itself carries ids and scores.
+
+    ``max_hits`` is a proven bound on the rows of ``hits`` (queries times k). Up to
+    ``BROADCAST_HITS`` the hits go to the index, whose text is then never shuffled; beyond that it
+    is a shuffle join, where Spark's runtime Bloom filter drops chunks that nobody hit.
+    """
+    texts = index.select("chunk_id", "source", "text")
+    if max_hits is not None and max_hits <= BROADCAST_HITS:
+        return texts.join(F.broadcast(hits), "chunk_id")
+    return hits.join(texts, "chunk_id")
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -184,7 +195,7 @@ def _block_search(k: int):
                         found = ids.iloc[col[good]].assign(q=lo + row[good], score=value[good])
                         parts.append(found)
                         rows += len(found)
-                if rows > max(buffer_rows, 4 * k * len(q)):
+                if rows > max(buffer_rows, 2 * k * len(q)):
                     parts = [keep_best(parts)]
                     rows = len(parts[0])
         if parts:

@@ -38,6 +38,7 @@ class Assistant:
     retrieve_top_k: int = RETRIEVE_TOP_K
     rerank_top_k: int = RERANK_TOP_K
     refuse: str = OUT_OF_SCOPE
+    pilot_fraction: float | None = None
 
     def __post_init__(self) -> None:
         check_depths(self.retrieve_top_k, self.rerank_top_k)
@@ -56,7 +57,13 @@ class Assistant:
         place = f"{work_dir(queries.sparkSession)}/asked/{uuid.uuid4().hex}"
         routed = write_and_read(self.route(queries), place)
         kept = admitted(routed, self.refuse).select("query_id", "query", "embedding", "intent", "confidence")
-        features = candidates(kept.select("query_id", "query", "embedding"), self.index, self.retrieve_top_k, self.scorer)
+        features = candidates(
+            kept.select("query_id", "query", "embedding"),
+            self.index,
+            self.retrieve_top_k,
+            self.scorer,
+            self.pilot_fraction,
+        )
         ranked = rerank(features, self.ranker, self.rerank_top_k)
         answered = self.generator.answer(with_passages(kept.drop("embedding"), ranked)).select(
             "query_id", "intent", "confidence", "answer", source_list(F.col("passages")).alias("sources")

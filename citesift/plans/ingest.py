@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citesift.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
+from citesift.operators.contracts import check_index
 from citesift.operators.embedding import Encoder, embed_chunks
 from citesift.operators.features import corpus_stats
 from citesift.session import write_and_read
@@ -21,13 +22,15 @@ def index_documents(
     overlap: int = CHUNK_OVERLAP,
     events_path: str | None = None,
 ) -> DataFrame:
-    """Chunk, embed, save and reopen (with its checks). Ids are deterministic, so re-runs are safe.
+    """Chunk, embed, save and reopen. Ids are deterministic, so re-runs are safe.
 
-    Scan to write is one pass without a shuffle.
+    Scan to write is one pass without a shuffle; the full contract is checked once, on what was
+    written.
     """
     chunks = chunk_documents(documents, size, overlap)
     write_index(embed_chunks(chunks, encoder), index_path)
     index = read_index(documents.sparkSession, index_path)
+    check_index(index)
     if events_path:
         log_event(
             documents.sparkSession,

@@ -367,10 +367,16 @@ SELECT count(*) AS n_chunks, count(*) AS n_vectors, 256::bigint AS min_dim, 256:
     ),
     "dense_topk": sql(*SEARCH, select=f"SELECT query_id, rank, chunk_id, {r6('score')} FROM hits"),
     "dense_topk_vectors": f"""
-WITH pairs AS (
-  SELECT a.vec_id::varchar AS query_id, b.vec_id::varchar AS chunk_id,
-         list_dot_product(a.embedding::double[], b.embedding::double[])::float::double AS score
-  FROM embeddings a CROSS JOIN embeddings b
+WITH entries AS (
+  SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::double AS x FROM embeddings
+),
+means AS (
+  SELECT label, i, sum(x) / count(*) AS mean FROM entries GROUP BY ALL
+),
+pairs AS (
+  SELECT m.label::varchar AS query_id, e.vec_id::varchar AS chunk_id,
+         sum(e.x * m.mean::float::double)::float::double AS score
+  FROM entries e JOIN means m USING (i) GROUP BY ALL
 )
 SELECT query_id, rank, chunk_id, {r6("score")} FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pairs

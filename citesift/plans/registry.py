@@ -184,19 +184,23 @@ def dense_topk_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(dense_topk(T.embedded_queries(spark, sf_dir), T.index(spark, sf_dir), RETRIEVE_TOP_K))
 
 
+def _class_means(rows: DataFrame, label: str) -> DataFrame:
+    mean = Summarizer.mean(array_to_vector("embedding"))
+    return rows.groupBy(label).agg(vector_to_array(mean, "float32").alias("embedding"))
+
+
 @query
 def dense_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = T.vectors(spark, sf_dir)
-    return _hits(dense_topk(vectors.withColumnRenamed("chunk_id", "query_id"), vectors, KNN))
+    """The given vectors nearest to the mean of each of their labels."""
+    means = _class_means(T.table(spark, sf_dir, "embeddings"), "label")
+    return _hits(dense_topk(means.withColumnRenamed("label", "query_id"), T.vectors(spark, sf_dir), KNN))
 
 
 @query
 def dense_topk_k_gt_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the mean vector of each language: fewer entries than k."""
     documents = T.labelled_documents(spark, sf_dir)
-    means = documents.groupBy("intent").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("embedding")), "float32").alias("embedding")
-    )
+    means = _class_means(documents, "intent")
     index = means.select(
         F.col("intent").alias("chunk_id"), F.col("intent").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding"
     )
@@ -498,10 +502,10 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    split = splits.stratified_holdout(rows, "lang", "doc_id")
+    rows = T.table(spark, sf_dir, "documents").select("doc_id", "lang", contracts.text_digest("text"))
+    split = splits.stratified_holdout(rows, "lang", "doc_id").select("is_test", "text_digest")
     train, test = split.where(~F.col("is_test")), split.where("is_test")
-    return contracts.shared_texts(train, test, "text")
+    return train.select("text_digest").intersect(test.select("text_digest"))
 
 
 @query
@@ -714,7 +718,10 @@ def stream_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = _stream_folder(spark, "index")
     incoming = documents_from_table(_stream_of(spark, sf_dir, "documents"))
-    stream_index(incoming, T.ENCODER, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    stream_index(
+        incoming, T.ENCODER, f"{folder}/out", f"{folder}/checkpoint", partitions=cores
+    ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(
         "chunk_id", "doc_id", count_of("chunk_index", "chunk_index"), count_of(F.size("embedding"), "dim")
     )

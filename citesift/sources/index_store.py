@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citesift.operators.contracts import check_index_facts
+
 INDEX_SCHEMA = T.StructType(
     [
         T.StructField("chunk_id", T.StringType()),
@@ -18,16 +21,29 @@ INDEX_SCHEMA = T.StructType(
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    index.select(INDEX_SCHEMA.names).write.mode("overwrite").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
-    """Open a saved index; ``checked`` verifies vectors and ids before anything is searched."""
-    from citesift.operators.contracts import check_index
-
+    """Save the index and, next to it, what was saved: counts and dimensions, observed by the write."""
+    dim = F.size("embedding")
+    seen = Observation()
+    observed = index.select(INDEX_SCHEMA.names).observe(
+        seen,
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.count("embedding").alias("n_vectors"),
+        F.coalesce(F.min(dim), F.lit(0)).cast("bigint").alias("min_dim"),
+        F.coalesce(F.max(dim), F.lit(0)).cast("bigint").alias("max_dim"),
+    )
+    observed.write.mode("overwrite").parquet(path)
+    facts = index.sparkSession.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in seen.get.items()])
+    facts.write.mode("overwrite").json(f"{path}.facts")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Open a saved index. It must hold what was written, with one vector of one size per chunk.
+
+    Only the row count is taken again, from file footers; no vector is read.
+    """
     index = spark.read.schema(INDEX_SCHEMA).parquet(path)
-    if checked:
-        check_index(index)
+    facts = spark.read.schema("n_chunks long, n_vectors long, min_dim long, max_dim long").json(f"{path}.facts")
+    check_index_facts(facts.first().asDict(), index.count())
     return index
 
 

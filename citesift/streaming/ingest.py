@@ -17,8 +17,14 @@ def stream_index(
     checkpoint: str,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
+    partitions: int = 0,
 ) -> StreamingQuery:
-    """Append every new document's chunks; the file sink commits each batch exactly once."""
+    """Append every new document's chunks; the file sink commits each batch exactly once.
+
+    ``partitions`` spreads a source of few, large splits before the encoding.
+    """
+    if partitions:
+        documents = documents.repartition(partitions)
     index = encoder.encode(chunk_documents(documents, size, overlap)).select(INDEX_SCHEMA.names)
     return (
         index.writeStream.format("parquet")

@@ -87,20 +87,36 @@ def index_rows(rows, entries):
                 "chunk_id string, doc_id string, source string, chunk_index int, text string, embedding array<float>")
 
 
-@pytest.mark.parametrize(
-    "entries",
-    [
-        [("a", [1.0]), ("b", None)],
-        [("a", [1.0]), ("b", [1.0, 0.0])],
-        [("a", [1.0]), ("a", [0.0])],
-    ],
-)
-def test_broken_indexes_are_refused_on_load(spark, rows, tmp_path, entries):
-    write_index(index_rows(rows, entries), str(tmp_path / "i"))
+BROKEN = {
+    "vector missing": [("a", [1.0]), ("b", None)],
+    "two dimensions": [("a", [1.0]), ("b", [1.0, 0.0])],
+    "id twice": [("a", [1.0]), ("a", [0.0])],
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_full_index_check(rows, name):
+    with pytest.raises(ValueError):
+        check_index(index_rows(rows, BROKEN[name]))
+
+
+@pytest.mark.parametrize("name", ["vector missing", "two dimensions"])
+def test_broken_indexes_are_refused_on_load(spark, rows, tmp_path, name):
+    write_index(index_rows(rows, BROKEN[name]), str(tmp_path / "i"))
     with pytest.raises(ValueError):
         read_index(spark, str(tmp_path / "i"))
 
 
+def test_an_index_with_rows_added_or_lost_is_refused(spark, rows, tmp_path):
+    path = str(tmp_path / "i")
+    index = index_rows(rows, [("a", [1.0]), ("b", [0.0])])
+    write_index(index, path)
+    assert read_index(spark, path).count() == 2
+    index.limit(1).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="were saved"):
+        read_index(spark, path)
+
+
 def test_alignment(rows):
     chunks = rows([("a", "x"), ("b", "y")], "chunk_id string, text string")
     vectors = rows([("b", [2.0]), ("a", [1.0])], "chunk_id string, embedding array<float>")

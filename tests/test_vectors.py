@@ -157,3 +157,12 @@ def test_only_k_rows_per_query_reach_the_shuffle(rows):
     plan = dense_topk(ask(rows, [1.0, 0.0, 0.0]), axes(rows), 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_passages_are_fetched_the_same_both_ways(rows):
+    index = axes(rows)
+    hits = dense_topk(ask(rows, [0.2, 0.9, 0.1]), index, 2)
+    small, large = (attach_passages(hits, index, n) for n in (2, 10**9))
+    columns = sorted(large.columns)
+    assert sorted(small.select(columns).collect()) == sorted(large.select(columns).collect())
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
