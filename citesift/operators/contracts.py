@@ -56,12 +56,14 @@ def check_index_facts(facts: dict[str, int], n_rows: int) -> None:
 
 
 def check_index(index: DataFrame) -> None:
-    """Every chunk has one vector, all vectors have one dimension, ids are unique.
-
-    The full check, for once after a build: it reads every vector and shuffles every id.
-    """
+    """Every chunk has one vector, all vectors have one dimension, ids are unique."""
     facts = index_stats(index).first().asDict()
     check_index_facts(facts, facts["n_chunks"])
+    check_unique_ids(index)
+
+
+def check_unique_ids(index: DataFrame) -> None:
+    """For once after a build: it shuffles every id."""
     twice = repeated_chunk_ids(index).take(3)
     if twice:
         raise ValueError(f"repeated chunk ids: {[r.chunk_id for r in twice]}")

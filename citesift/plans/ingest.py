@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citesift.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
-from citesift.operators.contracts import check_index
+from citesift.operators.contracts import check_unique_ids
 from citesift.operators.embedding import Encoder, embed_chunks
 from citesift.operators.features import corpus_stats
 from citesift.session import write_and_read
@@ -30,7 +30,7 @@ def index_documents(
     chunks = chunk_documents(documents, size, overlap)
     write_index(embed_chunks(chunks, encoder), index_path)
     index = read_index(documents.sparkSession, index_path)
-    check_index(index)
+    check_unique_ids(index)
     if events_path:
         log_event(
             documents.sparkSession,

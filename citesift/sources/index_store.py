@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from citesift.operators.contracts import check_index_facts
+from citesift.operators.contracts import check_index_facts, index_stats
 
 INDEX_SCHEMA = T.StructType(
     [
@@ -21,19 +20,10 @@ INDEX_SCHEMA = T.StructType(
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Save the index and, next to it, what was saved: counts and dimensions, observed by the write."""
-    dim = F.size("embedding")
-    seen = Observation()
-    observed = index.select(INDEX_SCHEMA.names).observe(
-        seen,
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.count("embedding").alias("n_vectors"),
-        F.coalesce(F.min(dim), F.lit(0)).cast("bigint").alias("min_dim"),
-        F.coalesce(F.max(dim), F.lit(0)).cast("bigint").alias("max_dim"),
-    )
-    observed.write.mode("overwrite").parquet(path)
-    facts = index.sparkSession.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in seen.get.items()])
-    facts.write.mode("overwrite").json(f"{path}.facts")
+    """Save the index and, next to it, the facts about what was saved: counts and dimensions."""
+    index.select(INDEX_SCHEMA.names).write.mode("overwrite").parquet(path)
+    saved = index.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
+    index_stats(saved).coalesce(1).write.mode("overwrite").json(f"{path}.facts")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

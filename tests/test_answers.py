@@ -94,10 +94,10 @@ def test_instruction_teaches_ids_that_are_read_back(spark):
 
 def test_text_blocks(spark):
     blocks = F.from_json(
-        F.lit('[{"type":"text","text":"Ray "},{"type":"tool_use"},{"type":"text","text":"Serve"}]'),
+        F.lit('[{"type":"text","text":"Green "},{"type":"tool_use"},{"type":"text","text":"tea"}]'),
         "array<struct<type:string,text:string>>",
     )
-    assert spark.range(1).select(P.join_text_blocks(blocks)).first()[0] == "Ray Serve"
+    assert spark.range(1).select(P.join_text_blocks(blocks)).first()[0] == "Green tea"
 
 
 def test_sources_expose_id_and_source_only(rows):

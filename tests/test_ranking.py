@@ -132,8 +132,8 @@ def test_rerank_cut_and_empty(rows):
 
 def candidate_rows(rows):
     data = [
-        ("q", "Ray Serve", "a", "d0", "ray serve composes models", 0.9),
-        ("q", "Ray Serve", "b", "d1", "unrelated text", 0.1),
+        ("q", "Green Tea", "a", "d0", "green tea needs water", 0.9),
+        ("q", "Green Tea", "b", "d1", "unrelated text", 0.1),
     ]
     df = rows(data, "query_id string, query string, chunk_id string, doc_id string, text string, score double")
     return with_query_tokens(df)
@@ -141,7 +141,7 @@ def candidate_rows(rows):
 
 def test_features_keep_their_columns_apart(rows):
     def factory():
-        return lambda pairs: [0.7 if "serve" in text else 0.2 for _, text in pairs]
+        return lambda pairs: [0.7 if "tea" in text else 0.2 for _, text in pairs]
 
     found = rank_features(candidate_rows(rows), BatchPairScorer(factory)).orderBy("chunk_id").collect()
     values = [(r.dense_cosine, r.cross_encoder_score, r.lexical_overlap) for r in found]

@@ -108,7 +108,7 @@ def test_ids_that_citations_cannot_carry_are_found(rows):
 
 def test_tokens_and_overlap(rows):
     df = rows(
-        [("Ray Serve graph", "ray serve composes models"), ("", "x"), ("!!!", "x"), ("a a b", "B c")],
+        [("Green Tea graph", "green tea needs water"), ("", "x"), ("!!!", "x"), ("a a b", "B c")],
         "q string, t string",
     )
     found = [r.o for r in df.select(X.lexical_overlap(F.col("q"), F.col("t")).alias("o")).collect()]
