@@ -135,7 +135,7 @@ def _local_hits(
 
 def _block_search(k: int):
     """Task-side helper: stream chunk batches past one block of queries, keep k hits per query."""
-    chunk_rows, query_rows, buffer_rows = 2_048, 1_024, 500_000
+    chunk_rows, query_rows, buffer_rows, tracked_scores = 2_048, 1_024, 500_000, 16_000_000
 
     def search(batches, query_block):
         import numpy as np
@@ -154,16 +154,26 @@ def _block_search(k: int):
         if not len(query_ids):
             return
 
+        # The k best scores so far of each query; the lowest of them is what a later chunk must reach.
+        # Not kept for a k so large that the table would weigh more than the hits it saves.
+        tracked = len(q) * k <= tracked_scores
+        best = np.full((len(q), k if tracked else 0), -np.inf, dtype=np.float32)
+
+        def raise_floor(lo, scores):
+            if not tracked:
+                return
+            hi = lo + len(scores)
+            merged = np.concatenate([best[lo:hi], scores], axis=1)
+            best[lo:hi] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+            floor[lo:hi] = np.maximum(floor[lo:hi], best[lo:hi].min(axis=1))
+
         def keep_best(parts):
             hits = pd.concat(parts, ignore_index=True)
+            hits = hits[hits.score.to_numpy() >= floor[hits.q.to_numpy()]]
             hits = hits.sort_values(
                 ["q", "score", "path_order", "chunk_index"], ascending=[True, False, True, True]
             )
-            hits = hits.groupby("q", sort=False).head(k)
-            full = hits.groupby("q").score.agg(["size", "min"])
-            full = full[full["size"] == k]
-            floor[full.index.to_numpy()] = np.maximum(floor[full.index.to_numpy()], full["min"].to_numpy())
-            return hits
+            return hits.groupby("q", sort=False).head(k)
 
         parts, rows = [], 0
         for batch in batches:
@@ -188,6 +198,7 @@ def _block_search(k: int):
                     else:
                         col = np.broadcast_to(np.arange(n), keys.shape)
                     row = np.repeat(np.arange(len(scores)), col.shape[1])
+                    raise_floor(lo, np.take_along_axis(scores, col, axis=1))
                     col = col.reshape(-1)
                     value = scores[row, col].astype(np.float64)
                     good = value >= floor[lo + row]

@@ -16,6 +16,7 @@ from citesift.operators.routing import TRIALS as ROUTER_TRIALS
 from citesift.operators.routing import RouterTraining, train_router
 from citesift.plans.ask import RETRIEVE_TOP_K
 from citesift.plans.ingest import build_corpus_index, saved_stats
+from citesift.session import work_dir, write_and_read
 from citesift.sources.eventlog import log_event
 from citesift.sources.index_store import read_index
 from citesift.sources.labels import INTENT, RELEVANCE, read_jsonl, relevance_pairs, with_file_order
@@ -68,6 +69,8 @@ def train_models(
     _, relevance, features = labelled_candidates(
         spark, paths.relevance_train, index, encoder, scorer, retrieve_top_k
     )
+    # The trials read the candidates many times; written, they are searched only once.
+    features = write_and_read(features, f"{work_dir(spark)}/train-features")
     ranker = train_ranker(ranking_examples(features, relevance), ranker_trials)
     save_model(ranker.model, paths.ranker)
 
