@@ -115,13 +115,17 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their language as the class to route by, and their vectors."""
-    scan = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    rows = scan.select(
-        F.col("doc_id").cast("string").alias("query_id"),
-        F.col("lang").alias("intent"),
-        F.col("text").alias("query"),
-    )
-    return ENCODER.encode(rows, "query").drop("query")
+
+    def build() -> DataFrame:
+        scan = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+        rows = scan.select(
+            F.col("doc_id").cast("string").alias("query_id"),
+            F.col("lang").alias("intent"),
+            F.col("text").alias("query"),
+        )
+        return ENCODER.encode(rows, "query").drop("query")
+
+    return written(spark, sf_dir, "labelled_documents", build)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
