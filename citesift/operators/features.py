@@ -2,7 +2,7 @@
 
 A pair scorer has two methods: ``prepare(queries)`` adds what it needs to know of a query (computed
 once per query, before the join with its hits) and ``score(candidates)`` adds ``pair_score`` to rows
-holding ``query_id, query, text`` and the prepared columns.
+holding ``query_id, query, text, text_tokens`` and the prepared columns.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ class Bm25Scorer:
 
         best = F.max("_bm25").over(Window.partitionBy("query_id"))
         return (
-            candidates.withColumn("_bm25", F.coalesce(bind(token_list(F.col("text")), bm25), F.lit(0.0)))
+            candidates.withColumn("_bm25", F.coalesce(bind(F.col("text_tokens"), bm25), F.lit(0.0)))
             .withColumn("_best", best)
             .withColumn("pair_score", F.when(F.col("_best") > 0, F.col("_bm25") / F.col("_best")).otherwise(0.0))
             .drop("terms", "term_idf", "_bm25", "_best")
@@ -136,12 +136,15 @@ def rank_features(candidates: DataFrame, scorer: PairScorer) -> DataFrame:
     missing = {"query_id", "query", "query_tokens", "text", "score"} - set(candidates.columns)
     if missing:
         raise KeyError(f"candidates lack {sorted(missing)}")
+    # Tokens of a passage serve both the overlap and the scorer; they are gone before any shuffle.
+    tokenised = candidates.withColumn("text_tokens", token_list(F.col("text"))).withColumn(
+        "lexical_overlap", overlap_of_sets(F.col("query_tokens"), F.col("text_tokens"))
+    )
     return (
-        scorer.score(candidates)
+        scorer.score(tokenised)
         .withColumn("dense_cosine", F.col("score"))
         .withColumn("cross_encoder_score", F.col("pair_score"))
-        .withColumn("lexical_overlap", overlap_of_sets(F.col("query_tokens"), token_list(F.col("text"))))
-        .drop("pair_score", "query_tokens")
+        .drop("pair_score", "query_tokens", "text_tokens")
     )
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from citesift.functions.text import token_list
 from citesift.operators import metrics as M
 from citesift.operators.evaluation import candidates, evaluate_ranking
 from citesift.operators.features import (
@@ -159,6 +160,7 @@ def test_bm25_equals_the_formula(rows):
     scorer = Bm25Scorer.from_stats(*corpus_stats(chunks))
     queries = with_query_tokens(rows([("q", "Apple cherry, apple zzz"), ("n", "zzz")], "query_id string, query string"))
     pairs = chunks.withColumn("query_id", F.explode(F.array(F.lit("q"), F.lit("n"))))
+    pairs = pairs.withColumn("text_tokens", token_list(F.col("text")))
     found = {
         (r.query_id, r.chunk_id): r.pair_score
         for r in scorer.score(pairs.join(scorer.prepare(queries), "query_id")).collect()
