@@ -36,3 +36,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, n_rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """Mark a stored table for broadcast if its counted rows fit ``limit``; else joins shuffle."""
+    return F.broadcast(df) if n_rows * row_bytes <= limit else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import chat, quality, sharding
+from citesift.llm import chat, linededup, quality, sharding
 from citesift.llm.frames import stored, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,18 @@ def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = linededup.drop_recurring_lines(docs)
+    return cleaned.select(
+        "doc_id",
+        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines_kept"),
+        F.length("text").cast("bigint").alias("n_chars_kept"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
+
+
 @query
 def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -101,3 +101,47 @@ WITH docs AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
     round(host_rate, 6) AS host_rate, NOT base_failed AND host_rate <= 0.5 AS kept
 FROM judged JOIN verdicts ON source IS NOT DISTINCT FROM host"""
+
+ORACLES["op3_template_lines"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), placed AS (
+    SELECT r, doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs
+), parsed AS (
+    SELECT *, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END
+        FOR t IN regexp_extract_all(line, '[^\x20\x09-\x0D]+')] AS parts FROM placed
+), held AS (
+    SELECT *, len(parts) || ' ' || array_to_string(parts[1:3], ' ') AS leaf,
+        array_to_string(parts, ' ') AS masked FROM parsed WHERE len(parts) >= 5
+), leaves AS (
+    SELECT leaf, count(DISTINCT text) AS leaf_texts FROM held GROUP BY 1 HAVING count(DISTINCT text) >= 3
+), forms AS (
+    SELECT leaf, masked, any_value(parts) AS parts, count(DISTINCT text) AS n_texts
+    FROM held SEMI JOIN leaves USING (leaf) GROUP BY 1, 2
+), fields AS (
+    SELECT leaf, masked, n_texts, unnest(parts) AS token, generate_subscripts(parts, 1) AS place FROM forms
+), constant AS (
+    SELECT leaf, place, token FROM (
+        SELECT leaf, place, token, sum(n_texts) AS n FROM fields WHERE token <> '<*>' GROUP BY ALL
+    ) JOIN leaves USING (leaf) WHERE n >= 3 AND 5 * n >= leaf_texts
+), matched AS (
+    SELECT leaf, masked, count(*) AS n_constant FROM fields SEMI JOIN constant USING (leaf, place, token)
+    GROUP BY ALL
+), ruled AS (
+    SELECT leaf, masked, CASE WHEN 10 * coalesce(n_constant, 0) >= 7 * len(parts) THEN leaf
+        WHEN n_texts >= 3 THEN '= ' || masked END AS grp
+    FROM forms LEFT JOIN matched USING (leaf, masked)
+), hits AS (
+    SELECT r, i, doc_id, text, grp FROM held JOIN ruled USING (leaf, masked) WHERE grp IS NOT NULL
+), groups AS (
+    SELECT grp, min(doc_id) AS first FROM hits GROUP BY 1 HAVING count(DISTINCT text) >= 3
+), dropped AS (
+    SELECT r, i FROM hits JOIN groups USING (grp) WHERE doc_id IS DISTINCT FROM first
+), cleaned AS (
+    SELECT r, doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
+    FROM docs LEFT JOIN (
+        SELECT r, string_agg(line, chr(10) ORDER BY i) AS kept FROM placed ANTI JOIN dropped USING (r, i) GROUP BY 1
+    ) USING (r)
+)
+SELECT doc_id, len(string_split(text, chr(10))) AS n_lines_kept, length(text) AS n_chars_kept,
+    md5(text) AS text_md5 FROM cleaned"""
