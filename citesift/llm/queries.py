@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import chat, linededup, neardup, quality, sharding
+from citesift.llm import chat, linededup, mixing, neardup, pieces, quality, sharding
 from citesift.llm.frames import stored, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,22 @@ def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return coded(docs)
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_ids, ids, exact``: ids of the text, and whether they decode to it."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", pieces.encoded(spark, F.col("text")).alias("ids"))
+    back = pieces.decoded(spark, F.col("ids"))
+    return rows.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", (back == F.col("text")).alias("exact")
+    )
+
+
 @query
 def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +87,27 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).drop("text_key")
 
 
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete rows of the labelled table with the domain they stand for."""
+    labels = table(spark, sf_dir, "labels").dropna(subset=["doc_id", "quality", "toxic"])
+    return labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
+@query
+def op8_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    member, m, rate = mixing.mixing_rates(docs, domain_labels(spark, sf_dir))
+    copies = mixing.copies_of(F.col("rate"), F.col("doc_id"), F.xxhash64(text_bytes("text")))
+    domains = sorted(mixing.TARGETS)
+    return member.withColumn("rate", rate).select(
+        "doc_id",
+        m["n_tokens"].alias("n_tokens"),
+        *[(m["posterior"][i] / mixing.GRAIN).alias(f"p_{d}") for i, d in enumerate(domains)],
+        "rate",
+        copies.alias("copies"),
+    )
+
+
 @query
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
