@@ -17,7 +17,7 @@ Links are wanted for connected components, so pairs inside a group are not spell
    1 and 2 a group of copies is one component, and such pairs are few.
 
 A candidate must pass the sizes, then the Jaccard estimate of the two sketches, corrected for chance
-agreement of one-byte registers and lowered by ``SLACK`` standard errors, then the exact test
+agreement of one-byte registers and lowered by ``SLACK`` standard errors (see ``may_link``), then the exact test
 100 * intersection >= 75 * union on the full sets.
 
 Equal shingle sets are one vertex, so copies cost one comparison. A vertex is named by a 64-bit hash of its set.
@@ -46,7 +46,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 4
 MAX_ZEROS = 15
 PERCENT = 75
-SLACK = 5
+SLACK = 4
 SIZE_CLASSES = 32
 
 SKETCH_TYPE = "struct<v:bigint,n:bigint,registers:array<bigint>>"
@@ -56,14 +56,40 @@ _edges = (np.arange(REGISTERS, dtype=np.uint64) * np.uint64(2**64 // REGISTERS))
 _width = float(2**64 // REGISTERS)
 
 
-def preferences() -> np.ndarray:
-    """Row j ranks all registers in the order in which an empty register j copies them."""
-    random = np.random.Generator(np.random.PCG64(20))
-    order = np.arange(REGISTERS, dtype=np.uint16)
-    return random.permuted(np.tile(order, (REGISTERS, 1)), axis=1)
+class Preferences:
+    """For each register the order in which it copies others while it is empty.
 
+    ``order[a, j]`` is the register that j asks in its attempt a, ``rank[j, b]`` the attempt in which
+    j asks b. Both give the same answer; which is faster depends on how many registers are filled.
+    """
 
-def registers(shingles: np.ndarray, preference: np.ndarray) -> np.ndarray:
+    ATTEMPTS = 24
+
+    def __init__(self) -> None:
+        random = np.random.Generator(np.random.PCG64(20))
+        registers = np.arange(REGISTERS, dtype=np.uint16)
+        orders = random.permuted(np.tile(registers, (REGISTERS, 1)), axis=1)
+        self.rank = np.empty_like(orders)
+        np.put_along_axis(self.rank, orders, np.broadcast_to(registers, orders.shape), axis=1)
+        self.order = np.ascontiguousarray(orders[:, : self.ATTEMPTS].T)
+
+    def sources(self, filled: np.ndarray) -> np.ndarray:
+        """For every register the filled one it shows: itself, or the first filled one it asks."""
+        source = np.arange(REGISTERS)
+        chosen, empty = np.flatnonzero(filled), np.flatnonzero(~filled)
+        if len(chosen) > 32:
+            asked = self.order[:, empty]
+            hit = filled[asked]
+            first = hit.argmax(axis=0)
+            columns = np.arange(len(empty))
+            source[empty] = asked[first, columns]
+            empty = empty[~hit[first, columns]]
+        if len(empty):
+            source[empty] = chosen[self.rank[np.ix_(empty, chosen)].argmin(axis=1)]
+        return source
+
+
+def registers(shingles: np.ndarray, preferences: Preferences) -> np.ndarray:
     """One byte per bucket from sorted distinct shingles (at least one)."""
     first = np.searchsorted(shingles, _edges)
     ends = np.append(first[1:], len(shingles))
@@ -76,10 +102,7 @@ def registers(shingles: np.ndarray, preference: np.ndarray) -> np.ndarray:
     mantissa = ((fraction * 2 - 1) * (1 << MANTISSA_BITS)).astype(np.int64)
     out = np.zeros(REGISTERS, np.uint8)
     out[chosen] = (zeros << MANTISSA_BITS) | mantissa
-    empty = np.flatnonzero(~full)
-    if len(empty):
-        out[empty] = out[chosen[preference[np.ix_(empty, chosen)].argmin(axis=1)]]
-    return out
+    return out[preferences.sources(full)]
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -89,7 +112,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    known, preference = WordHashes(), preferences()
+    known, preferences = WordHashes(), Preferences()
     for batch in batches:
         keys, sizes, bands, offsets = [], [], [], [0]
         for data in batch:
@@ -97,7 +120,7 @@ def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             sizes.append(len(shingles))
             keys.append(set_key(shingles))
             if len(shingles):
-                bands.append(registers(shingles, preference).view(np.int64))
+                bands.append(registers(shingles, preferences).view(np.int64))
             offsets.append(offsets[-1] + (BANDS if len(shingles) else 0))
         flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
@@ -169,15 +192,36 @@ def estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
     return (agreeing(a, b) / F.lit(REGISTERS) - chance) / (1 - chance)
 
 
+def standard_error(union: Column) -> Column:
+    """Standard error of the estimate at the threshold, for sets whose union has this size.
+
+    Filled registers are draws without replacement from the union, so a short text leaves little to
+    chance; copies of registers weigh some of them more than others.
+    """
+    share = 1 - F.exp(-union / F.lit(REGISTERS))
+    filled = share * REGISTERS
+    spread = F.greatest(F.lit(0.0), 1 - filled / union) + share * (1 - share)
+    return F.sqrt(F.lit(PERCENT / 100 * (1 - PERCENT / 100)) / filled * spread)
+
+
 def may_link(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """Sizes allow the similarity, and the estimate does not rule it out."""
+    """Sizes allow the similarity, and the estimate does not rule it out.
+
+    The estimate may lie ``SLACK`` standard errors below the threshold, and two elements of the union
+    more, since the error of very short texts comes in whole elements.
+    """
     fewer, more = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    at = PERCENT / 100
-    samples = F.least(fewer, F.lit(REGISTERS)) / 2
-    floor = F.lit(at) - SLACK * F.sqrt(F.lit(at * (1 - at)) / samples)
+    union = (n_a + n_b) / F.lit(1 + PERCENT / 100)
+    floor = F.lit(PERCENT / 100) - SLACK * standard_error(union) - 2 / union
     return (100 * fewer >= PERCENT * more) & (estimate(a, b, n_a, n_b) >= floor)
 
 
+def no_earlier_band(a: Column, b: Column, band: Column) -> Column:
+    """Whether two sketches that share ``band`` share none before it."""
+    same = F.zip_with(F.slice(a, F.lit(1), band), F.slice(b, F.lit(1), band), lambda x, y: x == y)
+    return F.coalesce(F.array_position(same, F.lit(True)), F.lit(0)) == 0
+
+
 class _Search:
     """Candidate pairs and their confirmation; tables are written once and read by every step."""
 
@@ -205,9 +249,9 @@ class _Search:
         self._full_sets(docs, doc, text)
 
     def _members(self) -> DataFrame:
-        """``bucket, v, size``: all buckets with at least two vertices."""
+        """``bucket, band, v, size``: all buckets with at least two vertices."""
         bands = self.vertices.select("v", F.posexplode("registers").alias("band", "value"))
-        bands = bands.select("v", F.xxhash64("band", "value").alias("bucket"))
+        bands = bands.select("v", "band", F.xxhash64("band", "value").alias("bucket"))
         shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
         return bands.join(shared.where(F.col("size") > 1), "bucket")
 
@@ -223,13 +267,16 @@ class _Search:
         rows = rows.select(full("data").alias("s")).select("s.*")
         rows = rows.join(small(wanted.select("v"), n_wanted, 16), "v", "left_semi")
         self.sets = stored(rows, "shingle-sets")
+        n_sets, n_shingles = self.sets.agg(F.count(F.lit(1)), F.sum("n")).first()
+        self.set_bytes = 8 * (n_shingles or 0) // max(1, n_sets) + 32
+        self.n_sets = n_sets
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` that are links."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` that sizes and sketches do not rule out."""
         sketch = self.vertices.select("v", "n", "registers")
         left = sketch.toDF("a", "n_a", "registers_a")
         right = sketch.toDF("b", "n_b", "registers_b")
-        likely = (
+        return (
             pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
             .join(left, "a")
@@ -237,11 +284,15 @@ class _Search:
             .where(may_link(*[F.col(c) for c in ("registers_a", "registers_b", "n_a", "n_b")]))
             .select("a", "b")
         )
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` that are links, by their full sets."""
+        sets = small(self.sets, self.n_sets, self.set_bytes)
         common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("bigint")
         return stored(
-            stored(likely, "likely")
-            .join(self.sets.toDF("a", "n_a", "shingles_a"), "a")
-            .join(self.sets.toDF("b", "n_b", "shingles_b"), "b")
+            stored(pairs, "likely")
+            .join(sets.toDF("a", "n_a", "shingles_a"), "a")
+            .join(sets.toDF("b", "n_b", "shingles_b"), "b")
             .withColumn("common", common)
             .where(100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common")))
             .select("a", "b"),
@@ -265,20 +316,21 @@ class _Search:
         hubs = stored(self._hubs(), "hubs")
         beside = self.members.join(hubs, "bucket").where(F.col("hub") != F.col("v"))
         best = beside.groupBy("v").agg(F.max(F.struct("weight", "hub")).alias("best"))
-        links = self.confirmed(best.select(F.col("v").alias("a"), F.col("best.hub").alias("b")))
+        links = self.confirmed(self.likely(best.select(F.col("v").alias("a"), F.col("best.hub").alias("b"))))
 
         placed = stored(self._placed(links), "placed")
         at_hub = placed.join(hubs, "bucket").where(F.col("hub") == F.col("v"))
         at_hub = at_hub.select("bucket", "hub", F.col("root").alias("hub_root"))
         apart = placed.join(at_hub, "bucket").where(F.col("root") != F.col("hub_root"))
-        more = self.confirmed(apart.select(F.col("v").alias("a"), F.col("hub").alias("b")))
+        more = self.confirmed(self.likely(apart.select(F.col("v").alias("a"), F.col("hub").alias("b"))))
         links = stored(links.union(more), "links")
 
         placed = stored(self._placed(links), "placed")
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         mixed = mixed.where(F.col("low") != F.col("high")).select("bucket")
-        open_ = stored(placed.join(mixed, "bucket", "left_semi").select("bucket", "v", "root"), "open")
-        # One-byte sketches ride along, so that the join puts out no pair that the estimate rules out.
+        open_ = stored(placed.join(mixed, "bucket", "left_semi").select("bucket", "band", "v", "root"), "open")
+        # Sketches ride along, so that the join puts out no pair that they rule out, and each pair in
+        # the first bucket that it shares only.
         sketched = open_.join(self.vertices.select("v", "n", "registers"), "v")
         a, b = sketched.alias("a"), sketched.alias("b")
         pairs = a.join(
@@ -286,7 +338,8 @@ class _Search:
             (F.col("a.bucket") == F.col("b.bucket"))
             & (F.col("a.v") < F.col("b.v"))
             & (F.col("a.root") != F.col("b.root"))
-            & may_link(*[F.col(c) for c in ("a.registers", "b.registers", "a.n", "b.n")]),
+            & may_link(*[F.col(c) for c in ("a.registers", "b.registers", "a.n", "b.n")])
+            & no_earlier_band(F.col("a.registers"), F.col("b.registers"), F.col("a.band")),
         )
         last = self.confirmed(pairs.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")))
         return links.union(last)

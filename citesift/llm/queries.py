@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import chat, linededup, mixing, neardup, pieces, quality, sharding
+from citesift.llm import chat, linededup, mixing, neardup, pieces, pii, quality, sharding
 from citesift.llm.frames import stored, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,16 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("host_rate", 6).alias("host_rate"),
         (~quality.base_failed(m) & ~F.col("host_rejected")).alias("kept"),
     )
+
+
+@query
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.personal_data(docs)
+    return found.select(
+        "doc_id",
+        *[pii.count_kind("base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+        pii.count_kind("spans", pii.LEARNED).alias("n_learned"),
+    )

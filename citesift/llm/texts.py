@@ -81,4 +81,5 @@ def shingle_set(hashes: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
         for h in hashes:
             value = value * _FACTOR + h
         return mix(value)
-    return np.unique(windows(hashes, width))
+    found = np.sort(windows(hashes, width))
+    return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
