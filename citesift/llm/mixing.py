@@ -4,11 +4,12 @@ Domains are classes of the labelled table. A classifier fitted to labelled docum
 document a posterior over domains, so a document counts towards all of them in part. Rates ``w`` per
 document are the nonnegative least-squares answer to "expected tokens per domain = target":
 
-    minimise  1/2 * sum_c ((sum_i w_i t_i p_ic / T - target_c) ** 2 / share_c),   w >= 0
+    minimise  1/2 * r' inv(M) r,   r_c = sum_i w_i t_i p_ic / T - target_c,   w >= 0
 
-from w = 1, with t tokens, p posteriors, T all tokens and share the domains' present shares (which
-makes the problem well conditioned). The step of a document is divided by its tokens, so its rate
-depends on its posterior alone.
+from w = 1, with t tokens, p posteriors, T all tokens and M = sum_i t_i p_i p_i' / T, the overlap of
+the domains (pseudo-inverse if singular). If the targets can be met, r = 0 under any such weighting; this one makes
+a gradient step exact until rates hit zero. The step of a document is divided by its tokens, so its
+rate depends on its posterior alone.
 
 - The classifier is a softmax model over hashed words and four measures of form. It is fitted in
   numpy on at most ``SAMPLE_PER_DOMAIN`` labelled documents per domain, drawn by hash order and
@@ -16,8 +17,8 @@ depends on its posterior alone.
   ``N_BUCKETS`` counts per sampled document at most, never texts.
 - Posteriors are stated in thousandths. All documents with the same posterior have the same rate, so
   tokens are first summed per posterior (map-side); that table has at most C(1002, 2) rows for three
-  domains, whatever the corpus. Every step of the projected gradient method (with momentum) is one
-  aggregate over it, and brings back one number per domain.
+  domains, whatever the corpus. Every projected gradient step is one aggregate over it and brings
+  back one number per domain.
 - A rate is turned into whole copies by a hash of the row: ``floor(rate + u)``.
 
 Defined cases: NULL texts are empty and have no tokens; labels with a NULL in any column, or for unknown documents,
@@ -44,7 +45,7 @@ N_FORM = 4
 SAMPLE_PER_DOMAIN = 1500
 EPOCHS, LEARNING_RATE, PENALTY = 60, 0.05, 1e-5
 GRAIN = 1000
-MAX_STEPS, TOLERANCE = 200, 1e-7
+MAX_STEPS, TOLERANCE = 60, 1e-7
 # Shares of tokens aimed at, by domain of the labelled table.
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 MARKS = b"#*$%&|<>"
@@ -186,73 +187,43 @@ def membership(docs: DataFrame, model: Classifier, text: str = "text") -> Column
     return F.arrow_udf(score, MEMBERSHIP_TYPE).asNondeterministic()(text_bytes(text))
 
 
-def rate_of(posterior: Column, history: list[np.ndarray], momenta: list[float]) -> Column:
-    """The rate after the recorded steps, a fold over them: w = max(0, y - step . p), y = w + m (w - w before)."""
-    if not history:
+def rate_of(posterior: Column, steps: list[np.ndarray]) -> Column:
+    """The rate after the recorded steps, a fold over them: w = max(0, w - step . p)."""
+    if not steps:
         return F.lit(1.0)
-    steps = F.array(
-        *[
-            F.struct(F.array(*map(F.lit, map(float, h))).alias("h"), F.lit(float(m)).alias("m"))
-            for h, m in zip(history, momenta)
-        ]
-    )
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"))
 
-    def step(state: Column, s: Column) -> Column:
+    def step(w: Column, h: Column) -> Column:
         pull = F.lit(0.0)
-        for c in range(len(history[0])):
-            pull = pull + s["h"][c] * posterior[c] / GRAIN
-        w = F.greatest(F.lit(0.0), state["y"] - pull)
-        return F.struct(w.alias("w"), (w + s["m"] * (w - state["w"])).alias("y"))
-
-    return F.aggregate(steps, start, step, lambda s: s["w"])
-
-
-def next_point(posterior: Column, history: list[np.ndarray], momenta: list[float]) -> Column:
-    """Where the next gradient is taken: the rate pushed on by the momentum."""
-    if not history:
-        return F.lit(1.0)
-    before = rate_of(posterior, history[:-1], momenta[:-1])
-    w = rate_of(posterior, history, momenta)
-    return w + F.lit(float(momenta[-1])) * (w - before)
-
+        for c in range(len(steps[0])):
+            pull = pull + h[c] * posterior[c] / GRAIN
+        return F.greatest(F.lit(0.0), w - pull)
 
-class Fit(NamedTuple):
-    history: list
-    momenta: list
-    reached: np.ndarray
+    taken = F.array(*[F.array(*map(F.lit, map(float, h))) for h in steps])
+    return F.aggregate(taken, F.lit(1.0), step)
 
 
-def fit_rates(groups: DataFrame, targets: list[float]) -> Fit:
-    """Projected gradient with momentum over ``posterior, tokens`` groups."""
+def fit_rates(groups: DataFrame, targets: list[float]) -> list[np.ndarray]:
+    """Projected gradient steps over ``posterior, tokens`` groups, until the totals stand still."""
     n = len(targets)
     p = [F.col("posterior")[c] / GRAIN for c in range(n)]
     tokens = F.col("tokens").cast("double")
-    total = groups.agg(F.sum(tokens)).first()[0]
+    overlaps = [F.sum(tokens * p[c] * p[d]) for c in range(n) for d in range(n)]
+    total, *found = groups.agg(F.sum(tokens), *overlaps).first()
     if not total:
-        return Fit([], [], np.zeros(n))
-    sums = [F.sum(tokens * p[c]) for c in range(n)]
-    moments = [F.sum(tokens * p[c] * p[d]) for c in range(n) for d in range(n)]
-    first = groups.agg(*sums, *moments).first()
-    share = np.array(first[:n]) / total
-    scale = np.where(share > 0, 1 / np.maximum(share, 1e-12), 0.0)
-    spread = np.array(first[n:]).reshape(n, n) / total
-    root = np.sqrt(scale)
-    step = 1 / np.linalg.eigvalsh(spread * root[:, None] * root[None, :]).max()
-    goal, history, momenta, t = np.array(targets), [], [], 1.0
-    reached = share
-    while len(history) < MAX_STEPS:
-        point = next_point(F.col("posterior"), history, momenta)
-        reached = np.array(groups.agg(*[F.sum(tokens * p[c] * point) for c in range(n)]).first()) / total
-        if len(history) and np.abs(step * scale * (reached - goal)).max() < TOLERANCE:
+        return []
+    inverse = np.linalg.pinv(np.array(found).reshape(n, n) / total, rcond=1e-9)
+    steps: list[np.ndarray] = []
+    before = None
+    while len(steps) < MAX_STEPS:
+        rate = rate_of(F.col("posterior"), steps)
+        reached = np.array(groups.agg(*[F.sum(tokens * p[c] * rate) for c in range(n)]).first()) / total
+        if np.abs(reached - targets).max() < TOLERANCE:
             break
-        history.append(step * scale * (reached - goal))
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        momenta.append((t - 1) / after)
-        t = after
-        if len(history) >= 2 and np.abs(history[-1] - history[-2]).max() < TOLERANCE:
+        if before is not None and np.abs(reached - before).max() < TOLERANCE / 10:
             break
-    return Fit(history, momenta, reached)
+        before = reached
+        steps.append(inverse @ (reached - np.array(targets)))
+    return steps
 
 
 def copies_of(rate: Column, *key: Column) -> Column:
@@ -282,8 +253,8 @@ def mixing_rates(
     slim = docs.select(membership(docs, model, text).alias("m"))
     groups = slim.groupBy(F.col("m.posterior").alias("posterior"))
     groups = stored(groups.agg(F.sum("m.n_tokens").alias("tokens")).coalesce(8), "posteriors")
-    found = fit_rates(groups, [targets[d] / total for d in domains])
-    return member, m, rate_of(m["posterior"], found.history, found.momenta)
+    steps = fit_rates(groups, [targets[d] / total for d in domains])
+    return member, m, rate_of(m["posterior"], steps)
 
 
 def mix(
