@@ -6,8 +6,9 @@ five-word shingles.
 Sketch: the hash space is cut into ``BANDS * ROWS`` buckets; of the smallest hash in each, the number
 of leading zeros and the next mantissa bits are kept, one byte together. Buckets that a short text
 leaves empty take the register of another one, chosen by a fixed preference list per bucket, so that
-every register agrees with probability J whatever the length. A band is eight registers. With 112
-bands a pair at J = 0.75 shares none with probability (1 - 0.75 ** 8) ** 112 = 8e-6.
+every register agrees with probability J whatever the length. A band is seven registers, packed in one
+64-bit number. With 80 bands a pair at J = 0.75 shares none with probability
+(1 - 0.75 ** 7) ** 80 = 1e-5.
 
 Links are wanted for connected components, so pairs inside a group are not spelled out:
 
@@ -41,7 +42,7 @@ from citesift.llm.components import connected
 from citesift.llm.frames import column, fresh, small, stored, text_bytes
 from citesift.llm.texts import WordHashes, mix, shingle_set, word_hashes
 
-BANDS, ROWS = 112, 8
+BANDS, ROWS = 80, 7
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 4
 MAX_ZEROS = 15
@@ -105,6 +106,13 @@ def registers(shingles: np.ndarray, preferences: Preferences) -> np.ndarray:
     return out[preferences.sources(full)]
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Registers as one 64-bit number per band; the bytes left over are 0."""
+    out = np.zeros((BANDS, 8), np.uint8)
+    out[:, :ROWS] = codes.reshape(BANDS, ROWS)
+    return out.view(np.int64).ravel()
+
+
 def set_key(shingles: np.ndarray) -> int:
     """64-bit name of a set, the same for every order."""
     total = (mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))).reshape(1)
@@ -120,7 +128,7 @@ def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             sizes.append(len(shingles))
             keys.append(set_key(shingles))
             if len(shingles):
-                bands.append(registers(shingles, preferences).view(np.int64))
+                bands.append(packed(registers(shingles, preferences)))
             offsets.append(offsets[-1] + (BANDS if len(shingles) else 0))
         flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
@@ -178,7 +186,8 @@ def agreeing(a: Column, b: Column) -> Column:
         other = x.bitwiseXOR(y)
         return equal_bytes(other.bitwiseAND(F.lit(0xFFFFFFFF))) + equal_bytes(F.shiftrightunsigned(other, 32))
 
-    return F.aggregate(F.zip_with(a, b, in_band), F.lit(0), lambda total, x: total + x)
+    filler = F.lit(BANDS * (8 - ROWS))
+    return F.aggregate(F.zip_with(a, b, in_band), F.lit(0), lambda total, x: total + x) - filler
 
 
 def estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
@@ -235,41 +244,47 @@ class _Search:
             "doc_id", F.xxhash64("data").alias("text_key"), sketch("data").alias("s")
         ).select("doc_id", "text_key", "s.*")
         self.sketches = stored(rows, "sketches")
+        self.members = stored(self._members(), "members")
+        self._vertices()
+        self._full_sets(docs, doc, text)
+
+    def _members(self) -> DataFrame:
+        """``bucket, band, v, size``: all buckets with at least two different sets."""
+        bands = self.sketches.select("v", F.posexplode("registers").alias("band", "value"))
+        bands = bands.select("v", "band", F.xxhash64("band", "value").alias("bucket"))
+        # Copies fold into one row map-side where they meet.
+        sizes = bands.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        shared = sizes.where(F.col("low") != F.col("high")).select("bucket")
+        members = bands.join(shared, "bucket").groupBy("bucket", "band", "v").agg(F.lit(1).alias("one"))
+        members = stored(members.drop("one"), "bucket-members")
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+        return members.join(sizes, "bucket")
+
+    def _vertices(self) -> None:
+        """``v, doc_id, n, registers`` of every set that shares a bucket, from its smallest document."""
+        wanted = stored(self.members.select("v").distinct(), "wanted")
+        self.n_vertices = wanted.count()
+        rows = self.sketches.join(small(wanted, self.n_vertices, 16), "v", "left_semi")
         self.vertices = stored(
-            self.sketches.where(F.col("n") > 0)
-            .groupBy("v")
-            .agg(
+            rows.groupBy("v").agg(
                 F.min("doc_id").alias("doc_id"),
                 F.max("n").alias("n"),
                 F.any_value("registers").alias("registers"),
             ),
             "vertices",
         )
-        self.members = stored(self._members(), "members")
-        self._full_sets(docs, doc, text)
-
-    def _members(self) -> DataFrame:
-        """``bucket, band, v, size``: all buckets with at least two vertices."""
-        bands = self.vertices.select("v", F.posexplode("registers").alias("band", "value"))
-        bands = bands.select("v", "band", F.xxhash64("band", "value").alias("bucket"))
-        shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        return bands.join(shared.where(F.col("size") > 1), "bucket")
 
     def _full_sets(self, docs: DataFrame, doc: str, text: str) -> None:
-        """Shingle sets of the vertices in any shared bucket, computed from one document each."""
-        wanted = self.members.select("v").distinct()
-        wanted = stored(self.vertices.join(wanted, "v", "left_semi").select("v", "doc_id"), "wanted")
-        n_wanted = wanted.count()
-        ids = small(wanted.select(F.col("doc_id").alias("of")), n_wanted, 16)
+        """Shingle sets of the vertices, computed from one document each."""
+        ids = small(self.vertices.select(F.col("doc_id").alias("of")), self.n_vertices, 16)
         rows = docs.select(column(doc).alias("doc_id"), text_bytes(text).alias("data"))
         rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
         full = F.arrow_udf(_set, SET_TYPE).asNondeterministic()
         rows = rows.select(full("data").alias("s")).select("s.*")
-        rows = rows.join(small(wanted.select("v"), n_wanted, 16), "v", "left_semi")
+        rows = rows.join(small(self.vertices.select("v"), self.n_vertices, 16), "v", "left_semi")
         self.sets = stored(rows, "shingle-sets")
-        n_sets, n_shingles = self.sets.agg(F.count(F.lit(1)), F.sum("n")).first()
-        self.set_bytes = 8 * (n_shingles or 0) // max(1, n_sets) + 32
-        self.n_sets = n_sets
+        n_shingles = self.sets.agg(F.sum("n")).first()[0] or 0
+        self.set_bytes = 8 * n_shingles // max(1, self.n_vertices) + 32
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that sizes and sketches do not rule out."""
@@ -287,7 +302,7 @@ class _Search:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that are links, by their full sets."""
-        sets = small(self.sets, self.n_sets, self.set_bytes)
+        sets = small(self.sets, self.n_vertices, self.set_bytes, 16 << 20)
         common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("bigint")
         return stored(
             stored(pairs, "likely")
@@ -345,10 +360,11 @@ class _Search:
         return links.union(last)
 
     def classes(self) -> DataFrame:
-        """``v, component_id``."""
+        """``v, component_id`` of every set."""
         roots = connected(self.links())
-        rooted = self.vertices.select("v", "doc_id").join(roots, "v", "left")
-        rooted = stored(rooted.withColumn("root", F.coalesce("root", "v")), "rooted")
+        lowest = self.sketches.where(F.col("n") > 0).groupBy("v").agg(F.min("doc_id").alias("doc_id"))
+        rooted = lowest.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        rooted = stored(rooted, "rooted")
         lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         return rooted.join(lowest, "root").select("v", "component_id")
 
