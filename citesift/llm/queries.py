@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import chat, linededup, mixing, neardup, pieces, pii, quality, sharding
+from citesift.llm import chat, linededup, mixing, neardup, pieces, pii, quality, sharding, toxicity
 from citesift.llm.frames import stored, text_bytes
 
+TOXIC_FROM = 0.3
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -108,6 +110,21 @@ def op8_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    model = toxicity.trained(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    scored = docs.withColumn("score", toxicity.scores(spark, model, text_bytes("text")))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
