@@ -14,7 +14,8 @@ Two kinds of models, told apart by the model file:
   and exactly one path to each boundary is left. Ids equal those of the SentencePiece library.
 
 A text is cut where no piece can lie across (before a space, around characters that only stand
-alone); those stretches, mostly words, are remembered per task, up to ``REMEMBERED``.
+alone); those stretches, mostly words, and inside them the runs between two characters that no piece
+has side by side, are remembered per worker, up to ``REMEMBERED`` each.
 
 Spaces become the marker character and one is put in front; characters outside the vocabulary become
 their UTF-8 bytes. The marker character itself, if a text holds it, is written as bytes too, so
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 REMEMBERED = 400_000
+LONG_STRETCH = 64
 SLICE_CHARS = 1 << 20
+BLOCK_IDS = 1 << 16
 UNKNOWN_PENALTY = 10.0
 
 
@@ -135,7 +138,9 @@ class Merger:
     def __init__(self, scores: dict[str, tuple[float, int]]):
         self.scores = scores
         self.ids = {piece: i for piece, (_, i) in scores.items()}
-        self.follows: dict[int, bool] = {}
+        # id of the left piece -> id of the right one -> whether they may stand side by side
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.n_known = 0
 
     def merge(self, text: str) -> list[str]:
         """Join the best scored neighbours, the leftmost of equals, until none are a piece."""
@@ -151,16 +156,20 @@ class Merger:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def may_follow(self, left: str, right: str) -> bool:
-        """Whether merging leaves these two pieces side by side; ``left`` may be empty."""
-        key = self.ids.get(left, -1) << 32 | self.ids[right]
-        known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) >= REMEMBERED:
-                self.follows.clear()
-            # Outside the vocabulary nothing merges, so only ``right`` itself matters.
-            pair = [left, right] if left in self.ids else [right]
-            known = self.follows[key] = self.merge("".join(pair)) == pair
-        return known
+        """Whether merging leaves these two pieces side by side; ``left`` may be empty or unknown."""
+        # Outside the vocabulary nothing merges, so only ``right`` itself matters.
+        pair = [left, right] if left in self.ids else [right]
+        return self.merge("".join(pair)) == pair
+
+    def checked(self, left: str, right: str) -> bool:
+        """``may_follow``, remembered under the ids of both."""
+        known = self.follows.setdefault(self.ids.get(left, -1), {})
+        if self.n_known >= REMEMBERED:
+            self.follows.clear()
+            self.n_known, known = 0, {}
+        self.n_known += 1
+        found = known[self.ids[right]] = self.may_follow(left, right)
+        return found
 
 
 class Stream:
@@ -178,6 +187,7 @@ class Stream:
         """``id, start, end`` of each piece as soon as it is certain; id -1 for unknown characters."""
         tails, scores, merger = self.tails, self.vocab.scores, self.merger
         follows, longest, merging = merger.follows, self.vocab.longest, self.vocab.algorithm == "bpe"
+        nothing: dict[int, bool] = {}
         # State of the boundaries from ``base`` on: id of the last piece, its start, score of the path.
         base, last, back, total = 0, [-1], [0], [0.0]
         check = 2 * longest
@@ -191,10 +201,10 @@ class Stream:
                     pass
                 elif merging:
                     left = last[start - base]
-                    may = follows.get(left << 32 | piece)
+                    may = follows.get(left, nothing).get(piece)
                     if may is None:
                         before = text[back[start - base] : start] if left >= 0 else ""
-                        may = merger.may_follow(before, text[start:end])
+                        may = merger.checked(before, text[start:end])
                     if may:  # no other arc can end here
                         best, come = piece, start
                         break
@@ -215,6 +225,31 @@ class Stream:
                 check = end - base + longest
         yield from self._path(len(text), base, last, back)
 
+    def word(self, text: str) -> list[tuple[int, int, int]]:
+        """``search`` for a text inside one window, where nothing is certain before the end."""
+        if self.vocab.algorithm != "bpe":
+            return list(self.search(text))
+        n, get, follows, nothing = len(text), self.tails.get, self.merger.follows, {}
+        last, back = [-1] * (n + 1), list(range(-1, n))
+        for end in range(1, n + 1):
+            start = end - 1
+            piece = get(text[start])
+            while piece is not None:
+                if piece >= 0:
+                    left = last[start]
+                    may = follows.get(left, nothing).get(piece)
+                    if may is None:
+                        before = text[back[start] : start] if left >= 0 else ""
+                        may = self.merger.checked(before, text[start:end])
+                    if may:
+                        last[end], back[end] = piece, start
+                        break
+                if not start:
+                    break
+                start -= 1
+                piece = get(text[start:end])
+        return self._path(n, 0, last, back)
+
     @staticmethod
     def _common(ends: range, base: int, back: list[int]) -> int:
         """The last boundary that the paths to all of ``ends`` share."""
@@ -248,6 +283,8 @@ class Encoder(dict):
         else:
             self.stretches = re.compile("(?s).+")
         self.mark_ids = self.pack(self.spell(MARK))
+        self.pairs = {p[i : i + 2] for p in vocab.scores for i in range(len(p) - 1)}
+        self.runs: dict[str, bytes] = {}
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -258,15 +295,39 @@ class Encoder(dict):
         ids = [self.vocab.byte_ids[b] for b in piece.encode()]
         return [self.vocab.unknown] if -1 in ids else ids
 
-    def __missing__(self, stretch: str) -> bytes:
+    def _ids(self, text: str) -> list[int]:
         ids: list[int] = []
-        for piece, start, end in self.stream.search(stretch):
-            ids.extend([piece] if piece >= 0 else self.spell(stretch[start:end]))
-        packed = self.pack(ids)
-        if len(stretch) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = packed
+        short = len(text) <= self.vocab.longest
+        for piece, start, end in self.stream.word(text) if short else self.stream.search(text):
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids.extend(self.spell(text[start:end]))
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run that may hold a piece across each of its places."""
+        packed = self.runs.get(run)
+        if packed is None:
+            packed = self.pack(self._ids(run))
+            if len(self.runs) >= REMEMBERED:
+                self.runs.clear()
+            self.runs[run] = packed
+        return packed
+
+    def __missing__(self, stretch: str) -> bytes:
+        if len(stretch) > LONG_STRETCH:
+            return self.pack(self._ids(stretch))
+        pairs, found, start = self.pairs, [], 0
+        for i in range(1, len(stretch)):
+            if stretch[i - 1 : i + 1] not in pairs:  # no piece has these two side by side
+                found.append(self._run(stretch[start:i]))
+                start = i
+        found.append(self._run(stretch[start:]))
+        packed = b"".join(found)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[stretch] = packed
         return packed
 
     def _slices(self, text: str) -> Iterator[str]:
@@ -305,13 +366,20 @@ def task_encoder(key: int, vocab: Vocabulary) -> Encoder:
     return _encoders[key]
 
 
-def decode_ids(ids: list[int], spelled: list[bytes]) -> str:
-    n = len(spelled)
-    data = b"".join([spelled[i] for i in ids if i is not None and 0 <= i < n])
+def decode_ids(ids: np.ndarray, spelled: list[bytes]) -> str:
+    ids = ids[(ids >= 0) & (ids < len(spelled))]
+    # Blocks of ids become Python numbers one after the other.
+    blocks = (ids[i : i + BLOCK_IDS].tolist() for i in range(0, len(ids), BLOCK_IDS))
+    data = b"".join([b"".join(map(spelled.__getitem__, block)) for block in blocks])
     text = data.decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
+def _numbers(row: pa.ListScalar) -> np.ndarray:
+    """Ids of a row; a NULL inside counts as out of range."""
+    return row.values.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
 def encoded(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
     """Ids of a text, ``array<int>``."""
     vocab = load(path)
@@ -321,7 +389,7 @@ def encoded(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = task_encoder(key, shared.value)
         for batch in batches:
-            rows = [None if t is None else encoder.encode(t) for t in batch.to_pylist()]
+            rows = [encoder.encode(t.as_py()) if t.is_valid else None for t in batch]
             sizes = [0 if r is None else len(r) for r in rows]
             flat = [r for r in rows if r is not None]
             yield pa.ListArray.from_arrays(
@@ -339,8 +407,8 @@ def decoded(spark: SparkSession, ids: Column, path: str = MODEL) -> Column:
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(
-                [None if r is None else decode_ids(r, shared.value) for r in batch.to_pylist()], pa.string()
-            )
+            # One row at a time: a batch of ids as Python numbers would be ten times its size.
+            found = [decode_ids(_numbers(row), shared.value) if row.is_valid else None for row in batch]
+            yield pa.array(found, pa.string())
 
     return F.arrow_udf(decode, "string").asNondeterministic()(ids)
