@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import chat, linededup, mixing, neardup, pieces, pii, quality, sharding, toxicity
+from citesift.llm import chat, forest, linededup, mixing, neardup, pieces, pii, quality, sharding, toxicity
 from citesift.llm.frames import stored, text_bytes
 
+NEIGHBOURS = 5
 TOXIC_FROM = 0.3
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +111,12 @@ def op8_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return forest.nearest(rows, F.col("vec_id") % 50 == 0, NEIGHBOURS)
+
+
 @query
 def op7_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
