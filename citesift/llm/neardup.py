@@ -4,18 +4,18 @@ Words are runs of characters other than white space, with A-Z in lower case; a t
 five-word shingles.
 
 Sketch: the hash space is cut into ``BANDS * ROWS`` buckets; of the smallest hash in each, the number
-of leading zeros and the next mantissa bits are kept, one byte together. Buckets that a short text
-leaves empty take the register of another one, chosen by a fixed preference list per bucket, so that
-every register agrees with probability J whatever the length. A band is seven registers, packed in one
-64-bit number. With 80 bands a pair at J = 0.75 shares none with probability
+of leading zeros and the next mantissa bits are kept, one byte together, 0 for an empty bucket. For
+banding, empty buckets show the register of another one, chosen by a fixed preference list per bucket,
+so that every register agrees with probability J whatever the length. A band is seven registers, packed
+in one 64-bit number. With 80 bands a pair at J = 0.75 shares none with probability
 (1 - 0.75 ** 7) ** 80 = 1e-5.
 
 Links are wanted for connected components, so pairs inside a group are not spelled out:
 
 1. Every text gets one link candidate: the best connected member (hub) of its buckets.
 2. Texts whose component still differs from that of the hub of a bucket are compared with that hub.
-3. All pairs of one bucket that still lie in different components are compared, with no cap. After
-   1 and 2 a group of copies is one component, and such pairs are few.
+3. All pairs of one bucket that still lie in different components are compared, with no cap, in
+   blocks of bounded size. After 1 and 2 a group of copies is one component, and such pairs are few.
 
 A candidate must pass the sizes, then the Jaccard estimate of the two sketches, corrected for chance
 agreement of one-byte registers and lowered by ``SLACK`` standard errors (see ``may_link``), then the exact test
@@ -30,7 +30,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +49,10 @@ MAX_ZEROS = 15
 PERCENT = 75
 SLACK = 4
 SIZE_CLASSES = 32
+BLOCK_ROWS = 1024
+PAIR_CHUNK = 8192
 
-SKETCH_TYPE = "struct<v:bigint,n:bigint,registers:array<bigint>>"
+SKETCH_TYPE = "struct<v:bigint,n:bigint,bands:array<bigint>,registers:array<bigint>>"
 SET_TYPE = "struct<v:bigint,n:bigint,shingles:array<bigint>>"
 
 _edges = (np.arange(REGISTERS, dtype=np.uint64) * np.uint64(2**64 // REGISTERS)).astype(np.uint64)
@@ -90,20 +92,18 @@ class Preferences:
         return source
 
 
-def registers(shingles: np.ndarray, preferences: Preferences) -> np.ndarray:
-    """One byte per bucket from sorted distinct shingles (at least one)."""
+def registers(shingles: np.ndarray) -> np.ndarray:
+    """One byte per bucket from sorted distinct shingles: 1 + zeros and mantissa, 0 if empty."""
     first = np.searchsorted(shingles, _edges)
-    ends = np.append(first[1:], len(shingles))
-    ends[-1] = len(shingles)
-    full = first < ends
+    full = first < np.append(first[1:], len(shingles))
     chosen = np.flatnonzero(full)
     rest = (shingles[first[chosen]] - _edges[chosen]).astype(np.float64) / _width
     fraction, exponent = np.frexp(np.clip(rest, 2.0**-60, 1 - 2.0**-53))
     zeros = np.minimum(-exponent, MAX_ZEROS)
     mantissa = ((fraction * 2 - 1) * (1 << MANTISSA_BITS)).astype(np.int64)
     out = np.zeros(REGISTERS, np.uint8)
-    out[chosen] = (zeros << MANTISSA_BITS) | mantissa
-    return out[preferences.sources(full)]
+    out[chosen] = np.minimum(254, (zeros << MANTISSA_BITS) | mantissa) + 1
+    return out
 
 
 def packed(codes: np.ndarray) -> np.ndarray:
@@ -122,18 +122,23 @@ def set_key(shingles: np.ndarray) -> int:
 def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     known, preferences = WordHashes(), Preferences()
     for batch in batches:
-        keys, sizes, bands, offsets = [], [], [], [0]
+        keys, sizes, bands, plain, offsets = [], [], [], [], [0]
         for data in batch:
             shingles = shingle_set(word_hashes(data.as_py().lower(), known))
             sizes.append(len(shingles))
             keys.append(set_key(shingles))
             if len(shingles):
-                bands.append(packed(registers(shingles, preferences)))
+                codes = registers(shingles)
+                plain.append(packed(codes))
+                bands.append(packed(codes[preferences.sources(codes > 0)]))
             offsets.append(offsets[-1] + (BANDS if len(shingles) else 0))
-        flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
+        places = pa.array(offsets, pa.int32())
+        lists = [
+            pa.ListArray.from_arrays(places, pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()))
+            for x in (bands, plain)
+        ]
         yield pa.StructArray.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists], ["v", "n", "registers"]
+            [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["v", "n", "bands", "registers"]
         )
 
 
@@ -155,80 +160,123 @@ def _set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def collision_rate(n_a: float, n_b: float) -> float:
-    """Chance that registers of two unrelated sets of these sizes agree.
+    """Share of the buckets filled by either of two unrelated sets of these sizes in which they agree.
 
-    Sum over all register values of the product of their probabilities, each from the distribution
-    of the smallest of n / REGISTERS uniform numbers (at least one).
+    Sum over all register values of the product of their probabilities: the smallest of a Poisson
+    number of uniform values falls into [l, u) with probability exp(-n l) - exp(-n u), n per bucket.
     """
     cells = 1 << MANTISSA_BITS
     zeros = np.arange(MAX_ZEROS)
     lower = np.append(0.0, (2.0 ** -(zeros[::-1, None] + 1) * (1 + np.arange(cells) / cells)).ravel())
     upper = np.append(lower[1:], 1.0)
-    chance = [
-        (1 - lower) ** max(1.0, n / REGISTERS) - (1 - upper) ** max(1.0, n / REGISTERS) for n in (n_a, n_b)
-    ]
-    return float((chance[0] * chance[1]).sum())
+    chance = [np.exp(-n / REGISTERS * lower) - np.exp(-n / REGISTERS * upper) for n in (n_a, n_b)]
+    return float((chance[0] * chance[1]).sum() / (1 - np.exp(-(n_a + n_b) / REGISTERS)))
 
 
-def _size_class(n: Column) -> Column:
-    return F.least(F.floor(F.log2(n.cast("double"))), F.lit(SIZE_CLASSES - 1)).cast("int")
+def collision_rates() -> np.ndarray:
+    """``collision_rate`` by classes of sizes, powers of two."""
+    sizes = 1.5 * 2.0 ** np.arange(SIZE_CLASSES)
+    return np.array([[collision_rate(a, b) for b in sizes] for a in sizes])
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """Number of equal bytes of two lists of 64-bit bands."""
-    low = 0x7F7F7F7F
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(n).astype(int), SIZE_CLASSES - 1)
 
-    def equal_bytes(half: Column) -> Column:
-        marked = (half.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(half).bitwiseOR(F.lit(low))
-        return F.lit(32) - F.bit_count(marked.bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    def in_band(x: Column, y: Column) -> Column:
-        other = x.bitwiseXOR(y)
-        return equal_bytes(other.bitwiseAND(F.lit(0xFFFFFFFF))) + equal_bytes(F.shiftrightunsigned(other, 32))
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of rows of registers, corrected for chance collisions.
 
-    filler = F.lit(BANDS * (8 - ROWS))
-    return F.aggregate(F.zip_with(a, b, in_band), F.lit(0), lambda total, x: total + x) - filler
-
-
-def estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """Jaccard similarity estimated from sketches, corrected for chance collisions."""
-    rates = [
-        collision_rate(1.5 * 2.0**i, 1.5 * 2.0**j) for i in range(SIZE_CLASSES) for j in range(SIZE_CLASSES)
-    ]
-    chance = F.element_at(
-        F.lit(rates), (_size_class(n_a) * SIZE_CLASSES + _size_class(n_b) + 1).cast("int")
-    )
-    return (agreeing(a, b) / F.lit(REGISTERS) - chance) / (1 - chance)
+    Agreeing buckets over buckets that either set fills, which for short texts is nearly exact.
+    """
+    agree = ((a == b) & (a != 0)).sum(axis=1)
+    share = agree / np.maximum(1, ((a | b) != 0).sum(axis=1))
+    chance = rates[_size_class(n_a), _size_class(n_b)]
+    return (share - chance) / (1 - chance)
 
 
-def standard_error(union: Column) -> Column:
+def standard_error(union: np.ndarray) -> np.ndarray:
     """Standard error of the estimate at the threshold, for sets whose union has this size.
 
     Filled registers are draws without replacement from the union, so a short text leaves little to
-    chance; copies of registers weigh some of them more than others.
+    chance.
     """
-    share = 1 - F.exp(-union / F.lit(REGISTERS))
-    filled = share * REGISTERS
-    spread = F.greatest(F.lit(0.0), 1 - filled / union) + share * (1 - share)
-    return F.sqrt(F.lit(PERCENT / 100 * (1 - PERCENT / 100)) / filled * spread)
+    filled = (1 - np.exp(-union / REGISTERS)) * REGISTERS
+    at = PERCENT / 100
+    return np.sqrt(at * (1 - at) / filled * np.maximum(0.0, 1 - filled / union))
 
 
-def may_link(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, rates: np.ndarray) -> np.ndarray:
     """Sizes allow the similarity, and the estimate does not rule it out.
 
     The estimate may lie ``SLACK`` standard errors below the threshold, and two elements of the union
     more, since the error of very short texts comes in whole elements.
     """
-    fewer, more = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    union = (n_a + n_b) / F.lit(1 + PERCENT / 100)
-    floor = F.lit(PERCENT / 100) - SLACK * standard_error(union) - 2 / union
-    return (100 * fewer >= PERCENT * more) & (estimate(a, b, n_a, n_b) >= floor)
+    fewer, more = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    out = 100 * fewer >= PERCENT * more
+    union = (n_a + n_b) / (1 + PERCENT / 100)
+    floor = PERCENT / 100 - SLACK * standard_error(union) - 2 / union
+    at = np.flatnonzero(out)
+    for i in range(0, len(at), PAIR_CHUNK):
+        part = at[i : i + PAIR_CHUNK]
+        out[part] = estimate(a[part], b[part], n_a[part], n_b[part], rates) >= floor[part]
+    return out
+
+
+def _bytes(lists: pa.Array, n: int) -> np.ndarray:
+    """Rows of registers from lists of 64-bit numbers."""
+    return np.ascontiguousarray(_numbers(lists, n)).view(np.uint8)
+
+
+def _numbers(lists: pa.Array, n: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(n, BANDS)
+
 
+def _likely(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
+    n = len(a)
+    sizes = (n_a.to_numpy(), n_b.to_numpy())
+    return pa.array(may_link(_bytes(a, n), _bytes(b, n), *sizes, collision_rates()) if n else [], pa.bool_())
 
-def no_earlier_band(a: Column, b: Column, band: Column) -> Column:
-    """Whether two sketches that share ``band`` share none before it."""
-    same = F.zip_with(F.slice(a, F.lit(1), band), F.slice(b, F.lit(1), band), lambda x, y: x == y)
-    return F.coalesce(F.array_position(same, F.lit(True)), F.lit(0)) == 0
+
+def _pairs_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``a, b`` of rows of one ``pack`` (neighbouring rows) that may be links.
+
+    Only pairs of different components, of the two blocks that the pack is for, and in the first
+    band that the two share. Rows of the last pack of a batch wait for the next batch; packs are bounded.
+    """
+    rates, rest = collision_rates(), None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if rest is None or not len(rest):
+            continue
+        pack = rest["pack"].to_numpy()
+        ended = np.flatnonzero(pack != pack[-1])
+        n = len(pack) if batch is None else int(ended[-1]) + 1 if len(ended) else 0
+        now, rest = rest.slice(0, n), rest.slice(n)
+        if not n:
+            continue
+        pack = pack[:n]
+        v, root, size, band, block, across = (
+            now[c].to_numpy() for c in ("v", "root", "n", "band", "block", "across")
+        )
+        bands = _numbers(now["bands"].combine_chunks(), n)
+        plain = _bytes(now["registers"].combine_chunks(), n)
+        step = 1
+        while step < n:
+            left = np.flatnonzero(pack[:-step] == pack[step:])
+            if not len(left):
+                break
+            left = left[(root[left] != root[left + step]) & ((block[left] != block[left + step]) == across[left])]
+            for i in range(0, len(left), PAIR_CHUNK):
+                x = left[i : i + PAIR_CHUNK]
+                y = x + step
+                good = may_link(plain[x], plain[y], size[x], size[y], rates)
+                x, y = x[good], y[good]
+                first = (bands[x] == bands[y]).argmax(axis=1) == band[x]
+                x, y = x[first], y[first]
+                if len(x):
+                    yield pa.record_batch([pa.array(v[x]), pa.array(v[y])], ["a", "b"])
+            step += 1
 
 
 class _Search:
@@ -250,7 +298,7 @@ class _Search:
 
     def _members(self) -> DataFrame:
         """``bucket, band, v, size``: all buckets with at least two different sets."""
-        bands = self.sketches.select("v", F.posexplode("registers").alias("band", "value"))
+        bands = self.sketches.select("v", F.posexplode("bands").alias("band", "value"))
         bands = bands.select("v", "band", F.xxhash64("band", "value").alias("bucket"))
         # Copies fold into one row map-side where they meet.
         sizes = bands.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"))
@@ -261,7 +309,7 @@ class _Search:
         return members.join(sizes, "bucket")
 
     def _vertices(self) -> None:
-        """``v, doc_id, n, registers`` of every set that shares a bucket, from its smallest document."""
+        """``v, doc_id, n, bands, registers`` of every set that shares a bucket, from its smallest document."""
         wanted = stored(self.members.select("v").distinct(), "wanted")
         self.n_vertices = wanted.count()
         rows = self.sketches.join(small(wanted, self.n_vertices, 16), "v", "left_semi")
@@ -269,6 +317,7 @@ class _Search:
             rows.groupBy("v").agg(
                 F.min("doc_id").alias("doc_id"),
                 F.max("n").alias("n"),
+                F.any_value("bands").alias("bands"),
                 F.any_value("registers").alias("registers"),
             ),
             "vertices",
@@ -291,14 +340,9 @@ class _Search:
         sketch = self.vertices.select("v", "n", "registers")
         left = sketch.toDF("a", "n_a", "registers_a")
         right = sketch.toDF("b", "n_b", "registers_b")
-        return (
-            pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-            .join(left, "a")
-            .join(right, "b")
-            .where(may_link(*[F.col(c) for c in ("registers_a", "registers_b", "n_a", "n_b")]))
-            .select("a", "b")
-        )
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        likely = F.arrow_udf(_likely, "boolean")("registers_a", "registers_b", "n_a", "n_b")
+        return pairs.join(left, "a").join(right, "b").where(likely).select("a", "b")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that are links, by their full sets."""
@@ -344,21 +388,33 @@ class _Search:
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         mixed = mixed.where(F.col("low") != F.col("high")).select("bucket")
         open_ = stored(placed.join(mixed, "bucket", "left_semi").select("bucket", "band", "v", "root"), "open")
-        # Sketches ride along, so that the join puts out no pair that they rule out, and each pair in
-        # the first bucket that it shares only.
-        sketched = open_.join(self.vertices.select("v", "n", "registers"), "v")
-        a, b = sketched.alias("a"), sketched.alias("b")
-        pairs = a.join(
-            b,
-            (F.col("a.bucket") == F.col("b.bucket"))
-            & (F.col("a.v") < F.col("b.v"))
-            & (F.col("a.root") != F.col("b.root"))
-            & may_link(*[F.col(c) for c in ("a.registers", "b.registers", "a.n", "b.n")])
-            & no_earlier_band(F.col("a.registers"), F.col("b.registers"), F.col("a.band")),
-        )
-        last = self.confirmed(pairs.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")))
+        last = self.confirmed(self._inside(open_).distinct())
         return links.union(last)
 
+    def _inside(self, rows: DataFrame) -> DataFrame:
+        """Pairs inside buckets that sketches do not rule out.
+
+        A bucket is cut into blocks of about ``BLOCK_ROWS`` by hash, and every two blocks meet in a
+        pack, so that a task compares a bounded number of rows at a time however large a bucket is.
+        """
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"))
+        blocks = F.ceil(F.col("held") / BLOCK_ROWS).cast("int")
+        rows = rows.join(sizes, "bucket").withColumn("blocks", blocks)
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        rows = rows.select(
+            F.xxhash64("bucket", low, high).alias("pack"),
+            (low != high).alias("across"),
+            "block",
+            "band",
+            "v",
+            "root",
+        )
+        rows = rows.join(self.vertices.select("v", "n", "bands", "registers"), "v")
+        packs = rows.repartition("pack").sortWithinPartitions("pack", "block", "v")
+        return packs.mapInArrow(_pairs_inside, "a bigint, b bigint")
+
     def classes(self) -> DataFrame:
         """``v, component_id`` of every set."""
         roots = connected(self.links())
