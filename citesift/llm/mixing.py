@@ -238,21 +238,23 @@ def mixing_rates(
     targets: dict[str, float] | None = None,
     doc: str = "doc_id",
     text: str = "text",
+    carry: list[str] | None = None,
 ) -> tuple[DataFrame, Column, Column]:
     """``docs`` with a membership struct, the column of its name, and the rate of a row.
 
-    ``labels`` has ``doc_id`` and ``domain``. Sums per posterior are written before the fit.
+    ``labels`` has ``doc_id`` and ``domain``. Texts are scored once: the columns ``carry`` (all, if
+    not given) are written with the result, which is cheaper than scoring them again.
     """
     targets = targets or TARGETS
     total = sum(targets.values())
     domains = sorted(targets)
     model = fit_domains(docs, labels, domains, doc, text)
     name = fresh(docs, "membership")
-    member = docs.withColumn(name, membership(docs, model, text))
+    columns = [column(c) for c in (carry or docs.columns)]
+    member = stored(docs.select(*columns, membership(docs, model, text).alias(name)), "memberships")
     m = F.col(name)
-    slim = docs.select(membership(docs, model, text).alias("m"))
-    groups = slim.groupBy(F.col("m.posterior").alias("posterior"))
-    groups = stored(groups.agg(F.sum("m.n_tokens").alias("tokens")).coalesce(8), "posteriors")
+    groups = member.groupBy(m["posterior"].alias("posterior")).agg(F.sum(m["n_tokens"]).alias("tokens"))
+    groups = stored(groups.coalesce(8), "posteriors")
     steps = fit_rates(groups, [targets[d] / total for d in domains])
     return member, m, rate_of(m["posterior"], steps)
 

@@ -99,8 +99,9 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    member, m, rate = mixing.mixing_rates(docs, domain_labels(spark, sf_dir))
-    copies = mixing.copies_of(F.col("rate"), F.col("doc_id"), F.xxhash64(text_bytes("text")))
+    docs = docs.withColumn("text_key", F.xxhash64(text_bytes("text")))
+    member, m, rate = mixing.mixing_rates(docs, domain_labels(spark, sf_dir), carry=["doc_id", "text_key"])
+    copies = mixing.copies_of(F.col("rate"), F.col("doc_id"), F.col("text_key"))
     domains = sorted(mixing.TARGETS)
     return member.withColumn("rate", rate).select(
         "doc_id",
