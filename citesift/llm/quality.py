@@ -31,7 +31,7 @@ from citesift.llm.texts import WHITE_SPACE, WordHashes, windows, word_hashes
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_HOST_RATE = 0.5
-MIN_STRENGTH, MAX_STRENGTH = 1.0, 1e6
+MIN_STRENGTH, MAX_STRENGTH = 2.0, 1e6
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 MEASURES_TYPE = "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">"

@@ -93,8 +93,8 @@ WITH docs AS (
 ), moments AS (
     SELECT avg(n_failed / n_docs) AS mean, var_samp(n_failed / n_docs) AS variance FROM hosts
 ), prior AS (
-    SELECT mean, CASE WHEN variance IS NULL THEN 1 WHEN variance = 0 THEN 1e6
-        ELSE least(1e6, greatest(1, mean * (1 - mean) / variance - 1)) END AS strength FROM moments
+    SELECT mean, CASE WHEN variance IS NULL THEN 2 WHEN variance = 0 THEN 1e6
+        ELSE least(1e6, greatest(2, mean * (1 - mean) / variance - 1)) END AS strength FROM moments
 ), verdicts AS (
     SELECT host, (n_failed + mean * strength) / (n_docs + strength) AS host_rate FROM hosts, prior
 )
