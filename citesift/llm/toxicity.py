@@ -4,7 +4,8 @@ The network (``gru``) is trained on the driver from a bounded sample of labelled
 ``SAMPLE_PER_CLASS`` per class, in hash order, with texts up to ``SAMPLE_BYTES``. Only the label of a
 document is known, not where it is toxic. So each epoch scores all windows of the sample, and every
 document teaches its highest window (clean ones also a random one). Embeddings start with the log
-odds of words and n-grams, which say where to look first.
+odds of words and n-grams, which say where to look first; those of words and n-grams in fewer than
+``MIN_TEXTS`` sampled texts stay zero.
 
 Scoring is one Arrow pass without a shuffle: windows of ``WINDOW`` words every ``STRIDE`` words over
 the whole text, in batches of ``BATCH_WINDOWS`` whatever the length of a text. The words met are
@@ -36,6 +37,7 @@ EPOCHS, PASSES, BATCH, RATE = 7, 2, 64, 0.01
 BATCH_WINDOWS = 2048
 KNOWN_WORDS = 300_000
 MARKS = b".,;:!?()[]{}\"'*#$%&|<>"
+MIN_TEXTS = 4
 SEED = 11
 
 
@@ -112,16 +114,20 @@ class Scorer:
         return np.fromiter(map(self.lexicon.__getitem__, words), np.int32, len(words))
 
 
-def log_odds(documents: list[np.ndarray], labels: np.ndarray, n_buckets: int) -> np.ndarray:
-    """How much more often a bucket occurs in documents of label 1, within -1 and 1."""
-    seen = np.full((2, n_buckets), 0.5)
+def log_odds(
+    documents: list[np.ndarray], labels: np.ndarray, n_buckets: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """How much more often a bucket occurs in documents of label 1, within -1 and 1; and which are known.
+
+    Buckets of fewer than ``MIN_TEXTS`` documents are unknown: learning them would be learning texts by heart.
+    """
+    seen = np.zeros((2, n_buckets))
     for buckets, label in zip(documents, labels):
         seen[int(label), np.unique(buckets)] += 1
     n = np.bincount(labels, minlength=2) + 1
-    odds = np.log(seen[1] / n[1]) - np.log(seen[0] / n[0])
-    # What occurs in a few documents only says nothing.
-    odds[seen.sum(axis=0) < 5] = 0
-    return np.clip(odds / 4, -1, 1).astype(np.float32)
+    odds = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
+    known = seen.sum(axis=0) >= MIN_TEXTS
+    return np.where(known, np.clip(odds / 4, -1, 1), 0).astype(np.float32), known
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> gru.Model:
@@ -144,13 +150,15 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> gru.Model
     buckets = np.array([0] + [gru.word_bucket(w) for w in words])
     codes, first = gru.gram_buckets(words)
     ends = np.append(first[1:], len(codes))
-    model.words[:, 0] = log_odds([buckets[d] for d in documents], labels, len(model.words))
+    model.words[:, 0], known_words = log_odds([buckets[d] for d in documents], labels, len(model.words))
 
     def grams_of(ids: np.ndarray) -> np.ndarray:
         distinct = np.unique(ids) - 1
         return np.concatenate([codes[first[w] : ends[w]] for w in distinct])
 
-    model.grams[:, 0] = log_odds([grams_of(d) for d in documents], labels, len(model.grams))
+    model.grams[:, 0], known_grams = log_odds([grams_of(d) for d in documents], labels, len(model.grams))
+    model.words[~known_words] = 0
+    model.grams[~known_grams] = 0
     vectors = gru.word_vectors(model, words)
     hint = np.concatenate([[-9.0], vectors[:, 0] + vectors[:, gru.D_WORD]])
 
@@ -187,6 +195,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> gru.Model
                     local = local + 1
                 weight = np.full(len(at), 1 / len(at), np.float32)
                 _, gradient = gru.gradients(model, [words[w - 1] for w in distinct], local, target[at], weight)
+                gradient.words[~known_words] = 0
+                gradient.grams[~known_grams] = 0
                 optimiser.update(model, gradient)
         optimiser.rate = RATE * (1 - (epoch + 1) / EPOCHS) + RATE / 10
     return model

@@ -72,3 +72,8 @@ def test_empty_table_and_no_python(docs):
     assert found.count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_of_numbers_are_no_template(docs):
+    data = [(i, f"{own(i)}\n{i} {i}0 {i}5 12{i} 9 {i}") for i in range(1, 8)]
+    assert texts(drop_recurring_lines(docs(data))) == dict(data)
