@@ -5,7 +5,7 @@ with a digit being a variable field ``<*>``. Lines of one leaf are generalised p
 a token that at least ``MIN_TEXTS`` texts and one in ``SHARE`` of the leaf's texts have in a place is
 constant, any other is a variable field. A line belongs to the leaf's template if enough of it is
 constant. A line whose masked form alone recurs in ``MIN_TEXTS`` texts is a template by itself,
-however mixed its leaf is.
+however mixed its leaf is, unless most of it is fields (rows of numbers are no template).
 
 Templates that recur in at least ``MIN_TEXTS`` different texts are dropped from every document but
 the one with the smallest id, so that no content vanishes from the corpus. Texts are counted, not
@@ -98,8 +98,10 @@ def recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     matched = fields.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "template").agg(
         F.count(F.lit(1)).alias("n_constant")
     )
-    general = 10 * F.coalesce("n_constant", F.lit(0)) >= CONSTANT_TENTHS * F.size(F.split("masked", " "))
-    alone = F.col("n_texts") >= MIN_TEXTS
+    tokens_of = F.split("masked", " ")
+    fixed = F.size(F.filter(tokens_of, lambda t: t != FIELD))
+    general = 10 * F.coalesce("n_constant", F.lit(0)) >= CONSTANT_TENTHS * F.size(tokens_of)
+    alone = (F.col("n_texts") >= MIN_TEXTS) & (2 * fixed >= F.size(tokens_of))
     ruled = forms.join(matched, ["leaf", "template"], "left").where(general | alone)
     # Templates of a leaf are one group; a line that only recurs by itself is its own.
     group = F.when(general, F.col("leaf")).otherwise(F.concat(F.lit("= "), F.col("masked")))

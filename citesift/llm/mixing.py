@@ -23,7 +23,8 @@ rate depends on its posterior alone.
 
 Defined cases: NULL texts are empty and have no tokens; labels with a NULL in any column, or for unknown documents,
 are ignored; without any label, posteriors are equal; a domain without labels has posterior 0, and
-its target cannot be met (least squares then gives the nearest mixture); repeated rows each count and
+its target cannot be met (least squares then goes for the nearest mixture, for ``MAX_STEPS`` steps at most;
+targets of zero are only approached); repeated rows each count and
 get the same rate and copies; an empty table gives an empty result.
 """
 

@@ -129,7 +129,8 @@ WITH docs AS (
     GROUP BY ALL
 ), ruled AS (
     SELECT leaf, masked, CASE WHEN 10 * coalesce(n_constant, 0) >= 7 * len(parts) THEN leaf
-        WHEN n_texts >= 3 THEN '= ' || masked END AS grp
+        WHEN n_texts >= 3 AND 2 * len(list_filter(parts, lambda t: t <> '<*>')) >= len(parts)
+        THEN '= ' || masked END AS grp
     FROM forms LEFT JOIN matched USING (leaf, masked)
 ), hits AS (
     SELECT r, i, doc_id, text, grp FROM held JOIN ruled USING (leaf, masked) WHERE grp IS NOT NULL
