@@ -29,7 +29,8 @@ def extract_citations(answer: Column) -> Column:
 def grounding_score(answer: Column, provided_ids: Column) -> Column:
     """``struct<has_citation, valid_fraction, n_citations>`` of one answer.
 
-    Without citations nothing is invalid (1.0). With citations but no passages all are (0.0).
+    Without citations nothing is invalid (1.0). With citations but no passages all are (0.0). A NULL
+    answer cites nothing and counts as ungrounded (0.0).
     """
 
     def score(cited: Column) -> Column:
@@ -41,7 +42,10 @@ def grounding_score(answer: Column, provided_ids: Column) -> Column:
             n.alias("n_citations"),
         )
 
-    return bind(extract_citations(answer), score)
+    missing = F.struct(
+        F.lit(False).alias("has_citation"), F.lit(0.0).alias("valid_fraction"), F.lit(0).alias("n_citations")
+    )
+    return F.when(answer.isNull(), missing).otherwise(bind(extract_citations(answer), score))
 
 
 def id_survives_citation(chunk_id: Column) -> Column:

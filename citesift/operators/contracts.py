@@ -70,8 +70,16 @@ def check_unique_ids(index: DataFrame) -> None:
 
 
 def align_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Join chunk rows and vectors that were computed apart, one to one on ``chunk_id``."""
-    return chunks.join(vectors.select("chunk_id", "embedding"), "chunk_id")
+    """Join chunk rows and vectors that were computed apart, one to one on ``chunk_id``.
+
+    A chunk without a vector, or a vector without a chunk, fails the job that reads the result.
+    """
+    found = vectors.select("chunk_id", "embedding", F.lit(True).alias("_vector"))
+    both = chunks.withColumn("_chunk", F.lit(True)).join(found, "chunk_id", "full_outer")
+    alone = F.col("_chunk").isNull() | F.col("_vector").isNull()
+    message = F.concat(F.lit("no partner for chunk id "), F.coalesce("chunk_id", F.lit("NULL")))
+    checked = F.when(alone, F.raise_error(message)).otherwise(F.lit(True))
+    return both.where(checked).drop("_chunk", "_vector")
 
 
 def check_aligned(chunks: DataFrame, vectors: DataFrame) -> None:

@@ -30,7 +30,7 @@ class HashEncoder:
 
     Runs wholly inside the JVM: token buckets are built-in expressions, the counting is the
     vocabulary lookup of ``CountVectorizerModel`` over the fixed bucket names. Stateless, so it
-    also runs on streams.
+    also runs on streams. A NULL text has no tokens and gets the zero vector, as an empty one.
     """
 
     def __init__(self, dim: int = HASH_DIM):
@@ -41,7 +41,7 @@ class HashEncoder:
             bucket_labels(self.dim), inputCol="_buckets", outputCol="_counts"
         )
         unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit")
-        bucketed = df.withColumn("_buckets", token_buckets(F.col(text_col), self.dim))
+        bucketed = df.withColumn("_buckets", token_buckets(F.coalesce(text_col, F.lit("")), self.dim))
         return (
             unit.transform(counts.transform(bucketed))
             .withColumn(out_col, vector_to_array("_unit", "float32"))

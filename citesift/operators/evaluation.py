@@ -14,8 +14,6 @@ from citesift.operators.metrics import compare_orders, ranking_summary
 from citesift.operators.rerank import Ranker, rerank
 from citesift.operators.topk import attach_passages, dense_topk
 
-PER_QUERY_IN_REPORT = 10_000
-
 GROUNDING = T.StructType(
     [
         T.StructField("mean_valid_citation_fraction", T.DoubleType()),
@@ -64,38 +62,19 @@ def evaluate_ranking(features: DataFrame, relevance: DataFrame, ranker: Ranker,
 
 
 def build_report(
-    per_query: DataFrame, routing: DataFrame, grounding: DataFrame | None, config: RunConfig
+    per_query: DataFrame,
+    routing: DataFrame,
+    grounding: DataFrame | None,
+    config: RunConfig,
+    per_query_path: str | None = None,
 ) -> DataFrame:
     """One nested row: time, config, and the metrics of ranking, routing and grounding.
 
-    A skipped grounding run is a NULL struct. The per-query rows are embedded while they are few
-    (at most ``PER_QUERY_IN_REPORT``); a longer list stays a table of its own, written next to the
-    report, and the field is NULL.
+    A skipped grounding run is a NULL struct. The per-query rows are a table of their own, however
+    many they are; the report names its path.
     """
-    n = per_query.count()
     ranking = ranking_summary(per_query)
-    row_type = T.ArrayType(
-        T.StructType(
-            [T.StructField("query", T.StringType())]
-            + [T.StructField(c, T.DoubleType()) for c in ("dense_ndcg", "reranked_ndcg", "delta")]
-        )
-    )
-    if n <= PER_QUERY_IN_REPORT:
-        entry = F.struct("seq", "query", "dense_ndcg", "reranked_ndcg", "delta")
-        listed = per_query.agg(F.array_sort(F.collect_list(entry)).alias("rows")).select(
-            F.transform(
-                "rows",
-                lambda r: F.struct(
-                    r.query.alias("query"),
-                    r.dense_ndcg.alias("dense_ndcg"),
-                    r.reranked_ndcg.alias("reranked_ndcg"),
-                    r.delta.alias("delta"),
-                ),
-            ).alias("per_query")
-        )
-        ranking = _one_row(ranking, listed)
-    else:
-        ranking = ranking.withColumn("per_query", F.lit(None).cast(row_type))
+    ranking = ranking.withColumn("per_query_path", F.lit(per_query_path).cast("string"))
     parts = [
         ranking.select(F.struct(*ranking.columns).alias("reranker")),
         routing.select(F.struct(*routing.columns).alias("intent")),

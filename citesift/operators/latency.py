@@ -1,9 +1,11 @@
 """Latency statistics: exact, linearly interpolated percentiles of groups of any size.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in the memory of one task. Up to
-``SMALL_ROWS`` rows in total that is fine and fastest. Beyond it, equal values are counted first,
-each group is cut into value ranges at approximate quantiles, and only the few ranges that hold the
-wanted positions are sorted. Both ways give the same numbers.
+Spark's exact ``percentile`` keeps every distinct value of a group in the memory of one task. Here
+equal values are counted first, each group is cut into value ranges at approximate quantiles, and
+only the few ranges that hold the wanted positions are sorted. The number of ranges follows the data.
+
+NULL groups are groups; NULL values are left out of ``n``, mean and positions, and a group with
+nothing else has ``n`` 0 and no numbers.
 """
 
 from __future__ import annotations
@@ -11,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 20_000_000
-RANGES = 256
+RANGE_ROWS = 200_000
+MIN_RANGES, MAX_RANGES = 16, 8192
 
 
 def latency_summary(
@@ -20,29 +22,29 @@ def latency_summary(
     groups: list[str],
     value: str = "latency_ms",
     probabilities: tuple[float, ...] = (0.5, 0.95),
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """``groups, n, p50, p95, .., mean`` per group."""
     counts = df.groupBy(*groups, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return summarize_counts(counts, groups, probabilities, df.count() <= small_rows)
+    return summarize_counts(counts, groups, probabilities)
 
 
 def summarize_counts(
-    counts: DataFrame, groups: list[str], probabilities: tuple[float, ...], small: bool
+    counts: DataFrame, groups: list[str], probabilities: tuple[float, ...]
 ) -> DataFrame:
     """The same from ``groups, value, n`` rows, for example the sink of the event rollup."""
-    base = counts.groupBy(*groups).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")
+    # A struct is never NULL itself, so that joins keep NULL groups.
+    keyed = counts.select(F.struct(*groups).alias("_group"), "value", "n")
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    base = keyed.groupBy("_group").agg(
+        F.coalesce(F.sum(known), F.lit(0)).alias("n"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum(known)).alias("mean"),
+    )
+    valued = keyed.where(F.col("value").isNotNull())
+    quantiles = percentiles_by_range(valued, ["_group"], probabilities)
+    names = [percent_name(p) for p in probabilities]
+    return base.join(quantiles, "_group", "left").select(
+        *[F.col("_group")[g].alias(g) for g in groups], "n", *names, "mean"
     )
-    if small:
-        wanted = F.array(*[F.lit(p) for p in probabilities])
-        found = counts.groupBy(*groups).agg(F.percentile("value", wanted, F.col("n")).alias("_p"))
-        quantiles = found.select(
-            *groups, *[F.col("_p")[i].alias(percent_name(p)) for i, p in enumerate(probabilities)]
-        )
-    else:
-        quantiles = percentiles_by_range(counts, groups, probabilities)
-    return base.join(quantiles, groups)
 
 
 def percent_name(p: float) -> str:
@@ -53,9 +55,10 @@ def percentiles_by_range(
     counts: DataFrame, groups: list[str], probabilities: tuple[float, ...]
 ) -> DataFrame:
     """Percentiles of ``groups, value, n`` rows without sorting any group as a whole."""
-    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    ranges = min(MAX_RANGES, max(MIN_RANGES, counts.count() // RANGE_ROWS))
+    cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     edges = counts.groupBy(*groups).agg(
-        F.percentile_approx("value", cuts, RANGES * 16).alias("_edges")
+        F.percentile_approx("value", cuts, ranges * 16).alias("_edges")
     )
     ranged = counts.join(edges, groups).select(
         *groups,

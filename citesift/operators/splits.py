@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citesift.operators.numbering import (
     hash_bucket,
@@ -53,10 +54,16 @@ def stratified_holdout(
     quotas = holdout_quotas(counts, share)
     order = hash_order(key)
     numbered = number_rows(labelled, [label], [order, F.col(key)], hash_bucket(order))
-    quota = F.lit(0)
-    for c, n in quotas.items():
-        quota = F.when(F.col(label) == c, n).otherwise(quota)
-    return numbered.withColumn("is_test", F.col("position") <= quota)
+    wanted = labelled.sparkSession.createDataFrame(
+        [(c, n) for c, n in quotas.items()],
+        T.StructType([T.StructField("_label", labelled.schema[label].dataType), T.StructField("_quota", T.LongType())]),
+    )
+    # One row per class.
+    return (
+        numbered.join(F.broadcast(wanted), F.col(label).eqNullSafe(F.col("_label")))
+        .withColumn("is_test", F.col("position") <= F.col("_quota"))
+        .drop("_label", "_quota")
+    )
 
 
 def fold_count(class_counts: DataFrame, folds: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,22 +39,23 @@ def evaluate_models(
     llm_model: str = "",
 ) -> DataFrame:
     """Write and return the report. Without a generator the grounding part is skipped, and says so."""
+    run = f"{work_dir(spark)}/eval-{uuid.uuid4().hex[:12]}"
     index = read_index(spark, paths.index)
     scorer = scorer or Bm25Scorer.from_stats(*saved_stats(index, f"{paths.index}.stats"))
     ranker = ModelRanker(load_model(paths.ranker))
     labelled, relevance, features = labelled_candidates(
         spark, paths.relevance_eval, index, encoder, scorer, retrieve_top_k
     )
-    features = write_and_read(features, f"{work_dir(spark)}/eval-features")
+    features = write_and_read(features, f"{run}/features")
     names = labelled.select("query_id", "seq", "query")
     per_query = evaluate_ranking(features, relevance, ranker, rerank_top_k).join(names, "query_id")
-    per_query = write_and_read(per_query, f"{work_dir(spark)}/eval-per-query")
+    per_query = write_and_read(per_query, f"{run}/per-query")
     ranking = ranking_summary(per_query).first().asDict()
     log_event(spark, paths.events, "eval", "reranker", **ranking)
 
     intents = with_file_order(read_jsonl(spark, paths.intents, INTENT))
     routing = write_and_read(
-        evaluate_router(encoder.encode(intents, "query"), router_config), f"{work_dir(spark)}/eval-routing"
+        evaluate_router(encoder.encode(intents, "query"), router_config), f"{run}/routing"
     )
     numbers = routing.first().asDict()
     numbers["per_class_f1"] = F.to_variant_object(
@@ -65,7 +68,7 @@ def evaluate_models(
         log_event(spark, paths.events, "eval", "grounding_skipped", "WARNING", reason="no generator given")
     else:
         scored = answer_and_score(names, rerank(features, ranker, rerank_top_k), generator)
-        grounding = write_and_read(grounding_summary(scored), f"{work_dir(spark)}/eval-grounding")
+        grounding = write_and_read(grounding_summary(scored), f"{run}/grounding")
         log_event(spark, paths.events, "eval", "grounding", **grounding.first().asDict())
 
     config = RunConfig(
@@ -77,7 +80,8 @@ def evaluate_models(
         paths.relevance_eval,
         paths.intents,
     )
-    report = build_report(per_query, routing, grounding, config)
+    rows_path = f"{paths.report}.per_query"
+    write_per_query(per_query, rows_path)
+    report = build_report(per_query, routing, grounding, config, rows_path)
     write_report(report, paths.report)
-    write_per_query(per_query, f"{paths.report}.per_query")
     return report

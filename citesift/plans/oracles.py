@@ -571,6 +571,20 @@ FROM events""",
 SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50,
        round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 9) AS mean
 FROM events GROUP BY event_type""",
+    "latency_with_nulls": """
+SELECT kind, count(v) AS n, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95,
+       round(avg(v), 9) AS mean
+FROM (SELECT CASE WHEN user_id % 7 <> 0 THEN event_type END AS kind,
+             CASE WHEN user_id % 5 <> 0 THEN value END AS v FROM events)
+GROUP BY kind""",
+    "event_lines_blank": """
+SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN json_object(
+    'ts', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00', 'level', 'INFO', 'component', 'serve',
+    'event', event_type, 'user_id', user_id)
+  ELSE json_object(
+    'ts', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00', 'level', 'INFO', 'component', 'serve',
+    'event', event_type, 'user_id', user_id, 'k', (props->>'k')::bigint) END::varchar AS line
+FROM events""",
     "event_rollup": ROLLUP,
     "ask_batch": sql(*ASK, select=ASK_SELECT),
     "stream_index_table": sql(

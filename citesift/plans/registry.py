@@ -46,6 +46,7 @@ from citesift.operators.topk import dense_topk
 from citesift.plans import tables as T
 from citesift.plans.ask import RERANK_TOP_K, RETRIEVE_TOP_K, Assistant
 from citesift.session import work_dir
+from citesift.sources.index_store import read_index, record_facts
 from citesift.streaming.asks import stream_ask
 from citesift.streaming.ingest import stream_index
 from citesift.streaming.rollup import latency_counts, rollup, stream_latency_counts
@@ -446,7 +447,7 @@ def guardrail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def route_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.labelled_documents(spark, sf_dir)
-    trained = train_router(rows, trials=2)
+    trained = train_router(rows)
     return LogisticRouter(trained.model).route(rows.select("query_id", "embedding")).select(
         "query_id", "intent", rounded("confidence")
     )
@@ -639,6 +640,33 @@ def latency_summary_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", "n", rounded("p50"), rounded("p95"), F.round("mean", MEAN_DIGITS).alias("mean"))
 
 
+@query
+def latency_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every seventh user have no type, those of every fifth no latency."""
+    user = F.col("user_id")
+    events = T.table(spark, sf_dir, "events").select(
+        F.when(user % 7 != 0, F.col("event_type")).alias("kind"),
+        F.when(user % 5 != 0, F.col("value")).alias("latency_ms"),
+    )
+    found = latency_summary(events, ["kind"])
+    return found.select("kind", "n", rounded("p50"), rounded("p95"), F.round("mean", MEAN_DIGITS).alias("mean"))
+
+
+@query
+def event_lines_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lines where every third event lost its open fields and every fourth has broken ones."""
+    events = T.table(spark, sf_dir, "events")
+    props = F.when(F.col("event_id") % 3 == 0, None).when(F.col("event_id") % 4 == 0, "{broken")
+    line = event_json(
+        F.lit("serve"),
+        F.col("event_type"),
+        ts=utc_iso(F.col("ts")),
+        fields={"user_id": F.col("user_id")},
+        open_fields=F.from_json(props.otherwise(F.col("props")), "map<string, variant>"),
+    )
+    return events.select("event_id", line.alias("line"))
+
+
 def _rollup_columns(found: DataFrame) -> DataFrame:
     return found.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"),
@@ -722,7 +750,8 @@ def stream_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream_index(
         incoming, T.ENCODER, f"{folder}/out", f"{folder}/checkpoint", partitions=cores
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(
+    record_facts(spark, f"{folder}/out")
+    return read_index(spark, f"{folder}/out").select(
         "chunk_id", "doc_id", count_of("chunk_index", "chunk_index"), count_of(F.size("embedding"), "dim")
     )
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from citesift.operators.embedding import Encoder
@@ -18,7 +18,7 @@ from citesift.plans.ask import RETRIEVE_TOP_K
 from citesift.plans.ingest import build_corpus_index, saved_stats
 from citesift.session import work_dir, write_and_read
 from citesift.sources.eventlog import log_event
-from citesift.sources.index_store import read_index
+from citesift.sources.index_store import index_exists, read_index
 from citesift.sources.labels import INTENT, RELEVANCE, read_jsonl, relevance_pairs, with_file_order
 from citesift.sources.models import save_model
 
@@ -37,11 +37,9 @@ class Paths:
 
 
 def open_or_build_index(spark: SparkSession, paths: Paths, encoder: Encoder) -> DataFrame:
-    try:
+    """The saved index; one is built only where there is no table at all, so none is ever lost."""
+    if index_exists(spark, paths.index):
         return read_index(spark, paths.index)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
     return build_corpus_index(spark, paths.corpus, encoder, paths.index, events_path=paths.events)
 
 
@@ -70,7 +68,7 @@ def train_models(
         spark, paths.relevance_train, index, encoder, scorer, retrieve_top_k
     )
     # The trials read the candidates many times; written, they are searched only once.
-    features = write_and_read(features, f"{work_dir(spark)}/train-features")
+    features = write_and_read(features, f"{work_dir(spark)}/train-{uuid.uuid4().hex[:12]}/features")
     ranker = train_ranker(ranking_examples(features, relevance), ranker_trials)
     save_model(ranker.model, paths.ranker)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -22,21 +23,41 @@ INDEX_SCHEMA = T.StructType(
 def write_index(index: DataFrame, path: str) -> None:
     """Save the index and, next to it, the facts about what was saved: counts and dimensions."""
     index.select(INDEX_SCHEMA.names).write.mode("overwrite").parquet(path)
-    saved = index.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
+    record_facts(index.sparkSession, path)
+
+
+def record_facts(spark: SparkSession, path: str) -> None:
+    """Take the facts of a written index, for example after a stream has appended to it."""
+    saved = spark.read.schema(INDEX_SCHEMA).parquet(path)
     index_stats(saved).coalesce(1).write.mode("overwrite").json(f"{path}.facts")
 
 
+def index_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is an index table, with or without facts."""
+    try:
+        spark.read.schema(INDEX_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Open a saved index. It must hold what was written, with one vector of one size per chunk.
 
-    Only the row count is taken again, from file footers; no vector is read.
+    Only the row count is taken again, from file footers; no vector is read. A table without facts
+    (a write that was cut off, or a stream whose facts were not recorded) is an error.
     """
     index = spark.read.schema(INDEX_SCHEMA).parquet(path)
-    facts = spark.read.schema("n_chunks long, n_vectors long, min_dim long, max_dim long").json(f"{path}.facts")
-    check_index_facts(facts.first().asDict(), index.count())
+    facts_schema = "n_chunks long, n_vectors long, min_dim long, max_dim long"
+    try:
+        facts = spark.read.schema(facts_schema).json(f"{path}.facts")
+    except AnalysisException as e:
+        raise ValueError(f"{path} has no recorded facts: check it, then call record_facts") from e
+    facts = facts.first()
+    if facts is None:
+        raise ValueError(f"{path} has no recorded facts: check it, then call record_facts")
+    check_index_facts(facts.asDict(), index.count())
     return index
 
-
-def write_embedded(embedded: DataFrame, path: str) -> None:
-    """Keep embedded rows (any columns) aligned with their ids; they are never gathered."""
-    embedded.write.mode("overwrite").parquet(path)

@@ -21,6 +21,8 @@ def stream_index(
 ) -> StreamingQuery:
     """Append every new document's chunks; the file sink commits each batch exactly once.
 
+    When a run has ended, ``record_facts`` makes the table an index that ``read_index`` opens.
+
     ``partitions`` spreads a source of few, large splits before the encoding.
     """
     if partitions:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from citesift.operators.latency import SMALL_ROWS, summarize_counts
+from citesift.operators.latency import summarize_counts
 
 WINDOW = "1 day"
 LATENESS = "1 hour"
@@ -43,12 +43,19 @@ def stream_latency_counts(
     )
 
 
-def rollup(counts: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """``window_start, intent, n, refusal_rate, p50, p95, mean`` from the counts."""
+def rollup(counts: DataFrame) -> DataFrame:
+    """``window_start, intent, n, refusal_rate, p50, p95, mean`` from the counts.
+
+    ``n`` counts all events; those without a latency are left out of the other numbers.
+    """
     groups = ["window_start", "intent"]
     values = counts.groupBy(*groups, F.col("latency_ms").alias("value")).agg(F.sum("n").alias("n"))
-    refusals = counts.groupBy(*groups).agg(
-        (F.sum(F.when(F.col("refused"), F.col("n")).otherwise(0)) / F.sum("n")).alias("refusal_rate")
+    volume = counts.groupBy(*[F.col(g).alias(f"of_{g}") for g in groups]).agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.when(F.col("refused"), F.col("n")).otherwise(0)) / F.sum("n")).alias("refusal_rate"),
+    )
+    found = summarize_counts(values, groups, (0.5, 0.95)).drop("n")
+    same = [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups]
+    return found.join(volume, same[0] & same[1]).select(
+        *groups, "n", "p50", "p95", "mean", "refusal_rate"
     )
-    small = counts.count() <= small_rows
-    return summarize_counts(values, groups, (0.5, 0.95), small).join(refusals, groups)

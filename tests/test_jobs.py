@@ -19,6 +19,7 @@ from citesift.operators.routing import OUT_OF_SCOPE, CentroidRouter
 from citesift.plans.ask import Assistant
 from citesift.plans.evaluate import evaluate_models
 from citesift.plans.train import Paths, train_models
+from citesift.sources.index_store import read_index, record_facts
 from citesift.streaming.asks import stream_ask
 from citesift.streaming.ingest import stream_index
 from citesift.streaming.rollup import latency_counts, rollup, stream_latency_counts
@@ -121,7 +122,10 @@ def test_document_stream_equals_batch(documents, encoder, spark, tmp_path):
     stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "index")
     stream_index(stream, encoder, out, str(tmp_path / "c"), 8, 2).awaitTermination()
-    streamed = spark.read.parquet(out).orderBy("chunk_id").collect()
+    with pytest.raises(ValueError, match="no recorded facts"):
+        read_index(spark, out)
+    record_facts(spark, out)
+    streamed = read_index(spark, out).orderBy("chunk_id").collect()
     batch = encoder.encode(chunk_documents(documents, 8, 2)).orderBy("chunk_id").collect()
     assert streamed == batch
 
@@ -171,8 +175,9 @@ def test_train_and_evaluate_jobs(spark, encoder, tmp_path):
     assert spark.read.json(f"{paths.report}.per_query").count() == 2
 
 
-@pytest.mark.parametrize("small_rows", [10**9, 0])
-def test_percentiles_equal_numpy_both_ways(rows, small_rows):
+@pytest.mark.parametrize("range_rows", [200_000, 3])
+def test_percentiles_equal_numpy(rows, monkeypatch, range_rows):
+    monkeypatch.setattr("citesift.operators.latency.RANGE_ROWS", range_rows)
     rng = random.Random(6)
     groups = {
         "one": [7.0],
@@ -180,16 +185,23 @@ def test_percentiles_equal_numpy_both_ways(rows, small_rows):
         "ties": [5.0] * 500 + [6.0],
         "wide": [round(rng.lognormvariate(1, 2), 2) for _ in range(3000)],
         "few": [float(rng.randint(0, 3)) for _ in range(400)],
+        None: [1.0, None, 3.0, 5.0],
     }
     df = rows([(g, v) for g, vs in groups.items() for v in vs], "g string, latency_ms double").repartition(5)
-    found = {r.g: r for r in latency_summary(df, ["g"], small_rows=small_rows).collect()}
+    found = {r.g: r for r in latency_summary(df, ["g"]).collect()}
     assert set(found) == set(groups)
     for g, vs in groups.items():
-        r = found[g]
+        r, vs = found[g], [v for v in vs if v is not None]
         assert (r.n, r.mean) == (len(vs), pytest.approx(np.mean(vs)))
         assert (r.p50, r.p95) == tuple(pytest.approx(x) for x in np.percentile(vs, [50, 95]))
 
 
+def test_groups_without_any_latency_stay(rows):
+    df = rows([(None, None), ("a", None), ("a", 2.0)], "g string, latency_ms double")
+    found = {r.g: (r.n, r.p50, r.mean) for r in latency_summary(df, ["g"]).collect()}
+    assert found == {None: (0, None, None), "a": (1, 2.0, 2.0)}
+
+
 def served(rows, events):
     return rows(events, "ts timestamp, intent string, refused boolean, latency_ms double")
 

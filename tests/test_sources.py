@@ -126,6 +126,9 @@ def test_alignment(rows):
     with pytest.raises(ValueError):
         check_aligned(chunks, vectors.where("chunk_id = 'a'"))
     check_index(align_vectors(chunks, vectors))
+    for one, other in ((chunks, vectors.limit(1)), (chunks.limit(1), vectors)):
+        with pytest.raises(Exception, match="no partner"):
+            align_vectors(one, other).collect()
 
 
 def test_event_lines_keep_types_and_protect_the_spine(spark):
