@@ -15,7 +15,7 @@ Two kinds of models, told apart by the model file:
 
 A text is cut where no piece can lie across (before a space, around characters that only stand
 alone); those stretches, mostly words, and inside them the runs between two characters that no piece
-has side by side, are remembered per worker, up to ``REMEMBERED`` each.
+has side by side, are remembered per task, up to ``REMEMBERED`` each.
 
 Spaces become the marker character and one is put in front; characters outside the vocabulary become
 their UTF-8 bytes. The marker character itself, if a text holds it, is written as bytes too, so
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 LONG_STRETCH = 64
 SLICE_CHARS = 1 << 20
 BLOCK_IDS = 1 << 16
@@ -358,8 +358,16 @@ class Encoder(dict):
 _encoders: dict[int, Encoder] = {}
 
 
+def _released(encoder: Encoder, results: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    try:
+        yield from results
+    finally:
+        encoder.clear()
+        encoder.runs.clear()
+
+
 def task_encoder(key: int, vocab: Vocabulary) -> Encoder:
-    """The encoder of this worker process for one broadcast model; what it remembers serves later tasks."""
+    """The encoder of this worker process for one broadcast model."""
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(vocab)
@@ -388,6 +396,10 @@ def encoded(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = task_encoder(key, shared.value)
+        # Words are let go when the task ends: an idle worker keeps only what merging has taught it.
+        yield from _released(encoder, encode_with(encoder, batches))
+
+    def encode_with(encoder: Encoder, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [encoder.encode(t.as_py()) if t.is_valid else None for t in batch]
             sizes = [0 if r is None else len(r) for r in rows]

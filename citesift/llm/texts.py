@@ -15,7 +15,7 @@ import xxhash
 
 WHITE_SPACE = b" \t\n\v\f\r"
 SLICE_BYTES = 1 << 20
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 SHINGLE_WORDS = 5
 
 _gap = re.compile(rb"[ \t-\r]")

@@ -35,7 +35,7 @@ SAMPLE_PER_CLASS = {0: 1600, 1: 800}
 SAMPLE_BYTES = 24_000
 EPOCHS, PASSES, BATCH, RATE = 7, 2, 64, 0.01
 BATCH_WINDOWS = 2048
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 MARKS = b".,;:!?()[]{}\"'*#$%&|<>"
 MIN_TEXTS = 4
 SEED = 11
