@@ -45,11 +45,14 @@ def candidates(
 ) -> DataFrame:
     """Retrieved, featurised candidates of every query. ``queries``: ``query_id, query, embedding``.
 
-    Queries without hits have no rows.
+    Queries without hits have no rows. Query ids must be unique, as hits are kept by them.
     """
+    n, n_ids = queries.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    if n != n_ids:
+        raise ValueError(f"{n} queries have {n_ids} different ids")
     vectors = queries.select("query_id", "embedding")
     found = dense_topk(vectors, index, k, pilot_fraction=pilot_fraction)
-    hits = attach_passages(found, index, max_hits=queries.count() * k)
+    hits = attach_passages(found, index, max_hits=n * k)
     # The query's text rejoins the hits; its vector stays behind.
     asked = scorer.prepare(with_query_tokens(queries.drop("embedding")))
     return rank_features(hits.join(asked, "query_id"), scorer)

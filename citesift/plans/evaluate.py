@@ -14,7 +14,7 @@ from citesift.operators.generation import Generator
 from citesift.operators.grounding import answer_and_score, grounding_summary
 from citesift.operators.metrics import ranking_summary
 from citesift.operators.rerank import ModelRanker, rerank
-from citesift.operators.routing import RouterConfig, evaluate_router
+from citesift.operators.routing import ROUTER_CONFIG_SCHEMA, RouterConfig, evaluate_router
 from citesift.plans.ask import RERANK_TOP_K, RETRIEVE_TOP_K
 from citesift.plans.ingest import saved_stats
 from citesift.plans.train import Paths, labelled_candidates
@@ -22,7 +22,7 @@ from citesift.session import work_dir, write_and_read
 from citesift.sources.eventlog import log_event
 from citesift.sources.index_store import read_index
 from citesift.sources.labels import INTENT, read_jsonl, with_file_order
-from citesift.sources.models import load_model
+from citesift.sources.models import load_model, load_setting
 from citesift.sources.reports import write_per_query, write_report
 
 
@@ -30,7 +30,7 @@ def evaluate_models(
     spark: SparkSession,
     paths: Paths,
     encoder: Encoder,
-    router_config: RouterConfig,
+    router_config: RouterConfig | None = None,
     scorer: PairScorer | None = None,
     generator: Generator | None = None,
     retrieve_top_k: int = RETRIEVE_TOP_K,
@@ -38,7 +38,12 @@ def evaluate_models(
     embed_model: str = "hash",
     llm_model: str = "",
 ) -> DataFrame:
-    """Write and return the report. Without a generator the grounding part is skipped, and says so."""
+    """Write and return the report. Without a generator the grounding part is skipped, and says so.
+
+    The router's setting is the saved one, unless another is given.
+    """
+    if router_config is None:
+        router_config = RouterConfig(**load_setting(spark, paths.router, ROUTER_CONFIG_SCHEMA))
     run = f"{work_dir(spark)}/eval-{uuid.uuid4().hex[:12]}"
     index = read_index(spark, paths.index)
     scorer = scorer or Bm25Scorer.from_stats(*saved_stats(index, f"{paths.index}.stats"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from citesift.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
@@ -50,8 +51,23 @@ def build_corpus_index(
 
 
 def saved_stats(index: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Corpus statistics of an index as written tables, computed once per index."""
+    """Corpus statistics of an index as written tables, computed once per index.
+
+    Written ones are only read, if they count as many chunks as the index holds; a running reader
+    never sees them replaced otherwise.
+    """
+    spark = index.sparkSession
     frequency, size = corpus_stats(index)
-    return write_and_read(frequency, f"{path}/frequency"), write_and_read(size, f"{path}/size")
+    try:
+        written = spark.read.schema(size.schema).parquet(f"{path}/size")
+        row = written.first()
+        if row is not None and row["n_chunks"] == index.count():
+            return spark.read.schema(frequency.schema).parquet(f"{path}/frequency"), written
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # The size is written last: it marks the statistics as complete.
+    frequency = write_and_read(frequency, f"{path}/frequency")
+    return frequency, write_and_read(size, f"{path}/size")
 
 

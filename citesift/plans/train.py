@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +20,7 @@ from citesift.session import work_dir, write_and_read
 from citesift.sources.eventlog import log_event
 from citesift.sources.index_store import index_exists, read_index
 from citesift.sources.labels import INTENT, RELEVANCE, read_jsonl, relevance_pairs, with_file_order
-from citesift.sources.models import save_model
+from citesift.sources.models import save_model, save_setting
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,7 @@ def train_models(
     intents = with_file_order(read_jsonl(spark, paths.intents, INTENT))
     router = train_router(encoder.encode(intents, "query"), trials=router_trials)
     save_model(router.model, paths.router)
+    save_setting(spark, asdict(router.config), paths.router)
     log_event(
         spark,
         paths.events,

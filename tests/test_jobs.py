@@ -17,6 +17,7 @@ from citesift.operators.latency import latency_summary
 from citesift.operators.rerank import LinearRanker
 from citesift.operators.routing import OUT_OF_SCOPE, CentroidRouter
 from citesift.plans.ask import Assistant
+from citesift.plans.assistant import open_assistant
 from citesift.plans.evaluate import evaluate_models
 from citesift.plans.train import Paths, train_models
 from citesift.sources.index_store import read_index, record_facts
@@ -161,7 +162,7 @@ def test_train_and_evaluate_jobs(spark, encoder, tmp_path):
     report = evaluate_models(spark, paths, encoder, router.config, retrieve_top_k=10).first()
     assert report.grounding is None and report.reranker.n_queries == 2
     again = evaluate_models(
-        spark, paths, encoder, router.config, generator=ExtractiveGenerator(), retrieve_top_k=10
+        spark, paths, encoder, generator=ExtractiveGenerator(), retrieve_top_k=10
     ).first()
     assert tuple(again.grounding) == (1.0, 1.0, 2)
     assert again.config.eval_train_path == paths.relevance_train
@@ -174,6 +175,12 @@ def test_train_and_evaluate_jobs(spark, encoder, tmp_path):
     assert "per_query" not in ranking and ranking["n_queries"] == 2
     assert spark.read.json(f"{paths.report}.per_query").count() == 2
 
+    opened = open_assistant(spark, paths, encoder, ExtractiveGenerator(), retrieve_top_k=10)
+    asked = spark.createDataFrame([("1", "apples in the orchard")], "query_id string, query string")
+    assert opened.ask(asked).count() == 1
+    with pytest.raises(ValueError, match="different ids"):
+        opened.ask(asked.union(asked).union(asked).union(asked)).count()
+
 
 @pytest.mark.parametrize("range_rows", [200_000, 3])
 def test_percentiles_equal_numpy(rows, monkeypatch, range_rows):
