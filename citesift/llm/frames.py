@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citesift.session import work_dir
 
 
+BATCH_RECORDS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows per Arrow batch than the default 10,000: rows here are whole texts or lists of ids.
+
+    A worker holds a batch several times over (rows, results, both as Arrow), on every core.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_RECORDS)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not use, in any case."""
     taken = {c.lower() for c in df.columns}

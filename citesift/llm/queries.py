@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citesift.llm import chat, forest, linededup, mixing, neardup, pieces, pii, quality, sharding, toxicity
-from citesift.llm.frames import stored, text_bytes
+from citesift.llm.frames import small_batches, stored, text_bytes
 
 NEIGHBOURS = 5
 TOXIC_FROM = 0.3
@@ -23,6 +23,7 @@ def query(function: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

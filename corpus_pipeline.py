@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citesift.llm.frames import stored
+from citesift.llm.frames import small_batches, stored
 from citesift.llm.linededup import drop_recurring_lines
 from citesift.llm.mixing import mix
 from citesift.llm.neardup import keep_one
@@ -18,6 +18,7 @@ from citesift.llm.queries import coded, domain_labels
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host is rejected, go."""
+    small_batches(spark)
     return keep_good(docs)
 
 
@@ -28,16 +29,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by the rates that meet the target weights."""
+    small_batches(spark)
     return mix(docs, domain_labels(spark, sf_dir))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as ids, and whether these decode to the text."""
+    small_batches(spark)
     return coded(docs)
 
 
