@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citesift.llm.frames import column, fresh, text_bytes
+from citesift.llm.frames import column, fresh, small, stored, text_bytes
 from citesift.llm.texts import WHITE_SPACE, WordHashes, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -140,6 +140,8 @@ def keep_good(
     slim = docs.select(column(host).alias(h), measures(text).alias(m))
     hosts = count_failures(slim, F.col(h), breaks_rule(F.col(m)))
     rejected = host_verdicts(hosts, max_rate).where("host_rejected").select(F.col("host").alias(h))
+    rejected = stored(rejected, "rejected-hosts")
+    rejected = small(rejected, rejected.count(), 200)  # texts are shuffled only beyond that
     kept = docs.withColumn(m, measures(text)).where(~base_failed(F.col(m)))
     kept = kept.select([column(c) for c in docs.columns])
     return kept.join(rejected, column(host).eqNullSafe(F.col(h)), "left_anti")
