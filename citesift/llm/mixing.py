@@ -6,10 +6,10 @@ document are the nonnegative least-squares answer to "expected tokens per domain
 
     minimise  1/2 * r' inv(M) r,   r_c = sum_i w_i t_i p_ic / T - target_c,   w >= 0
 
-from w = 1, with t tokens, p posteriors, T all tokens and M = sum_i t_i p_i p_i' / T, the overlap of
-the domains (pseudo-inverse if singular). If the targets can be met, r = 0 under any such weighting; this one makes
-a gradient step exact until rates hit zero. The step of a document is divided by its tokens, so its
-rate depends on its posterior alone.
+with t tokens, p posteriors, T all tokens and M = sum_i t_i p_i p_i' / T, the overlap of the domains
+(pseudo-inverse if singular). If the targets can be met, r = 0 under any such weighting, and of all such
+rates those nearest to 1 (in sum_i t_i (w_i - 1)^2) are taken: w_i = max(0, 1 - pull . p_i), one number of
+``pull`` per domain. The rate of a document depends on its posterior alone.
 
 - The classifier is a softmax model over hashed words and four measures of form. It is fitted in
   numpy on at most ``SAMPLE_PER_DOMAIN`` labelled documents per domain, drawn by hash order and
@@ -17,19 +17,21 @@ rate depends on its posterior alone.
   ``N_BUCKETS`` counts per sampled document at most, never texts.
 - Posteriors are stated in thousandths. All documents with the same posterior have the same rate, so
   tokens are first summed per posterior (map-side); that table has at most C(1002, 2) rows for three
-  domains, whatever the corpus. Every projected gradient step is one aggregate over it and brings
-  back one number per domain.
+  domains, whatever the corpus. Every Newton step is one aggregate over it and brings back, for each length
+  tried, one number per domain and pair of domains. There is no cap on steps: rates that do not
+  converge are an error, and ``Fit`` has the shares reached next to the targets.
 - A rate is turned into whole copies by a hash of the row: ``floor(rate + u)``.
 
 Defined cases: NULL texts are empty and have no tokens; labels with a NULL in any column, or for unknown documents,
 are ignored; without any label, posteriors are equal; a domain without labels has posterior 0, and
-its target cannot be met (least squares then goes for the nearest mixture, for ``MAX_STEPS`` steps at most;
-targets of zero are only approached); repeated rows each count and
+its target cannot be met (least squares then goes for the nearest mixture, and a warning states shares
+reached and targets; so it is with targets of zero that no document leaves at zero); repeated rows each count and
 get the same rate and copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,12 +43,17 @@ from pyspark.sql import functions as F
 from citesift.llm.frames import column, fresh, stored, text_bytes
 from citesift.llm.texts import WHITE_SPACE, WordHashes, word_hashes
 
+log = logging.getLogger(__name__)
+
 N_BUCKETS = 1 << 13
 N_FORM = 4
 SAMPLE_PER_DOMAIN = 1500
 EPOCHS, LEARNING_RATE, PENALTY = 60, 0.05, 1e-5
 GRAIN = 1000
-MAX_STEPS, TOLERANCE = 60, 1e-7
+# Totals and optimality are met to TOLERANCE; directions of M below RANK of the largest are taken as none.
+TOLERANCE, RANK, LEAST_EPS, MOST_STALLS = 1e-7, 1e-9, 1e-7, 10
+# Lengths of a Newton step that are tried.
+STEPS = [0.5**k for k in range(8)]
 # Shares of tokens aimed at, by domain of the labelled table.
 TARGETS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 MARKS = b"#*$%&|<>"
@@ -188,43 +195,107 @@ def membership(docs: DataFrame, model: Classifier, text: str = "text") -> Column
     return F.arrow_udf(score, MEMBERSHIP_TYPE).asNondeterministic()(text_bytes(text))
 
 
-def rate_of(posterior: Column, steps: list[np.ndarray]) -> Column:
-    """The rate after the recorded steps, a fold over them: w = max(0, w - step . p)."""
-    if not steps:
-        return F.lit(1.0)
+class Fit(NamedTuple):
+    """``pull`` per domain makes the rate of a posterior; shares of tokens ``reached`` and ``targets``."""
+
+    pull: np.ndarray
+    reached: np.ndarray
+    targets: np.ndarray
+
+    @property
+    def met(self) -> bool:
+        return bool(np.abs(self.reached - self.targets).max() < TOLERANCE)
+
+
+def pulled(posterior: Column, pull: Column, n: int) -> Column:
+    total = F.lit(0.0)
+    for c in range(n):
+        total = total + pull[c] * posterior[c] / GRAIN
+    return total
+
 
-    def step(w: Column, h: Column) -> Column:
-        pull = F.lit(0.0)
-        for c in range(len(steps[0])):
-            pull = pull + h[c] * posterior[c] / GRAIN
-        return F.greatest(F.lit(0.0), w - pull)
+def vectors(found: list[np.ndarray]) -> Column:
+    return F.array(*[F.array(*map(F.lit, map(float, v))) for v in found])
 
-    taken = F.array(*[F.array(*map(F.lit, map(float, h))) for h in steps])
-    return F.aggregate(taken, F.lit(1.0), step)
 
+def rate_of(posterior: Column, fit: Fit) -> Column:
+    """The rate of a document: max(0, 1 - pull . p)."""
+    return F.greatest(F.lit(0.0), 1 - pulled(posterior, vectors([fit.pull])[0], len(fit.pull)))
 
-def fit_rates(groups: DataFrame, targets: list[float]) -> list[np.ndarray]:
-    """Projected gradient steps over ``posterior, tokens`` groups, until the totals stand still."""
-    n = len(targets)
+
+class Totals(NamedTuple):
+    """Per token of the corpus: tokens by domain, squared rates, and the overlap where rates are above zero."""
+
+    reached: np.ndarray
+    energy: float
+    overlap: np.ndarray
+
+
+def totals(groups: DataFrame, pulls: list[np.ndarray], total: float) -> list[Totals]:
+    """What each of ``pulls`` gives, in one job."""
+    n = len(pulls[0])
+    rows = groups.select("posterior", "tokens", F.posexplode(vectors(pulls)).alias("k", "pull"))
+    rate = F.greatest(F.lit(0.0), 1 - pulled(F.col("posterior"), F.col("pull"), n))
+    rows = rows.select("k", "posterior", F.col("tokens").cast("double").alias("t"), rate.alias("w"))
     p = [F.col("posterior")[c] / GRAIN for c in range(n)]
-    tokens = F.col("tokens").cast("double")
-    overlaps = [F.sum(tokens * p[c] * p[d]) for c in range(n) for d in range(n)]
-    total, *found = groups.agg(F.sum(tokens), *overlaps).first()
+    held = F.when(F.col("w") > 0, F.col("t")).otherwise(0.0)
+    sums = [F.sum(F.col("t") * F.col("w") * p[c]) for c in range(n)]
+    sums += [F.sum(F.col("t") * F.col("w") * F.col("w"))]
+    sums += [F.sum(held * p[c] * p[d]) for c in range(n) for d in range(n)]
+    found = rows.groupBy("k").agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).collect()
+    values = [np.array(r[1:], float) / total for r in sorted(found)]
+    return [Totals(v[:n], v[n], v[n + 1 :].reshape(n, n)) for v in values]
+
+
+def fit_rates(groups: DataFrame, targets: list[float]) -> Fit:
+    """The pull over ``posterior, tokens`` groups: Newton steps on the dual, until it is solved.
+
+    Domains are whitened by M (``q``, in which the misfit is a plain sum of squares). For a centre c and
+    a small eps, ``mu`` with r(mu) = eps * (mu - c) is the minimum of a smooth convex function; it is
+    found by Newton steps, of which ``STEPS`` lengths are tried per job. Then c moves to mu: r goes to zero, or, if the
+    targets cannot be met, to the smallest possible, which the optimality conditions certify.
+    """
+    n, goal = len(targets), np.array(targets, float)
+    total = groups.agg(F.sum("tokens")).first()[0]
     if not total:
-        return []
-    inverse = np.linalg.pinv(np.array(found).reshape(n, n) / total, rcond=1e-9)
-    steps: list[np.ndarray] = []
-    before = None
-    while len(steps) < MAX_STEPS:
-        rate = rate_of(F.col("posterior"), steps)
-        reached = np.array(groups.agg(*[F.sum(tokens * p[c] * rate) for c in range(n)]).first()) / total
-        if np.abs(reached - targets).max() < TOLERANCE:
-            break
-        if before is not None and np.abs(reached - before).max() < TOLERANCE / 10:
+        return Fit(np.zeros(n), np.zeros(n), goal)
+    at = totals(groups, [np.zeros(n)], total)[0]
+    size, axes = np.linalg.eigh(at.overlap)
+    white = axes[:, size > RANK * size.max()] / np.sqrt(size[size > RANK * size.max()])
+    mu, eps, best, stalls = np.zeros(white.shape[1]), 0.1, np.inf, 0
+    while not Fit(white @ mu, at.reached, goal).met:
+        eps, centre = max(eps / 100, LEAST_EPS), mu
+
+        def height(m: np.ndarray, x: Totals) -> float:
+            return x.energy / 2 + (white.T @ goal) @ m + eps / 2 * ((m - centre) @ (m - centre))  # noqa: B023
+
+        while True:
+            down = white.T @ (at.reached - goal) - eps * (mu - centre)
+            if np.abs(down).max() < TOLERANCE / 100:
+                break
+            bend = white.T @ at.overlap @ white + eps * np.eye(len(mu))
+            move = np.linalg.solve(bend, down)
+            tried = [mu + s * move for s in STEPS]
+            found = totals(groups, [white @ m for m in tried], total)
+            heights = [height(m, x) for m, x in zip(tried, found)]
+            k = int(np.argmin(heights))
+            steepest = [np.abs(white.T @ (x.reached - goal) - eps * (m - centre)).max() for m, x in zip(tried, found)]
+            if heights[k] >= height(mu, at):
+                # Heights agree to the last digit near the minimum; slopes still tell.
+                k = int(np.argmin(steepest))
+                if steepest[k] >= np.abs(down).max():
+                    break
+            mu, at = tried[k], found[k]
+        r = white.T @ (at.reached - goal)
+        # Least squares: no document may lie uphill of r (slope below zero), and none with a rate may lie downhill.
+        slope = groups.where("tokens > 0").agg(F.min(pulled(F.col("posterior"), vectors([white @ r])[0], n))).first()[0]
+        miss = max(abs(r @ (white.T @ at.reached)), -slope)
+        if miss < TOLERANCE * max(float(np.linalg.norm(r)), 1e-3):
             break
-        before = reached
-        steps.append(inverse @ (reached - np.array(targets)))
-    return steps
+        stalls, best = (0, miss) if miss < best else (stalls + 1, best)
+        if stalls > MOST_STALLS:
+            raise ArithmeticError(f"rates did not converge: reached {at.reached}, targets {goal}, miss {miss}")
+    return Fit(white @ mu, at.reached, goal)
 
 
 def copies_of(rate: Column, *key: Column) -> Column:
@@ -233,15 +304,15 @@ def copies_of(rate: Column, *key: Column) -> Column:
     return F.floor(rate + u).cast("bigint")
 
 
-def mixing_rates(
+def fitted(
     docs: DataFrame,
     labels: DataFrame,
     targets: dict[str, float] | None = None,
     doc: str = "doc_id",
     text: str = "text",
     carry: list[str] | None = None,
-) -> tuple[DataFrame, Column, Column]:
-    """``docs`` with a membership struct, the column of its name, and the rate of a row.
+) -> tuple[DataFrame, Column, Fit]:
+    """``docs`` with a membership struct, the column of its name, and the fit (domains in order of name).
 
     ``labels`` has ``doc_id`` and ``domain``. Texts are scored once: the columns ``carry`` (all, if
     not given) are written with the result, which is cheaper than scoring them again.
@@ -256,8 +327,23 @@ def mixing_rates(
     m = F.col(name)
     groups = member.groupBy(m["posterior"].alias("posterior")).agg(F.sum(m["n_tokens"]).alias("tokens"))
     groups = stored(groups.coalesce(8), "posteriors")
-    steps = fit_rates(groups, [targets[d] / total for d in domains])
-    return member, m, rate_of(m["posterior"], steps)
+    fit = fit_rates(groups, [targets[d] / total for d in domains])
+    if not fit.met:
+        log.warning("targets not met: domains %s, reached %s, targets %s", domains, fit.reached, fit.targets)
+    return member, m, fit
+
+
+def mixing_rates(
+    docs: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float] | None = None,
+    doc: str = "doc_id",
+    text: str = "text",
+    carry: list[str] | None = None,
+) -> tuple[DataFrame, Column, Column]:
+    """As ``fitted``, with the rate of a row instead of the fit."""
+    member, m, fit = fitted(docs, labels, targets, doc, text, carry)
+    return member, m, rate_of(m["posterior"], fit)
 
 
 def mix(

@@ -84,3 +84,34 @@ def test_thousandths_sum_up():
     for p in pick.dirichlet([0.2, 1, 3], 200):
         whole = mixing.thousandths(p)
         assert whole.sum() == 1000 and np.abs(whole / 1000 - p).max() < 1e-3
+
+
+SKEWED = [(0.6, 0.35, 0.05), (0.4, 0.3, 0.3), (0.3, 0.6, 0.1)]
+
+
+def grouped(spark, shares, n=3000):
+    """Soft posteriors around the present shares."""
+    pick = np.random.default_rng(7)
+    kind = pick.choice(3, n, p=shares)
+    p = pick.dirichlet([0.7] * 3, n) * 0.4 + np.eye(3)[kind] * 0.6
+    rows = [(mixing.thousandths(x).tolist(), int(t)) for x, t in zip(p, pick.integers(10, 400, n))]
+    return spark.createDataFrame(rows, "posterior array<int>, tokens long")
+
+
+@pytest.mark.parametrize("shares", SKEWED)
+def test_targets_are_met_from_skewed_shares(spark, shares):
+    groups, goal = grouped(spark, shares), [0.85, 0.09, 0.06]
+    rate = mixing.rate_of(F.col("posterior"), mixing.fit_rates(groups, goal))
+    found = groups.select("posterior", "tokens", rate.alias("w")).collect()
+    p, t, w = [np.array([r[c] for r in found], float) for c in ("posterior", "tokens", "w")]
+    assert (w >= 0).all() and (w * t) @ p / mixing.GRAIN / t.sum() == pytest.approx(goal, abs=1e-6)
+
+
+def test_a_mixture_out_of_reach_is_the_nearest_and_says_so(spark):
+    groups = spark.createDataFrame([([700, 200, 100], 10), ([300, 600, 100], 30), ([200, 200, 600], 5)], "posterior array<int>, tokens long")
+    fit = mixing.fit_rates(groups, [1.0, 0.0, 0.0])
+    assert not fit.met and fit.targets.tolist() == [1, 0, 0]
+    found = groups.collect()
+    p, t = np.array([r[0] for r in found]) / mixing.GRAIN, np.array([r[1] for r in found], float)
+    w = solve(p, t, fit.targets, 20_000)
+    assert fit.reached == pytest.approx((w * t) @ p / t.sum(), abs=1e-5)
