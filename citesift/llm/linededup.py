@@ -8,7 +8,9 @@ constant. A line whose masked form alone recurs in ``MIN_TEXTS`` texts is a temp
 however mixed its leaf is, unless most of it is fields (rows of numbers are no template).
 
 Templates that recur in at least ``MIN_TEXTS`` different texts are dropped from every document but
-the one with the smallest id, so that no content vanishes from the corpus. Texts are counted, not
+the one with the smallest id. By default the templates of a leaf count as one, as in the SQL of the query, so of
+several templates in a leaf only the first document's stays; with ``by_template`` (the pipeline) each keeps its
+first document, so that no template vanishes from the corpus. Texts are counted, not
 documents: whole copies of a document do not make its lines boilerplate (near-dedup removes those).
 
 Work: one pass over the texts finds leaves that recur (a few bytes per line are shuffled), a second
@@ -23,6 +25,8 @@ an empty table gives an empty result; other columns pass unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +70,14 @@ def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return rows.where(F.size("parts") >= MIN_TOKENS).withColumn("leaf", leaf(F.col("parts")))
 
 
-def recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, text_key, template``: lines to drop, as the key of their masked form."""
+def recurring_lines(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", by_template: bool = False
+) -> DataFrame:
+    """``doc, text_key, template``: lines to drop, as the key of their masked form.
+
+    With ``by_template``, lines of a leaf are one group only if the same constant tokens are in the same
+    places, and every such template keeps its first document. Else the leaf is one group.
+    """
     lines = _lines(docs, doc, text)
     leaves = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one"))
     leaves = leaves.groupBy("leaf").agg(F.count("one").alias("leaf_texts"))
@@ -96,15 +106,21 @@ def recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         .select("leaf", "place", "token")
     )
     matched = fields.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "template").agg(
-        F.count(F.lit(1)).alias("n_constant")
+        F.count(F.lit(1)).alias("n_constant"), F.collect_set("place").alias("places")
     )
     tokens_of = F.split("masked", " ")
     fixed = F.size(F.filter(tokens_of, lambda t: t != FIELD))
     general = 10 * F.coalesce("n_constant", F.lit(0)) >= CONSTANT_TENTHS * F.size(tokens_of)
     alone = (F.col("n_texts") >= MIN_TEXTS) & (2 * fixed >= F.size(tokens_of))
     ruled = forms.join(matched, ["leaf", "template"], "left").where(general | alone)
-    # Templates of a leaf are one group; a line that only recurs by itself is its own.
-    group = F.when(general, F.col("leaf")).otherwise(F.concat(F.lit("= "), F.col("masked")))
+    # A line that only recurs by itself is its own group.
+    group = F.col("leaf")
+    if by_template:
+        constants = F.transform(
+            tokens_of, lambda t, i: F.when(F.array_contains("places", i), t).otherwise(FIELD)
+        )
+        group = F.concat(F.lit("~ "), F.array_join(constants, " "))
+    group = F.when(general, group).otherwise(F.concat(F.lit("= "), F.col("masked")))
     ruled = ruled.select("leaf", "template", F.xxhash64(group).alias("group"))
 
     hits = stored(held.drop("masked").join(ruled, ["leaf", "template"]), "line-hits")
@@ -118,9 +134,18 @@ def recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     )
 
 
-def drop_recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_recurring_lines(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", by_template: bool = False
+) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``; rows and other columns are as before."""
-    dropped = recurring_lines(docs, doc, text).groupBy("doc", "text_key")
+    return _without(docs, recurring_lines(docs, doc, text, by_template), template_key, doc, text)
+
+
+def _without(
+    docs: DataFrame, lines: DataFrame, key_of: Callable[[Column], Column], doc: str, text: str
+) -> DataFrame:
+    """``docs`` without ``lines`` (``doc, text_key, template``), found by ``key_of`` a line."""
+    dropped = lines.groupBy("doc", "text_key")
     dropped = dropped.agg(F.collect_set("template").alias("gone"))
     dropped = stored(dropped, "dropped-lines")
     n_docs, n_lines = dropped.agg(F.count(F.lit(1)), F.sum(F.size("gone"))).first()
@@ -130,7 +155,7 @@ def drop_recurring_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text
     )
     dropped = small(dropped, n_docs + (n_lines or 0) // 4, 40)
     kept = F.filter(
-        F.split(column(text), "\n"), lambda line: ~F.array_contains(F.col(gone), template_key(line))
+        F.split(column(text), "\n"), lambda line: ~F.array_contains(F.col(gone), key_of(line))
     )
     cleaned = F.when(F.col(gone).isNull(), column(text)).otherwise(F.array_join(kept, "\n"))
     return (

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from citesift.llm.linededup import drop_recurring_lines
 
 OWN = "entirely own words of document number {0} stand here alone {0}x{0}"
@@ -77,3 +78,10 @@ def test_empty_table_and_no_python(docs):
 def test_rows_of_numbers_are_no_template(docs):
     data = [(i, f"{own(i)}\n{i} {i}0 {i}5 12{i} 9 {i}") for i in range(1, 8)]
     assert texts(drop_recurring_lines(docs(data))) == dict(data)
+
+
+def test_every_template_of_a_leaf_keeps_its_first_document(docs, spark):
+    mail, quote = "Please contact us by mail today", "Please contact us for a quote"
+    data = [(i, f"{own(i)}\n{mail if i < 4 else quote}") for i in range(1, 7)]
+    found = texts(corpus_pipeline.line_dedup(spark, docs(data), ""))
+    assert found == {i: text if i in (1, 4) else own(i) for i, text in data}
