@@ -37,6 +37,8 @@ MIN_TOKENS = 5
 MIN_TEXTS = 3
 SHARE = 5
 CONSTANT_TENTHS = 7
+# A line of so many tokens is no chance repeat: two texts are enough if it is the same literally.
+LONG_TOKENS, LONG_TEXTS = 10, 2
 FIELD = "<*>"
 # Characters between tokens of a line.
 BLANKS = r"[ \t\r\f\x0B]+"
@@ -141,6 +143,36 @@ def drop_recurring_lines(
     return _without(docs, recurring_lines(docs, doc, text, by_template), template_key, doc, text)
 
 
+def literal_key(line: Column) -> Column:
+    """Hash of a line as it is, but for blanks."""
+    return F.xxhash64(F.array_join(tokens(line), " "))
+
+
+def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, text_key, template``: lines of ``LONG_TOKENS`` and more, with or without digits, that are the
+    same in ``LONG_TEXTS`` different texts, for every document but the first; ``template`` is the literal key."""
+    lines = F.array_distinct(F.split(column(text), "\n"))
+    rows = docs.select(
+        column(doc).alias("doc"), F.xxhash64(column(text)).alias("text_key"), F.explode(lines).alias("line")
+    )
+    rows = rows.where(F.size(tokens(F.col("line"))) >= LONG_TOKENS)
+    rows = rows.select("doc", "text_key", literal_key(F.col("line")).alias("template"))
+    groups = rows.groupBy("template", "text_key").agg(F.min("doc").alias("first"))
+    groups = groups.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    groups = stored(groups.where(F.col("n") >= LONG_TEXTS).select("template", "first"), "repeated-lines")
+    return (
+        rows.join(small(groups, groups.count(), 64), "template")
+        .where(~F.col("doc").eqNullSafe(F.col("first")))
+        .select("doc", "text_key", "template")
+    )
+
+
+def drop_repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with long lines left in their first document only; for a table without near copies, which
+    would be left as fragments. ``docs`` is read twice and should be stored."""
+    return _without(docs, repeated_lines(docs, doc, text), literal_key, doc, text)
+
+
 def _without(
     docs: DataFrame, lines: DataFrame, key_of: Callable[[Column], Column], doc: str, text: str
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citesift.llm.frames import small_batches, stored
-from citesift.llm.linededup import drop_recurring_lines
+from citesift.llm.linededup import drop_recurring_lines, drop_repeated_lines
 from citesift.llm.mixing import mix
 from citesift.llm.neardup import keep_one
 from citesift.llm.quality import keep_good
@@ -28,9 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays; then a long line stays in one document only."""
     small_batches(spark)
-    return keep_one(docs)
+    return drop_repeated_lines(stored(keep_one(docs), "kept-one"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

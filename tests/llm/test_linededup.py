@@ -85,3 +85,13 @@ def test_every_template_of_a_leaf_keeps_its_first_document(docs, spark):
     data = [(i, f"{own(i)}\n{mail if i < 4 else quote}") for i in range(1, 7)]
     found = texts(corpus_pipeline.line_dedup(spark, docs(data), ""))
     assert found == {i: text if i in (1, 4) else own(i) for i, text in data}
+
+
+def test_a_long_line_of_two_texts_stays_in_one(docs, spark):
+    passage = " ".join(f"passage{k}" for k in range(60))
+    alone = {i: " ".join(f"own{i}x{k}" for k in range(100)) for i in (1, 2, 3)}
+    data = [(i, f"{alone[i]}\n{passage}") for i in (1, 2)] + [(3, f"{alone[3]}\nshort line in one text")]
+    table = docs(data)
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        table = stage(spark, table, "")
+    assert texts(table) == {1: data[0][1], 2: alone[2], 3: data[2][1]}
