@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import chat, forest, linededup, mixing, neardup, pieces, pii, quality, sharding, toxicity
+from citesift.llm import chat, forest, linededup, mixing, neardup, pieces, pii, quality, runs, sharding, toxicity
 from citesift.llm.frames import small_batches, stored, text_bytes
 
 NEIGHBOURS = 5
@@ -166,3 +166,22 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.written(F.col("spans")).alias("spans"),
         pii.count_kind("spans", pii.LEARNED).alias("n_learned"),
     )
+
+
+@query
+def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    found = docs.select("doc_id", runs.periodic_runs(text_bytes("text"), seed).alias("found")).select("doc_id", "found.*")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    written = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(written.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -146,3 +146,46 @@ WITH docs AS (
 )
 SELECT doc_id, len(string_split(text, chr(10))) AS n_lines_kept, length(text) AS n_chars_kept,
     md5(text) AS text_md5 FROM cleaned"""
+
+# Stretches of matching words per lag; those inside a stretch of a smaller lag do not have their smallest period.
+ORACLES["op11_diagonal_runs"] = rf"""
+WITH {CRC32}, docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS given,
+        xor(list_reduce(list_prepend(4294967295::BIGINT,
+                [('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..')]),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+    FROM documents, crc_step
+), cut AS (
+    SELECT *, len(given) AS n, h // 10 AS g, CASE WHEN len(given) > 0 THEN (h // 10) % len(given) END AS a FROM docs
+), said AS (
+    SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN [given[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] FOR i IN range(n)]
+        ELSE given END AS words FROM cut
+), word AS (
+    SELECT r, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM said
+), matched AS (
+    SELECT x.r, x.i, x.i - y.i AS q FROM word x JOIN word y ON x.r = y.r AND x.word = y.word AND y.i < x.i
+    WHERE 4 * (x.i - y.i) <= x.n
+), islands AS (
+    SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM matched
+), stretches AS (
+    SELECT r, q, min(i) - q AS s, count(*) + q AS k FROM islands GROUP BY r, q, island
+    HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+    SELECT * FROM stretches x WHERE NOT EXISTS (
+        SELECT 1 FROM stretches y WHERE y.r = x.r AND y.q < x.q AND y.s <= x.s AND y.s + y.k >= x.s + x.k)
+), written AS (
+    SELECT r, count(*) AS n_runs, string_agg(s || ',' || k || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+    FROM runs GROUP BY r
+), best AS (
+    SELECT r, s, k, q FROM runs x WHERE NOT EXISTS (
+        SELECT 1 FROM runs y WHERE y.r = x.r AND (y.k * x.q > x.k * y.q
+            OR y.k * x.q = x.k * y.q AND (y.s < x.s OR y.s = x.s AND y.q < x.q)))
+), collapsed AS (
+    SELECT r, string_agg(word, ' ' ORDER BY i) AS words FROM word w WHERE NOT EXISTS (
+        SELECT 1 FROM runs x WHERE x.r = w.r AND w.i >= x.s + x.q AND w.i < x.s + x.k) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, k AS length, q AS period, 1000 * k // q AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed.words, '')) AS collapsed_sha256
+FROM said LEFT JOIN written USING (r) LEFT JOIN best USING (r) LEFT JOIN collapsed USING (r)"""

@@ -1,0 +1,117 @@
+import hashlib
+import random
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from __spark_entry__ import oracle_sql, queries
+from check import connect, spark_rows, sql_rows
+from citesift.llm import runs
+
+QUERY = "op11_diagonal_runs"
+
+
+def plain_runs(words):
+    """Every maximal stretch of every lag, without those that have a smaller period."""
+    n, found = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = q
+        while i < n:
+            j = i
+            while j < n and words[j] == words[j - q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(6, 4 * q):
+                s = i - q
+                smaller = any(all(words[k] == words[k - p] for k in range(s + p, s + length)) for p in range(1, q))
+                if not smaller:
+                    found.append((s, length, q))
+            i = max(j, i) + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=90))
+def test_runs_equal_a_plain_search(words):
+    assert [tuple(r) for r in runs.runs_of(np.array(words, np.int64))] == plain_runs(words)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=9), st.integers(1, 12)), max_size=6))
+def test_runs_of_planted_powers_equal_a_plain_search(parts):
+    words = [w for block, times in parts for w in block * times]
+    assert [tuple(r) for r in runs.runs_of(np.array(words, np.int64))] == plain_runs(words)
+
+
+def test_diagonals_end_in_order_and_a_long_text_is_quick():
+    words = np.array([0, 1] * 10 + [5, 6, 7] * 5 + [2] * 400_000, np.int64)
+    assert list(runs.online_runs(words)) == [(0, 20, 2), (20, 15, 3), (35, 400_000, 1)]
+    rng = np.random.default_rng(5)
+    lines = rng.integers(0, 50, (7, 11))
+    shuffled = lines[rng.integers(0, 7, 30_000)].ravel()  # seven lines over and over, in no order
+    assert all(r.period % 11 == 0 for r in runs.runs_of(shuffled))
+
+
+def plain_row(doc_id, text):
+    words = [w for w in (text or "").encode().split()]
+    n, h = len(words), zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = plain_runs(words)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+    return (
+        doc_id,
+        len(found),
+        *best,
+        1000 * best[1] // best[2] if found else None,
+        hashlib.sha256("".join(f"{s},{k},{q}\n" for s, k, q in found).encode()).hexdigest(),
+        hashlib.sha256(b" ".join(w for i, w in enumerate(words) if i not in gone)).hexdigest(),
+    )
+
+
+def test_query_equals_a_plain_count_on_edge_rows(spark, docs, folder):
+    rng = random.Random(3)
+    data = [(i, " ".join(rng.choices("ab", k=rng.randrange(70)))) for i in range(60)]
+    data += [(100, None), (101, ""), (102, " \n\t "), (None, "x " * 9), (103, "a b " * 9 + " é\x1c a"), (103, "a b " * 9 + " é\x1c a")]
+    data += [(104, "tok " * 3000)]
+    table = docs(data).withColumn("runs", F.lit(1)).withColumn("START", F.lit("x"))
+    sf = folder(documents=table)
+    names, found = spark_rows(queries()[QUERY](spark, sf))
+    order = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    slow = {104: (104, 1, 0, 3000, 1, 3_000_000)}
+    for row in found:
+        r = dict(zip(names, row))
+        mine = tuple(r[c] for c in order)
+        if r["doc_id"] in slow and zlib.crc32(b"104") % 10:
+            assert mine[:6] == slow[r["doc_id"]]
+        else:
+            assert mine in [plain_row(i, t) for i, t in data if i == r["doc_id"]]
+    assert len(found) == len(data)
+
+
+def test_empty_table(spark, docs, folder):
+    assert queries()[QUERY](spark, folder(documents=docs([]))).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    assert spark_rows(queries()[QUERY](spark, sf)) == sql_rows(connect(sf), oracle_sql()[QUERY])
+
+
+@pytest.mark.parametrize("seed", [0, 10, 990])
+def test_planted_runs(seed):
+    words = np.arange(50)
+    mine = runs.repeated_from(words, seed)
+    g = seed // 10
+    a, p = g % 50, 1 + (50 - g % 50) // (3 + g % 8)
+    assert [int(x) for x in mine] == [i if i < a else a + (i - a) % p for i in range(50)]
+    assert (runs.repeated_from(words, seed + 1) == words).all()
