@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import chat, forest, linededup, mixing, neardup, pieces, pii, quality, runs, sharding, toxicity
+from citesift.llm import chat, forest, linededup, mixing, neardup, packing, pieces, pii, quality, runs, sharding, toxicity
 from citesift.llm.frames import small_batches, stored, text_bytes
 
 NEIGHBOURS = 5
@@ -185,3 +185,12 @@ def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written.cast("binary"), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces_ = packing.pack(docs)
+    return pieces_.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
