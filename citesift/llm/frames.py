@@ -39,13 +39,14 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(column(name).cast("string").cast("binary"), F.lit(b""))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write a table below the shared folder and read it back: lineage ends, a lost executor re-reads.
 
-    Every call has a folder of its own, so that no other run can overwrite what this one reads.
+    Every call has a folder of its own, so that no other run can overwrite what this one reads. With ``by``, rows are
+    kept apart by that column, and a filter on it reads only its files.
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import chat, forest, linededup, mixing, neardup, packing, pieces, pii, quality, runs, sharding, toxicity
+from citesift.llm import chat, forest, linededup, mixing, neardup, packing, pieces, pii, quality, runs, search, sharding, toxicity
 from citesift.llm.frames import small_batches, stored, text_bytes
 
 NEIGHBOURS = 5
@@ -187,6 +187,13 @@ def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return search.ranked_search(docs, items)
+
+
 @query
 def op13_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -189,3 +189,32 @@ WITH {CRC32}, docs AS (
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, k AS length, q AS period, 1000 * k // q AS exponent_milli,
     sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed.words, '')) AS collapsed_sha256
 FROM said LEFT JOIN written USING (r) LEFT JOIN best USING (r) LEFT JOIN collapsed USING (r)"""
+
+ORACLES["op12_pipelined_search"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), items AS (
+    SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark
+), asked AS (
+    SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(terms) AS term FROM items) GROUP BY ALL
+), totals AS (
+    SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0
+), postings AS (
+    SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+    GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM postings, totals GROUP BY term, n_docs
+), scored AS (
+    SELECT i, item_id, r, doc_id,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
