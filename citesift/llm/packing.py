@@ -11,8 +11,10 @@
 
 All sequences but the last are full, so there is no padding but there. Order is the order in which tables are read.
 
-Ids are those of the tokenizer for the whole text. Its rules never look across ASCII white space, so words are looked
-up one by one, and the tokenizer itself is asked only for words that a task has not met (``WordIds``, bounded in bytes).
+Ids are those of the tokenizer for the whole text. Its rules never look across ASCII white space. Slices of Latin letters
+and common punctuation are cut into stretches of letters, digits and symbols as the tokenizer does, and a stretch that a task
+has not met is merged in the tokenizer's own order (``Merger``). Slices with other characters go word by word, and their
+odd words to the tokenizer itself. What is remembered is bounded in bytes.
 
 Memory of a task: a batch of texts and its ids. A document needs four bytes per token, however long.
 
@@ -23,10 +25,14 @@ empty result; other columns of the table are not read, so none can clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +44,9 @@ from citesift.llm.texts import slices
 
 CONTEXT = 4096
 END_ID = 2
-REMEMBERED_BYTES = 24 << 20
+REMEMBERED_BYTES = 96 << 20
 ENTRY_BYTES = 180
+PLAIN_BYTES = 1 << 14
 SMALL_PARTS = 1 << 20
 
 _ID = np.dtype("<u4")
@@ -51,33 +58,110 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Ids of words as little-endian 32-bit numbers; forgets all when it holds ``REMEMBERED_BYTES``."""
+class Merger:
+    """Ids of one stretch of letters, digit or stretch of symbols, by the tokenizer's own merges.
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.room = REMEMBERED_BYTES
+    Made for byte-level models with word ends whose ids rise with the order of merging: bytes, bytes at a word's end,
+    then one id per merge. The word's end is one more byte that no UTF-8 text has, and the first to be merged.
+    """
+
+    END = b"\xff"
+
+    def __init__(self, model: dict):
+        def spelled(token: str) -> bytes:
+            whole = token.removesuffix("</w>")
+            return bytes(map(_BYTE_OF.__getitem__, whole)) + self.END * (whole != token)
+
+        n_special = len(model["vocab"]) - 512 - len(model["merges"])
+        ordinary = sorted(model["vocab"], key=model["vocab"].get)[: len(model["vocab"]) - n_special]
+        ranks = {spelled(token): model["vocab"][token] for token in ordinary}
+        # The pattern is not used: stretches come one by one.
+        self.encode = tiktoken.Encoding("word-ends", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __call__(self, stretch: str) -> bytes:
+        return array("I", self.encode(stretch.encode() + self.END)).tobytes()
+
+
+def _byte_letters() -> dict[str, int]:
+    """Byte-level models write printable bytes as themselves, and the others as the letters from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+_BYTE_OF = _byte_letters()
+# Texts of these characters need no normal form and have one lower case, letter by letter.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u2010-\u2027]+")
+_STRETCH = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u012f]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u012f]+")
 
-    def ids(self, text: bytes) -> bytes:
-        found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(found, _ID).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        packed = self.ids(word)
-        cost = ENTRY_BYTES + len(word) + len(packed)
-        if cost > REMEMBERED_BYTES // 64:
-            return packed
+def merger(path: str) -> Merger | None:
+    """The quick way for the words of most texts, if this is the kind of model that ``Merger`` knows."""
+    with open(path, encoding="utf-8") as file:
+        stated = json.load(file)
+    model = stated["model"]
+    known = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("ignore_merges")
+    pattern = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(stated["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    in_order = all(model["vocab"].get("".join(m)) == 512 + i for i, m in enumerate(merges))
+    bytes_first = all(
+        model["vocab"].get(c, 512) < 256 and 256 <= model["vocab"].get(c + "</w>", 0) < 512 for c in _BYTE_OF
+    )
+    return Merger(model | {"merges": merges}) if known and pattern and in_order and bytes_first else None
+
+
+class Remembered(dict):
+    """A mapping that forgets all when it holds ``room`` bytes."""
+
+    def __init__(self, room: int, make: Callable):
+        super().__init__()
+        self.most = self.room = room
+        self.make = make
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        value = self.make(key)
+        cost = ENTRY_BYTES + len(key) + len(value)
+        if cost > self.most // 64:
+            return value
         if cost > self.room:
             self.clear()
-            self.room = REMEMBERED_BYTES
+            self.room = self.most
         self.room -= cost
-        self[word] = packed
-        return packed
+        self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of words as little-endian 32-bit numbers, remembered within ``REMEMBERED_BYTES``."""
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merger = merger(path)
+        self.stretches = Remembered(REMEMBERED_BYTES // 2, self.merger)
+        self.words = Remembered(REMEMBERED_BYTES // 2, self.ids)
+
+    def asked(self, word: str) -> bytes:
+        """What the tokenizer itself says."""
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, _ID).tobytes()
+
+    def merged(self, text: str) -> bytes | None:
+        """Ids of a text of plain characters, else None."""
+        if self.merger is None or "<|" in text or not _PLAIN.fullmatch(text):
+            return None
+        return b"".join(map(self.stretches.__getitem__, _STRETCH.findall(text.lower())))
+
+    def ids(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        found = self.merged(text)
+        return self.asked(text) if found is None else found
 
     def encode(self, data: bytes) -> bytes:
         """Ids of a whole text."""
-        return b"".join([b"".join(map(self.__getitem__, piece.split())) for piece in slices(data)])
+        out = []
+        for piece in slices(data, PLAIN_BYTES):
+            found = self.merged(piece.decode("utf-8", "replace"))
+            out.append(b"".join(map(self.words.__getitem__, piece.split())) if found is None else found)
+        return b"".join(out)
 
 
 _known: dict[str, WordIds] = {}

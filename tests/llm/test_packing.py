@@ -34,12 +34,40 @@ def test_words_give_the_ids_of_the_whole_text(parts):
     assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == whole_ids(words.tokenizer, text)[:-1]
 
 
+LATIN = "abcdeéßöñÀŒÿZ'sTtreld019.,!?#-–…’"
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.text(LATIN, max_size=14), st.sampled_from(["don't", "we'LL've", "aaaa", "THE", "<|", "'re'"])), max_size=8))
+def test_merging_stretches_equals_the_tokenizer(parts):
+    text = " ".join(parts)
+    words = packing.word_ids(packing.default_path())
+    assert words.merger is not None
+    assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == whole_ids(words.tokenizer, text)[:-1]
+
+
+def test_every_text_of_the_tables(spark, tokenizer):
+    words = packing.word_ids(packing.default_path())
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == found.ids
+
+
+def test_other_models_are_asked(tokenizer):
+    import public_tokenizers
+
+    other = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert other.merger is None
+    assert np.frombuffer(other.encode(b"plain"), "<u4").tolist() == other.tokenizer.encode("plain").ids
+
+
 def test_memory_is_bounded_in_bytes(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "REMEMBERED_BYTES", 64 << 10)
     words = packing.WordIds(packing.default_path())
     text = " ".join(f"word{i}" for i in range(2000)) + " " + "long" * 3000
     assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == whole_ids(tokenizer, text)[:-1]
-    assert sum(packing.ENTRY_BYTES + len(k) + len(v) for k, v in words.items()) <= 64 << 10
+    held = [*words.words.items(), *words.stretches.items()]
+    assert held and sum(packing.ENTRY_BYTES + len(k) + len(v) for k, v in held) <= 64 << 10
 
 
 def check_pieces(pieces, texts, tokenizer, context):
