@@ -115,3 +115,27 @@ def test_a_mixture_out_of_reach_is_the_nearest_and_says_so(spark):
     p, t = np.array([r[0] for r in found]) / mixing.GRAIN, np.array([r[1] for r in found], float)
     w = solve(p, t, fit.targets, 20_000)
     assert fit.reached == pytest.approx((w * t) @ p / t.sum(), abs=1e-5)
+
+
+LONE = {
+    "one domain": [([1000, 0, 0], 700)],
+    "an absent domain": [([900, 100, 0], 500), ([200, 800, 0], 300), ([0, 1000, 0], 20)],
+    "fifty tokens of 10^7": [([1000, 0, 0], 10**7), ([0, 1000, 0], 10**6), ([0, 0, 1000], 50)],
+    "a trace in every text": [([999, 1, 0], 10**6), ([990, 0, 10], 10**4), ([0, 999, 1], 10**3)],
+}
+
+
+@pytest.mark.parametrize("case", LONE)
+@pytest.mark.parametrize("goal", [[0.9, 0.06, 0.04], [0.2, 0.3, 0.5]])
+def test_absent_and_tiny_domains(spark, case, goal):
+    groups = spark.createDataFrame(LONE[case], "posterior array<int>, tokens long")
+    fit = mixing.fit_rates(groups, goal)
+    p, t = np.array([g[0] for g in LONE[case]]) / mixing.GRAIN, np.array([g[1] for g in LONE[case]], float)
+    w = np.maximum(0, 1 - p @ fit.pull)
+    assert np.isfinite(w).all() and fit.reached == pytest.approx((w * t) @ p / t.sum(), abs=1e-9)
+    wanted = solve(p, t, np.array(goal), 60_000)
+    reached = (wanted * t) @ p / t.sum()
+    metric = np.linalg.pinv((p * t[:, None]).T @ p / t.sum(), rcond=1e-9)
+    mine, brute = fit.reached - goal, reached - goal
+    assert mine @ metric @ mine <= brute @ metric @ brute + 1e-5
+    assert np.abs(fit.reached - reached).max() < 1e-5 or mine @ metric @ mine < brute @ metric @ brute
