@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citesift.session import work_dir
 
 
-BATCH_RECORDS = 1000
+BATCH_RECORDS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -19,6 +19,7 @@ def small_batches(spark: SparkSession) -> None:
     A worker holds a batch several times over (rows, results, both as Arrow), on every core.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_RECORDS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -15,7 +15,7 @@ Two kinds of models, told apart by the model file:
 
 A text is cut where no piece can lie across (before a space, around characters that only stand
 alone); those stretches, mostly words, and inside them the runs between two characters that no piece
-has side by side, are remembered per task, up to ``REMEMBERED`` each.
+has side by side, are remembered per task, up to ``REMEMBERED`` each and ``REMEMBERED_BYTES`` of words and runs.
 
 Spaces become the marker character and one is put in front; characters outside the vocabulary become
 their UTF-8 bytes. The marker character itself, if a text holds it, is written as bytes too, so
@@ -31,7 +31,7 @@ from __future__ import annotations
 import re
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 REMEMBERED = 250_000
+# Words and runs of a task together; an entry takes about ENTRY_BYTES besides its text and ids.
+REMEMBERED_BYTES, ENTRY_BYTES = 32 << 20, 200
 LONG_STRETCH = 64
 SLICE_CHARS = 1 << 20
 BLOCK_IDS = 1 << 16
@@ -285,6 +287,15 @@ class Encoder(dict):
         self.mark_ids = self.pack(self.spell(MARK))
         self.pairs = {p[i : i + 2] for p in vocab.scores for i in range(len(p) - 1)}
         self.runs: dict[str, bytes] = {}
+        self.room = REMEMBERED_BYTES
+
+    def _make_room(self, key: str, packed: bytes) -> None:
+        """Forget all that is remembered when there is too much of it, in number or in bytes."""
+        self.room -= ENTRY_BYTES + 4 * len(key) + len(packed)
+        if self.room < 0 or len(self) >= REMEMBERED or len(self.runs) >= REMEMBERED:
+            self.clear()
+            self.runs.clear()
+            self.room = REMEMBERED_BYTES
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -310,8 +321,7 @@ class Encoder(dict):
         packed = self.runs.get(run)
         if packed is None:
             packed = self.pack(self._ids(run))
-            if len(self.runs) >= REMEMBERED:
-                self.runs.clear()
+            self._make_room(run, packed)
             self.runs[run] = packed
         return packed
 
@@ -325,8 +335,7 @@ class Encoder(dict):
                 start = i
         found.append(self._run(stretch[start:]))
         packed = b"".join(found)
-        if len(self) >= REMEMBERED:
-            self.clear()
+        self._make_room(stretch, packed)
         self[stretch] = packed
         return packed
 
@@ -364,6 +373,7 @@ def _released(encoder: Encoder, results: Iterator[pa.Array]) -> Iterator[pa.Arra
     finally:
         encoder.clear()
         encoder.runs.clear()
+        encoder.room = REMEMBERED_BYTES
 
 
 def task_encoder(key: int, vocab: Vocabulary) -> Encoder:
@@ -388,8 +398,18 @@ def _numbers(row: pa.ListScalar) -> np.ndarray:
     return row.values.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def encoded(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
-    """Ids of a text, ``array<int>``."""
+def _listed(rows: list[np.ndarray | None]) -> pa.ListArray:
+    sizes = [0 if r is None else len(r) for r in rows]
+    flat = [r for r in rows if r is not None]
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+        pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)),
+        mask=pa.array([r is None for r in rows]),
+    )
+
+
+def _encoding(spark: SparkSession, path: str, finish: Callable, kind: str) -> Callable:
+    """An Arrow function over texts: ``finish`` makes a column of a batch's texts and their ids."""
     vocab = load(path)
     shared = spark.sparkContext.broadcast(vocab)
     key = hash((path, len(vocab.scores), uuid.uuid4()))
@@ -402,15 +422,24 @@ def encoded(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
     def encode_with(encoder: Encoder, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [encoder.encode(t.as_py()) if t.is_valid else None for t in batch]
-            sizes = [0 if r is None else len(r) for r in rows]
-            flat = [r for r in rows if r is not None]
-            yield pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
-                pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)),
-                mask=pa.array([r is None for r in rows]),
-            )
-
-    return F.arrow_udf(encode, "array<int>").asNondeterministic()(text)
+            yield finish(encoder.vocab, batch, rows)
+
+    return F.arrow_udf(encode, kind).asNondeterministic()
+
+
+def encoded(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
+    """Ids of a text, ``array<int>``."""
+    return _encoding(spark, path, lambda vocab, batch, rows: _listed(rows), "array<int>")(text)
+
+
+def round_trip(spark: SparkSession, text: Column, path: str = MODEL) -> Column:
+    """``ids`` of a text, and ``exact``: whether they decode to it. One worker encodes and decodes."""
+
+    def finish(vocab: Vocabulary, batch: pa.Array, rows: list[np.ndarray | None]) -> pa.Array:
+        exact = [None if r is None else decode_ids(r, vocab.spelled) == t.as_py() for t, r in zip(batch, rows)]
+        return pa.StructArray.from_arrays([_listed(rows), pa.array(exact, pa.bool_())], ["ids", "exact"])
+
+    return _encoding(spark, path, finish, "struct<ids:array<int>,exact:boolean>")(text)
 
 
 def decoded(spark: SparkSession, ids: Column, path: str = MODEL) -> Column:

@@ -57,12 +57,9 @@ def op2_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coded(docs: DataFrame) -> DataFrame:
     """``doc_id, n_ids, ids, exact``: ids of the text, and whether they decode to it."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", pieces.encoded(spark, F.col("text")).alias("ids"))
-    back = pieces.decoded(spark, F.col("ids"))
-    return rows.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", (back == F.col("text")).alias("exact")
-    )
+    found = docs.select("doc_id", pieces.round_trip(docs.sparkSession, F.col("text")).alias("found"))
+    ids = F.col("found.ids")
+    return found.select("doc_id", F.size(ids).cast("bigint").alias("n_ids"), ids.alias("ids"), "found.exact")
 
 
 @query

@@ -55,8 +55,9 @@ def test_many_hits_and_long_texts_are_placed_right(docs):
     pick = random.Random(2)
     text = " ".join(pick.choice(["é", "1.2.3.4", "a@b.co", "word"]) for _ in range(3000))
     data = [(1, text), (2, "a" * 200_000), (3, "1" * 200_000), (4, "a." * 50_000), (5, "x@" + "a." * 50_000 + "b")]
-    for i, base, _ in spans(docs(data)):
-        assert base == plain(dict(data)[i])
+    # The stated patterns take minutes on the long ones, whose answers are plain.
+    known = {1: plain(text), 2: "", 3: "", 4: "", 5: "email:0:100003"}
+    assert {i: base for i, base, _ in spans(docs(data))} == known
 
 
 def test_context_finds_unseen_identifiers(docs):
