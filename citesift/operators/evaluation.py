@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citesift.operators.blocks import BlockedIndex, topk
 from citesift.operators.features import PairScorer, label_candidates, rank_features, with_query_tokens
 from citesift.operators.metrics import compare_orders, ranking_summary
 from citesift.operators.rerank import Ranker, rerank
-from citesift.operators.topk import attach_passages, dense_topk
+from citesift.operators.topk import attach_passages
 
 GROUNDING = T.StructType(
     [
@@ -38,21 +39,22 @@ class RunConfig:
 
 def candidates(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | BlockedIndex,
     k: int,
     scorer: PairScorer,
     pilot_fraction: float | None = None,
 ) -> DataFrame:
     """Retrieved, featurised candidates of every query. ``queries``: ``query_id, query, embedding``.
 
-    Queries without hits have no rows. Query ids must be unique, as hits are kept by them.
+    An index in blocks is searched and read block by block, others are scanned. Queries without hits have no rows. Query ids must be unique, as hits are kept by them.
     """
     n, n_ids = queries.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
     if n != n_ids:
         raise ValueError(f"{n} queries have {n_ids} different ids")
     vectors = queries.select("query_id", "embedding")
-    found = dense_topk(vectors, index, k, pilot_fraction=pilot_fraction)
-    hits = attach_passages(found, index, max_hits=n * k)
+    found = topk(vectors, index, k, pilot_fraction)
+    rows = index.rows if isinstance(index, BlockedIndex) else index
+    hits = attach_passages(found, rows, max_hits=n * k)
     # The query's text rejoins the hits; its vector stays behind.
     asked = scorer.prepare(with_query_tokens(queries.drop("embedding")))
     return rank_features(hits.join(asked, "query_id"), scorer)

@@ -71,12 +71,14 @@ def attach_passages(hits: DataFrame, index: DataFrame, max_hits: int | None = No
 
     ``max_hits`` is a proven bound on the rows of ``hits`` (queries times k). Up to
     ``BROADCAST_HITS`` the hits go to the index, whose text is then never shuffled; beyond that it
-    is a shuffle join, where Spark's runtime Bloom filter drops chunks that nobody hit.
+    is a shuffle join, where Spark's runtime Bloom filter drops chunks that nobody hit. Hits that carry the ``block``
+    of an index partitioned by it read only the partitions they name, which Spark finds at run time.
     """
-    texts = index.select("chunk_id", "source", "text")
+    by = ["block", "chunk_id"] if "block" in hits.columns and "block" in index.columns else ["chunk_id"]
+    texts = index.select(*by, "source", "text")
     if max_hits is not None and max_hits <= BROADCAST_HITS:
-        return texts.join(F.broadcast(hits), "chunk_id")
-    return hits.join(texts, "chunk_id")
+        return texts.join(F.broadcast(hits), by).drop("block")
+    return hits.join(texts, by).drop("block")
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -133,9 +135,14 @@ def _local_hits(
     return left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInArrow(pair, LOCAL_HITS)
 
 
-def _block_search(k: int):
-    """Task-side helper: stream chunk batches past one block of queries, keep k hits per query."""
+def _block_search(k: int, choose=None):
+    """Task-side helper: stream chunk batches past one block of queries, keep k hits per query.
+
+    With ``choose``, batches have a column ``block``, and rows of a block meet only the queries at the places that
+    ``choose(block, floor)`` names, given the scores that a hit must reach so far.
+    """
     chunk_rows, query_rows, buffer_rows, tracked_scores = 2_048, 1_024, 500_000, 16_000_000
+    carried = ["chunk_id", "doc_id", "path_order", "chunk_index"] + (["block"] if choose else [])
 
     def search(batches, query_block):
         import numpy as np
@@ -159,13 +166,26 @@ def _block_search(k: int):
         tracked = len(q) * k <= tracked_scores
         best = np.full((len(q), k if tracked else 0), -np.inf, dtype=np.float32)
 
-        def raise_floor(lo, scores):
+        def raise_floor(at, scores):
             if not tracked:
                 return
-            hi = lo + len(scores)
-            merged = np.concatenate([best[lo:hi], scores], axis=1)
-            best[lo:hi] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-            floor[lo:hi] = np.maximum(floor[lo:hi], best[lo:hi].min(axis=1))
+            merged = np.concatenate([best[at], scores], axis=1)
+            best[at] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+            floor[at] = np.maximum(floor[at], best[at].min(axis=1))
+
+        def pieces(batches):
+            """Rows to search, and the places of the queries that they meet."""
+            every = np.arange(len(q))
+            for batch in batches:
+                cuts = [0, batch.num_rows]
+                if choose is not None:
+                    block = batch.column("block").to_numpy(zero_copy_only=False)
+                    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+                for begin, end in zip(cuts, cuts[1:]):
+                    for start in range(begin, end, chunk_rows):
+                        met = every if choose is None else choose(int(block[start]), floor)
+                        if len(met):
+                            yield batch.slice(start, min(chunk_rows, end - start)), met
 
         def keep_best(parts):
             hits = pd.concat(parts, ignore_index=True)
@@ -176,51 +196,44 @@ def _block_search(k: int):
             return hits.groupby("q", sort=False).head(k)
 
         parts, rows = [], 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, chunk_rows):
-                piece = batch.slice(start, chunk_rows)
-                ids = piece.select(["chunk_id", "doc_id", "path_order", "chunk_index"]).to_pandas()
-                ids = ids.sort_values(["path_order", "chunk_index"])
-                vectors = matrix(piece.column("embedding"))[ids.index.to_numpy()]
-                if vectors.shape[1] != q.shape[1]:
-                    raise ValueError(f"index has {vectors.shape[1]} dimensions, queries {q.shape[1]}")
-                ids = ids.reset_index(drop=True)
-                n = len(ids)
-                for lo in range(0, len(q), query_rows):
-                    scores = (q[lo : lo + query_rows] @ vectors.T).astype(np.float32) + np.float32(0)
-                    # One sortable number per pair: score first, then corpus order, so that no two
-                    # are equal and exactly k per query are taken even among copies.
-                    bits = scores.view(np.int32).astype(np.int64)
-                    bits = np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)
-                    keys = (bits << 32) | np.arange(n - 1, -1, -1, dtype=np.int64)
-                    if n > k:
-                        col = np.argpartition(keys, n - k, axis=1)[:, n - k :]
-                    else:
-                        col = np.broadcast_to(np.arange(n), keys.shape)
-                    row = np.repeat(np.arange(len(scores)), col.shape[1])
-                    raise_floor(lo, np.take_along_axis(scores, col, axis=1))
-                    col = col.reshape(-1)
-                    value = scores[row, col].astype(np.float64)
-                    good = value >= floor[lo + row]
-                    if good.any():
-                        found = ids.iloc[col[good]].assign(q=lo + row[good], score=value[good])
-                        parts.append(found)
-                        rows += len(found)
-                if rows > max(buffer_rows, 2 * k * len(q)):
-                    parts = [keep_best(parts)]
-                    rows = len(parts[0])
+        for piece, met in pieces(batches):
+            ids = piece.select(carried).to_pandas()
+            ids = ids.sort_values(["path_order", "chunk_index"])
+            vectors = matrix(piece.column("embedding"))[ids.index.to_numpy()]
+            if vectors.shape[1] != q.shape[1]:
+                raise ValueError(f"index has {vectors.shape[1]} dimensions, queries {q.shape[1]}")
+            ids = ids.reset_index(drop=True)
+            n = len(ids)
+            for lo in range(0, len(met), query_rows):
+                at = met[lo : lo + query_rows]
+                scores = (q[at] @ vectors.T).astype(np.float32) + np.float32(0)
+                # One sortable number per pair: score first, then corpus order, so that no two
+                # are equal and exactly k per query are taken even among copies.
+                bits = scores.view(np.int32).astype(np.int64)
+                bits = np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)
+                keys = (bits << 32) | np.arange(n - 1, -1, -1, dtype=np.int64)
+                if n > k:
+                    col = np.argpartition(keys, n - k, axis=1)[:, n - k :]
+                else:
+                    col = np.broadcast_to(np.arange(n), keys.shape)
+                row = np.repeat(np.arange(len(scores)), col.shape[1])
+                raise_floor(at, np.take_along_axis(scores, col, axis=1))
+                col = col.reshape(-1)
+                value = scores[row, col].astype(np.float64)
+                good = value >= floor[at[row]]
+                if good.any():
+                    found = ids.iloc[col[good]].assign(q=at[row[good]], score=value[good])
+                    parts.append(found)
+                    rows += len(found)
+            if rows > max(buffer_rows, 2 * k * len(q)):
+                parts = [keep_best(parts)]
+                rows = len(parts[0])
         if parts:
             hits = keep_best(parts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(query_ids[hits.q.to_numpy()], pa.string()),
-                    pa.array(hits.score.to_numpy(), pa.float64()),
-                    pa.array(hits.chunk_id, pa.string()),
-                    pa.array(hits.doc_id, pa.string()),
-                    pa.array(hits.path_order, pa.string()),
-                    pa.array(hits.chunk_index.astype("int32"), pa.int32()),
-                ],
-                ["query_id", "score", "chunk_id", "doc_id", "path_order", "chunk_index"],
-            )
+            kinds = {"chunk_id": pa.string(), "doc_id": pa.string(), "path_order": pa.string()}
+            numbers = {"chunk_index": pa.int32(), "block": pa.int32()}
+            columns = [pa.array(query_ids[hits.q.to_numpy()], pa.string()), pa.array(hits.score.to_numpy(), pa.float64())]
+            columns += [pa.array(hits[c].astype("int32") if c in numbers else hits[c], {**kinds, **numbers}[c]) for c in carried]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "score", *carried])
 
     return search

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citesift.functions.eventlog import event_json
 from citesift.functions.prompts import REFUSAL, source_list
+from citesift.operators.blocks import BlockedIndex
 from citesift.operators.contracts import check_depths
 from citesift.operators.embedding import Encoder
 from citesift.operators.evaluation import candidates
@@ -29,7 +30,7 @@ RERANK_TOP_K = 5
 class Assistant:
     """Everything ``ask`` needs, opened once."""
 
-    index: DataFrame
+    index: DataFrame | BlockedIndex
     encoder: Encoder
     router: Router
     scorer: PairScorer

@@ -598,3 +598,4 @@ FROM events""",
   GROUP BY ALL""",
     ),
 }
+ORACLES["dense_topk_scan"] = ORACLES["dense_topk"]

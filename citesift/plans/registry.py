@@ -20,6 +20,7 @@ from citesift.functions.eventlog import event_json, utc_iso
 from citesift.functions.text import token_set
 from citesift.functions.vectors import l2_norm, l2_normalize
 from citesift.operators import contracts, metrics, splits
+from citesift.operators.blocks import topk
 from citesift.operators.chunking import replicate_chunks
 from citesift.operators.evaluation import RunConfig, build_report, evaluate_ranking
 from citesift.operators.features import (
@@ -182,6 +183,12 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 @query
 def dense_topk_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(topk(T.embedded_queries(spark, sf_dir), T.blocked_index(spark, sf_dir), RETRIEVE_TOP_K))
+
+
+@query
+def dense_topk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index without blocks."""
     return _hits(dense_topk(T.embedded_queries(spark, sf_dir), T.index(spark, sf_dir), RETRIEVE_TOP_K))
 
 
@@ -194,7 +201,7 @@ def _class_means(rows: DataFrame, label: str) -> DataFrame:
 def dense_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given vectors nearest to the mean of each of their labels."""
     means = _class_means(T.table(spark, sf_dir, "embeddings"), "label")
-    return _hits(dense_topk(means.withColumnRenamed("label", "query_id"), T.vectors(spark, sf_dir), KNN))
+    return _hits(topk(means.withColumnRenamed("label", "query_id"), T.blocked_vectors(spark, sf_dir), KNN))
 
 
 @query
@@ -221,7 +228,7 @@ def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citesift.operators.evaluation import candidates
 
     found = candidates(
-        T.embedded_queries(spark, sf_dir), T.index(spark, sf_dir), RETRIEVE_TOP_K, T.scorer(spark, sf_dir)
+        T.embedded_queries(spark, sf_dir), T.blocked_index(spark, sf_dir), RETRIEVE_TOP_K, T.scorer(spark, sf_dir)
     )
     return found.select(
         "query_id",
@@ -428,7 +435,7 @@ def f1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assistant(spark: SparkSession, sf_dir: str) -> Assistant:
     return Assistant(
-        index=T.index(spark, sf_dir),
+        index=T.blocked_index(spark, sf_dir),
         encoder=T.ENCODER,
         router=CentroidRouter.fit(T.labelled_documents(spark, sf_dir)),
         scorer=T.scorer(spark, sf_dir),

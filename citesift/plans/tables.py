@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citesift.functions.text import strip
+from citesift.operators.blocks import BlockedIndex
 from citesift.operators.chunking import chunk_documents
 from citesift.operators.embedding import HashEncoder
 from citesift.operators.evaluation import candidates
@@ -20,12 +21,14 @@ from citesift.operators.features import Bm25Scorer, corpus_stats
 from citesift.operators.relevance import relevant_documents
 from citesift.plans.ask import RETRIEVE_TOP_K
 from citesift.session import spread, work_dir, write_and_read
+from citesift.sources.block_store import write_blocked_index
 from citesift.sources.corpus import documents_from_table
 from citesift.sources.index_store import INDEX_SCHEMA
 
 ENCODER = HashEncoder()
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
+_blocked: dict[tuple[str, str, str], BlockedIndex] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +60,23 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "index", build)
 
 
+def blocked(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> BlockedIndex:
+    """The index ``name`` in blocks, written the first time a session asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _blocked:
+        place = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+        _blocked[key] = write_blocked_index(build(), f"{work_dir(spark)}/{place}/blocked-{name}")
+    return _blocked[key]
+
+
+def blocked_index(spark: SparkSession, sf_dir: str) -> BlockedIndex:
+    return blocked(spark, sf_dir, "index", lambda: index(spark, sf_dir))
+
+
+def blocked_vectors(spark: SparkSession, sf_dir: str) -> BlockedIndex:
+    return blocked(spark, sf_dir, "vectors", lambda: vectors(spark, sf_dir))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled queries: every benchmark passage, whole."""
     return table(spark, sf_dir, "benchmark").select(
@@ -106,7 +126,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "features",
         lambda: candidates(
             embedded_queries(spark, sf_dir),
-            index(spark, sf_dir),
+            blocked_index(spark, sf_dir),
             RETRIEVE_TOP_K,
             scorer(spark, sf_dir),
         ),
