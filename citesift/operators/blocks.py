@@ -100,6 +100,8 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def fit_centres(sample: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
     """k-means on a sample; centres start far from each other and empty ones are left where they are."""
+    if not len(sample):
+        return sample
     sample = np.unique(sample, axis=0)
     pick = np.random.default_rng(7)
     n = min(n, len(sample))

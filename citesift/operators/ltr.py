@@ -1,8 +1,8 @@
 """Training the ranker on labelled candidates: tune on a query split, select, refit on everything.
 
-Spark ML has no listwise ranking objective. Two families that scale are tried, and the validation
-nDCG decides between them:
+Three families that scale are tried, and the validation nDCG decides between them:
 
+* ``listwise``: boosted trees on the gradients of nDCG within each query (``citesift.operators.listwise``);
 * ``trees``: gradient-boosted regression trees on the labels;
 * ``linear``: logistic regression on features centred within their query, where the relevant and
   the other candidates of a query weigh the same. Centring leaves only differences within a query,
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citesift.operators.features import FEATURES
+from citesift.operators.listwise import fit_listwise
 from citesift.operators.metrics import mean_ndcg
 from citesift.operators.rerank import ModelRanker
 from citesift.operators.splits import VALIDATION_SHARE, prefix_split
 from citesift.session import pack_for_training
 
 TRIALS = 12
+FAMILIES = ("trees", "linear", "listwise")
 METRIC_DEPTH = 5
 ROW_BYTES = 128
 
@@ -54,8 +56,10 @@ class RankerConfig:
     reg: float = 0.01
 
 
-def ranker_configs(trials: int, seed: int = 0, rounds: tuple[int, ...] = ROUNDS) -> list[RankerConfig]:
-    """Random draws, trees and linear in turn."""
+def ranker_configs(
+    trials: int, seed: int = 0, rounds: tuple[int, ...] = ROUNDS, families: tuple[str, ...] = ("trees", "linear")
+) -> list[RankerConfig]:
+    """Random draws, the families in turn."""
     rng = random.Random(seed)
 
     def log_uniform(low: float, high: float) -> float:
@@ -63,7 +67,7 @@ def ranker_configs(trials: int, seed: int = 0, rounds: tuple[int, ...] = ROUNDS)
 
     return [
         RankerConfig(
-            family="trees" if i % 2 == 0 else "linear",
+            family=families[i % len(families)],
             step_size=log_uniform(*STEP_SIZE),
             depth=rng.randint(*TREE_DEPTH),
             min_rows=rng.uniform(*MIN_ROWS_PER_LEAF),
@@ -76,8 +80,13 @@ def ranker_configs(trials: int, seed: int = 0, rounds: tuple[int, ...] = ROUNDS)
 
 def fit_ranker(examples: DataFrame, config: RankerConfig) -> PipelineModel:
     """``examples``: ``query_id``, the feature columns and ``label``."""
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    if config.family == "listwise":
+        vectors = assembler.transform(examples).select("query_id", "features", "label")
+        return PipelineModel(
+            [assembler, fit_listwise(vectors, config.step_size, config.depth, config.min_rows, config.rounds)]
+        )
     if config.family == "trees":
-        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         trees = GBTRegressor(
             featuresCol="features",
             labelCol="label",
@@ -95,7 +104,6 @@ def fit_ranker(examples: DataFrame, config: RankerConfig) -> PipelineModel:
         (F.lit(0.5) / mine).alias("weight"),
         *[(F.col(f) - F.avg(f).over(per_query)).alias(f) for f in FEATURES],
     )
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     logistic = LogisticRegression(
         featuresCol="features",
         labelCol="label",
@@ -141,7 +149,7 @@ def train_ranker(
 
     The first queries by ``seq`` validate. The fits of the trials run as concurrent Spark jobs.
     """
-    configs = configs or ranker_configs(trials)
+    configs = configs or ranker_configs(trials, families=FAMILIES)
     rows = examples.select("query_id", "seq", "rank", *FEATURES, "label").persist()
     try:
         queries = rows.select("query_id", "seq").distinct()

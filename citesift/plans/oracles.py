@@ -599,3 +599,28 @@ FROM events""",
     ),
 }
 ORACLES["dense_topk_scan"] = ORACLES["dense_topk"]
+
+ORACLES["listwise_pulls"] = sql(
+    *EVALUATED,
+    """
+placed AS (
+  SELECT query_id, rank, label, dense_cosine AS score, power(2, label) - 1 AS gain,
+         1 / log2(row_number() OVER (PARTITION BY query_id ORDER BY dense_cosine DESC, rank) + 1) AS at,
+         row_number() OVER (PARTITION BY query_id ORDER BY label DESC) AS best
+  FROM labelled
+),
+best_dcg AS (SELECT query_id, sum(gain / log2(best + 1)) AS ideal FROM placed GROUP BY ALL HAVING sum(gain) > 0),
+rivals AS (
+  SELECT a.query_id, a.rank, a.label > b.label AS up,
+         1 / (1 + exp(CASE WHEN a.label > b.label THEN a.score - b.score ELSE b.score - a.score END)) AS wrong,
+         abs(a.gain - b.gain) * abs(a.at - b.at) / ideal AS swap
+  FROM placed a JOIN placed b ON a.query_id = b.query_id AND a.label <> b.label JOIN best_dcg i ON i.query_id = a.query_id
+),
+pulled AS (
+  SELECT query_id, rank, sum(CASE WHEN up THEN wrong ELSE -wrong END * swap) AS g, sum(wrong * (1 - wrong) * swap) AS h
+  FROM rivals GROUP BY ALL
+)""",
+    select=f"""
+SELECT query_id, rank, {r6("coalesce(g, 0)", "pull")}, {r6("coalesce(h, 0)", "curvature")}
+FROM placed SEMI JOIN best_dcg USING (query_id) LEFT JOIN pulled USING (query_id, rank)""",
+)

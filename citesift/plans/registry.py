@@ -32,6 +32,7 @@ from citesift.operators.features import (
 from citesift.operators.generation import ExtractiveGenerator, build_prompts
 from citesift.operators.grounding import grounding_summary, score_answers, with_passages
 from citesift.operators.latency import latency_summary
+from citesift.operators.listwise import gradients
 from citesift.operators.ltr import RankerConfig, best_trial, train_ranker
 from citesift.operators.numbering import hash_bucket, hash_order, number_rows
 from citesift.operators.rerank import LinearRanker, ModelRanker, passage_lists, rerank
@@ -722,6 +723,16 @@ def rerank_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def listwise_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient and curvature of nDCG for the retrieved order of every labelled query."""
+    rows = _labelled(spark, sf_dir).select(
+        "query_id", F.col("rank").alias("place"), F.lit(0).alias("features"), "label", F.col("dense_cosine").alias("score")
+    )
+    found = gradients(rows)
+    return found.select("query_id", count_of("place", "rank"), rounded("g", "pull"), rounded("h", "curvature"))
+
+
 @query
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_query = _per_query(spark, sf_dir)
