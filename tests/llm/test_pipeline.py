@@ -6,7 +6,7 @@ from __spark_entry__ import oracle_sql, queries
 from check import connect, spark_rows, sql_rows
 
 SMOKE = "/root/testdata/sf0.001"
-NUMBERED = ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_"]
+NUMBERED = ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_", "op11_", "op12_", "op13_"]
 
 
 def own(i):
