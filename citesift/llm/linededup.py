@@ -1,31 +1,34 @@
 """Line dedup with a log-template tree, in DataFrame functions only.
 
 A line is parsed by a tree of fixed depth: number of tokens, then its first ``LEAD`` tokens, tokens
-with a digit being a variable field ``<*>``. Lines of one leaf are generalised position by position:
-a token that at least ``MIN_TEXTS`` texts and one in ``SHARE`` of the leaf's texts have in a place is
-constant, any other is a variable field. A line belongs to the leaf's template if enough of it is
-constant. A line whose masked form alone recurs in ``MIN_TEXTS`` texts is a template by itself,
-however mixed its leaf is, unless most of it is fields (rows of numbers are no template).
-
-Templates that recur in at least ``MIN_TEXTS`` different texts are dropped from every document but
-the one with the smallest id. By default the templates of a leaf count as one, as in the SQL of the query, so of
-several templates in a leaf only the first document's stays; with ``by_template`` (the pipeline) each keeps its
-first document, so that no template vanishes from the corpus. Texts are counted, not
-documents: whole copies of a document do not make its lines boilerplate (near-dedup removes those).
-
-Work: one pass over the texts finds leaves that recur (a few bytes per line are shuffled), a second
-one collects the lines of those leaves, everything after runs on these. Hot lines are folded map-side
-before anything is joined.
-
-Defined cases: NULL texts stay NULL and empty ones empty; lines under ``MIN_TOKENS`` tokens are never
-dropped; within one document a repeated line counts once, and all its occurrences go or stay
-together; a NULL id counts as larger than all others; rows that agree in id and text get the same result;
-an empty table gives an empty result; other columns pass unchanged.
+with a digit being a variable field ``<*>``. Lines of one leaf are generalised in three ways, each
+with an absolute support, so that other lines of the leaf never take a template away:
+
+- the line's masked form is a template, unless most of it is fields (rows of numbers are none);
+- a token that ``MIN_TEXTS`` texts have in a place is constant, any other is a variable field; lines with the
+  same constants in the same places share a template, if these are ``CONSTANT_TENTHS`` of the tokens;
+- one word behind the leading ones is a variable field, if as many of the other tokens are constant. This finds
+  templates whose field holds words that are frequent in their place.
+
+A template that recurs in ``MIN_TEXTS`` different texts is dropped from every document but the one with
+the smallest id. So is a line that is literally the same (but for blanks), digits or not: from ``MIN_TEXTS`` texts
+on, with ``LONG_TOKENS`` tokens from ``long_texts`` on, under ``MIN_TOKENS`` tokens from ``SHORT_TEXTS`` on. A line
+in several templates stays only if its document is the first of all. Texts are counted, not documents:
+whole copies of a document do not make its lines boilerplate (near-dedup removes those).
+
+Work: one pass over the texts writes hashes and masked forms of their lines, and finds the leaves that recur; a
+second one, over these tables, collects the lines of such leaves, and everything after runs on these. Hot
+lines are folded map-side before anything is joined, and joins that are too large to broadcast are salted.
+
+Defined cases: NULL texts stay NULL and empty ones empty; within one document a repeated line counts
+once, and all its occurrences go or stay together; a NULL id counts as larger than all others; rows
+that agree in id and text get the same result; an empty table gives an empty result; other columns
+pass unchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,150 +38,214 @@ from citesift.llm.frames import column, fresh, small, stored
 LEAD = 3
 MIN_TOKENS = 5
 MIN_TEXTS = 3
-SHARE = 5
 CONSTANT_TENTHS = 7
 # A line of so many tokens is no chance repeat: two texts are enough if it is the same literally.
 LONG_TOKENS, LONG_TEXTS = 10, 2
+# Lines under ``MIN_TOKENS`` tokens recur by chance.
+SHORT_TEXTS = 10
 FIELD = "<*>"
 # Characters between tokens of a line.
 BLANKS = r"[ \t\r\f\x0B]+"
+NOT_BLANK = r"[^ \t\r\f\x0B]"
+# A token with a digit, found from its start, so that long tokens take linear time.
+WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+SALTS = 16
+HASH_ROW = 48
 
 
-def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, BLANKS), lambda t: t != "")
+def spaced(line: Column) -> Column:
+    """The tokens of a line with one space in between."""
+    return F.trim(F.regexp_replace(line, BLANKS, " "))
 
 
-def masked(parts: Column) -> Column:
-    return F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+def masked(line: Column) -> Column:
+    """A spaced line with fields for tokens that hold a digit."""
+    return F.regexp_replace(line, WITH_DIGIT, FIELD)
 
 
-def leaf(parts: Column) -> Column:
-    """Path in the tree: number of tokens and the leading ones."""
-    return F.concat_ws(" ", F.size(parts).cast("string"), masked(F.slice(parts, 1, LEAD)))
+def n_tokens(line: Column) -> Column:
+    """Tokens of a spaced line that has any."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def template_key(line: Column) -> Column:
-    """Hash of a masked line."""
-    return F.xxhash64(F.array_join(masked(tokens(line)), " "))
+def literal_key(line: Column) -> Column:
+    """Hash of a line as it is, but for blanks."""
+    return F.xxhash64(spaced(line))
+
+
+def _needed(n: Column, long_texts: int) -> Column:
+    """Texts that make a line of ``n`` tokens recurring if it is literally the same."""
+    return F.when(n < MIN_TOKENS, SHORT_TEXTS).when(n < LONG_TOKENS, MIN_TEXTS).otherwise(long_texts)
 
 
-def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``doc, text_key, parts, leaf``: every different line of every document, long enough ones only."""
+def _joined(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a table with hot keys to a stored one with unique keys: by broadcast, or salted if too large for it.
+
+    ``few`` holds hashes, numbers and at most two ids.
+    """
+    n = few.count()
+    near = small(few, n, HASH_ROW)
+    if near is not few:
+        return many.join(near, on, how)
+    # From the row itself, so that a task that is run again deals its rows alike.
+    salt = F.pmod(F.xxhash64(*[column(c) for c in many.columns]), F.lit(SALTS)).cast("int")
+    copies = few.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return many.withColumn("salt", salt).join(copies, [*on, "salt"], how).drop("salt")
+
+
+def _raw_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, text_key, line``: every different line of every document that has tokens, spaced."""
     lines = F.array_distinct(F.split(column(text), "\n"))
     rows = docs.select(
         column(doc).alias("doc"), F.xxhash64(column(text)).alias("text_key"), F.explode(lines).alias("line")
     )
-    rows = rows.select("doc", "text_key", tokens(F.col("line")).alias("parts"))
-    return rows.where(F.size("parts") >= MIN_TOKENS).withColumn("leaf", leaf(F.col("parts")))
+    return rows.where(F.col("line").rlike(NOT_BLANK)).select("doc", "text_key", spaced(F.col("line")).alias("line"))
+
+
+def _parsed(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, text_key, n, literal, form, leaf, masked``: lines as hashes, long enough ones with masked form."""
+    rows = _raw_lines(docs, doc, text)
+    rows = rows.select(
+        "doc",
+        "text_key",
+        n_tokens(F.col("line")).alias("n"),
+        F.xxhash64("line").alias("literal"),
+        masked(F.col("line")).alias("masked"),
+    )
+    leaf = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
+    return rows.select(
+        "doc",
+        "text_key",
+        "n",
+        "literal",
+        F.xxhash64("masked").alias("form"),
+        leaf.alias("leaf"),
+        F.when(F.col("n") >= MIN_TOKENS, F.col("masked")).alias("masked"),
+    )
 
 
-def recurring_lines(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", by_template: bool = False
-) -> DataFrame:
-    """``doc, text_key, template``: lines to drop, as the key of their masked form.
+def _cells(forms: DataFrame) -> DataFrame:
+    """One row per word of a masked form: ``place`` and ``cell``, the hash of place and word.
 
-    With ``by_template``, lines of a leaf are one group only if the same constant tokens are in the same
-    places, and every such template keeps its first document. Else the leaf is one group.
+    ``others`` is the hash of all other cells of the form, ``fixed`` the number of its words.
     """
-    lines = _lines(docs, doc, text)
-    leaves = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one"))
-    leaves = leaves.groupBy("leaf").agg(F.count("one").alias("leaf_texts"))
-    leaves = stored(leaves.where(F.col("leaf_texts") >= MIN_TEXTS), "leaves")
-    n_leaves = leaves.count()
-
-    mine = F.array_join(masked(F.col("parts")), " ")
-    held = lines.join(small(leaves.select("leaf"), n_leaves, 100), "leaf").select(
-        "doc", "text_key", "leaf", mine.alias("masked")
+    parts = F.split("masked", " ")
+    cells = F.transform(parts, lambda t, i: F.xxhash64(i, t))
+    total = F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, c: s.bitwiseXOR(c))
+    fixed = F.size(F.filter(parts, lambda t: t != FIELD))
+    rows = forms.select("*", cells.alias("cells"), fixed.alias("fixed"))
+    rows = rows.withColumn("total", total).drop("masked")
+    rows = rows.select("*", F.posexplode("cells").alias("place", "cell")).drop("cells")
+    rows = rows.where(F.col("cell") != F.xxhash64("place", F.lit(FIELD)))
+    return rows.withColumn("others", F.col("total").bitwiseXOR(F.col("cell"))).drop("total")
+
+
+def _templates(forms: DataFrame) -> DataFrame:
+    """``form, group`` and the counts of the form: the templates that a form may belong to."""
+    counts = ["form", "n_texts", "low", "high", "first"]
+    cells = _cells(forms)
+    constant = cells.groupBy("leaf", "cell").agg(F.sum("n_texts").alias("n_cell"))
+    constant = stored(constant.where(F.col("n_cell") >= MIN_TEXTS).select("leaf", "cell"), "line-constants")
+    matched = _joined(cells, constant, ["leaf", "cell"]).groupBy("leaf", "n", *counts)
+    matched = matched.agg(F.expr("bit_xor(cell)").alias("constants"), F.count(F.lit(1)).alias("n_constant"))
+    matched = matched.where(10 * F.col("n_constant") >= CONSTANT_TENTHS * F.col("n"))
+    general = matched.select(*counts, F.xxhash64("leaf", "constants").alias("group"))
+    one = cells.where((F.col("place") >= LEAD) & (10 * (F.col("fixed") - 1) >= CONSTANT_TENTHS * F.col("n")))
+    one = one.select(*counts, F.xxhash64("leaf", "place", "others").alias("group"))
+    return general.unionByName(one)
+
+
+def _recurring_forms(held: DataFrame) -> DataFrame:
+    """``form, low_first, high_first``: forms of recurring templates with the first documents of these."""
+    lines = held.where(F.col("masked").isNotNull())
+    keys = ["leaf", "form", "n", "masked"]
+    forms = lines.groupBy(*keys, "text_key").agg(F.min("doc").alias("first"))
+    forms = forms.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.min("text_key").alias("low"),
+        F.max("text_key").alias("high"),
+        F.min("first").alias("first"),
     )
-    held = stored(held.withColumn("template", F.xxhash64("masked")), "held-lines")
-
-    forms = held.groupBy("leaf", "template").agg(F.max("masked").alias("masked"))
-    texts = held.groupBy("leaf", "template", "text_key").agg(F.lit(1).alias("one"))
-    texts = texts.groupBy("leaf", "template").agg(F.count("one").alias("n_texts"))
-    forms = stored(forms.join(texts, ["leaf", "template"]), "line-forms")
-
-    fields = forms.select(
-        "leaf", "template", "n_texts", F.posexplode(F.split("masked", " ")).alias("place", "token")
-    ).where(F.col("token") != FIELD)
-    constant = fields.groupBy("leaf", "place", "token").agg(F.sum("n_texts").alias("n_token"))
-    constant = (
-        constant.where(F.col("n_token") >= MIN_TEXTS)
-        .join(small(leaves, n_leaves, 100), "leaf")
-        .where(SHARE * F.col("n_token") >= F.col("leaf_texts"))
-        .select("leaf", "place", "token")
+    forms = stored(forms, "line-forms")
+    words = F.size(F.filter(F.split("masked", " "), lambda t: t != FIELD))
+    alone = forms.where((F.col("n_texts") >= MIN_TEXTS) & (2 * words >= F.col("n"))).select("form", "first")
+
+    members = _templates(forms)
+    # Two of a form's texts, or the fact that it has enough by itself, decide the support of its groups.
+    texts = members.select(
+        "group",
+        "first",
+        (F.col("n_texts") >= MIN_TEXTS).alias("enough"),
+        F.explode(F.array_distinct(F.array("low", "high"))).alias("text_key"),
     )
-    matched = fields.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "template").agg(
-        F.count(F.lit(1)).alias("n_constant"), F.collect_set("place").alias("places")
-    )
-    tokens_of = F.split("masked", " ")
-    fixed = F.size(F.filter(tokens_of, lambda t: t != FIELD))
-    general = 10 * F.coalesce("n_constant", F.lit(0)) >= CONSTANT_TENTHS * F.size(tokens_of)
-    alone = (F.col("n_texts") >= MIN_TEXTS) & (2 * fixed >= F.size(tokens_of))
-    ruled = forms.join(matched, ["leaf", "template"], "left").where(general | alone)
-    # A line that only recurs by itself is its own group.
-    group = F.col("leaf")
-    if by_template:
-        constants = F.transform(
-            tokens_of, lambda t, i: F.when(F.array_contains("places", i), t).otherwise(FIELD)
-        )
-        group = F.concat(F.lit("~ "), F.array_join(constants, " "))
-    group = F.when(general, group).otherwise(F.concat(F.lit("= "), F.col("masked")))
-    ruled = ruled.select("leaf", "template", F.xxhash64(group).alias("group"))
-
-    hits = stored(held.drop("masked").join(ruled, ["leaf", "template"]), "line-hits")
-    groups = hits.groupBy("group", "text_key").agg(F.min("doc").alias("first"))
-    groups = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
-    groups = groups.where(F.col("n") >= MIN_TEXTS).select("group", "first")
-    return (
-        hits.join(groups, "group")
-        .where(~F.col("doc").eqNullSafe(F.col("first")))
-        .select("doc", "text_key", "template")
+    texts = texts.groupBy("group", "text_key").agg(F.min("first").alias("first"), F.max("enough").alias("enough"))
+    groups = texts.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.max("enough").alias("enough"), F.min("first").alias("of_group")
     )
+    groups = groups.where((F.col("n") >= MIN_TEXTS) | F.col("enough")).select("group", "of_group")
+    groups = stored(groups, "line-groups")
+    found = _joined(members, groups, ["group"]).select("form", F.col("of_group").alias("first"))
+    found = found.unionByName(alone).groupBy("form")
+    return found.agg(F.min("first").alias("low_first"), F.max("first").alias("high_first"))
 
 
-def drop_recurring_lines(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", by_template: bool = False
+def recurring_lines(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", long_texts: int = LONG_TEXTS
 ) -> DataFrame:
-    """``docs`` with the recurring lines taken out of ``text``; rows and other columns are as before."""
-    return _without(docs, recurring_lines(docs, doc, text, by_template), template_key, doc, text)
+    """``doc, text_key, line_key``: lines to drop, as their literal key."""
+    lines = stored(_parsed(docs, doc, text), "lines")
+    leaves = lines.groupBy("leaf", "n", "text_key").agg(F.lit(1).alias("one"))
+    leaves = leaves.groupBy("leaf", "n").agg(F.count("one").alias("leaf_texts"))
+    leaves = leaves.where(F.col("leaf_texts") >= _needed(F.col("n"), long_texts)).select("leaf")
+    held = stored(_joined(lines, stored(leaves, "leaves"), ["leaf"]), "held-lines")
+
+    same = held.groupBy("literal", "n", "text_key").agg(F.min("doc").alias("first"))
+    same = same.groupBy("literal", "n").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"))
+    same = same.where(F.col("texts") >= _needed(F.col("n"), long_texts))
+    same = stored(same.select("literal", "first", F.lit(True).alias("is_same")), "same-lines")
+    forms = _recurring_forms(held).withColumn("is_form", F.lit(True))
+
+    rows = held.select("doc", "text_key", "literal", "form")
+    rows = _joined(rows, same, ["literal"], "left")
+    rows = _joined(rows, stored(forms, "recurring-forms"), ["form"], "left")
+    firsts = [F.least("first", "low_first"), F.greatest("first", "high_first")]
+    stays = reduce(Column.__and__, [F.col("doc").eqNullSafe(f) for f in firsts])
+    rows = rows.where((F.col("is_same").isNotNull() | F.col("is_form").isNotNull()) & ~stays)
+    return rows.select("doc", "text_key", F.col("literal").alias("line_key"))
 
 
-def literal_key(line: Column) -> Column:
-    """Hash of a line as it is, but for blanks."""
-    return F.xxhash64(F.array_join(tokens(line), " "))
+def drop_recurring_lines(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", long_texts: int = LONG_TEXTS
+) -> DataFrame:
+    """``docs`` with the recurring lines taken out of ``text``; rows and other columns are as before.
+
+    Before near-dedup ``long_texts`` should be ``MIN_TEXTS``: pairs of near copies would be left as fragments.
+    """
+    return _without(docs, recurring_lines(docs, doc, text, long_texts), doc, text)
 
 
 def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, text_key, template``: lines of ``LONG_TOKENS`` and more, with or without digits, that are the
-    same in ``LONG_TEXTS`` different texts, for every document but the first; ``template`` is the literal key."""
-    lines = F.array_distinct(F.split(column(text), "\n"))
-    rows = docs.select(
-        column(doc).alias("doc"), F.xxhash64(column(text)).alias("text_key"), F.explode(lines).alias("line")
-    )
-    rows = rows.where(F.size(tokens(F.col("line"))) >= LONG_TOKENS)
-    rows = rows.select("doc", "text_key", literal_key(F.col("line")).alias("template"))
-    groups = rows.groupBy("template", "text_key").agg(F.min("doc").alias("first"))
-    groups = groups.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
-    groups = stored(groups.where(F.col("n") >= LONG_TEXTS).select("template", "first"), "repeated-lines")
-    return (
-        rows.join(small(groups, groups.count(), 64), "template")
-        .where(~F.col("doc").eqNullSafe(F.col("first")))
-        .select("doc", "text_key", "template")
-    )
+    """``doc, text_key, line_key``: lines of ``LONG_TOKENS`` and more, with or without digits, that are the
+    same in ``LONG_TEXTS`` different texts, for every document but the first."""
+    rows = _raw_lines(docs, doc, text).where(n_tokens(F.col("line")) >= LONG_TOKENS)
+    rows = rows.select("doc", "text_key", F.xxhash64("line").alias("line_key"))
+    groups = rows.groupBy("line_key", "text_key").agg(F.min("doc").alias("first"))
+    groups = groups.groupBy("line_key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    groups = stored(groups.where(F.col("n") >= LONG_TEXTS).select("line_key", "first"), "repeated-lines")
+    rows = _joined(rows, groups, ["line_key"]).where(~F.col("doc").eqNullSafe(F.col("first")))
+    return rows.select("doc", "text_key", "line_key")
 
 
 def drop_repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with long lines left in their first document only; for a table without near copies, which
     would be left as fragments. ``docs`` is read twice and should be stored."""
-    return _without(docs, repeated_lines(docs, doc, text), literal_key, doc, text)
+    return _without(docs, repeated_lines(docs, doc, text), doc, text)
 
 
-def _without(
-    docs: DataFrame, lines: DataFrame, key_of: Callable[[Column], Column], doc: str, text: str
-) -> DataFrame:
-    """``docs`` without ``lines`` (``doc, text_key, template``), found by ``key_of`` a line."""
+def _without(docs: DataFrame, lines: DataFrame, doc: str, text: str) -> DataFrame:
+    """``docs`` without ``lines`` (``doc, text_key, line_key``)."""
     dropped = lines.groupBy("doc", "text_key")
-    dropped = dropped.agg(F.collect_set("template").alias("gone"))
+    dropped = dropped.agg(F.collect_set("line_key").alias("gone"))
     dropped = stored(dropped, "dropped-lines")
     n_docs, n_lines = dropped.agg(F.count(F.lit(1)), F.sum(F.size("gone"))).first()
     key, gone = fresh(docs, "text_key"), fresh(docs, "gone")
@@ -187,7 +254,7 @@ def _without(
     )
     dropped = small(dropped, n_docs + (n_lines or 0) // 4, 40)
     kept = F.filter(
-        F.split(column(text), "\n"), lambda line: ~F.array_contains(F.col(gone), key_of(line))
+        F.split(column(text), "\n"), lambda line: ~F.array_contains(F.col(gone), literal_key(line))
     )
     cleaned = F.when(F.col(gone).isNull(), column(text)).otherwise(F.array_join(kept, "\n"))
     return (

@@ -111,33 +111,34 @@ WITH docs AS (
     SELECT *, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END
         FOR t IN regexp_extract_all(line, '[^\x20\x09-\x0D]+')] AS parts FROM placed
 ), held AS (
-    SELECT *, len(parts) || ' ' || array_to_string(parts[1:3], ' ') AS leaf,
-        array_to_string(parts, ' ') AS masked FROM parsed WHERE len(parts) >= 5
-), leaves AS (
-    SELECT leaf, count(DISTINCT text) AS leaf_texts FROM held GROUP BY 1 HAVING count(DISTINCT text) >= 3
+    SELECT *, len(parts) AS n, len(parts) || ' ' || array_to_string(parts[1:3], ' ') AS leaf,
+        array_to_string(parts, ' ') AS masked,
+        array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS literal FROM parsed WHERE len(parts) > 0
 ), forms AS (
-    SELECT leaf, masked, any_value(parts) AS parts, count(DISTINCT text) AS n_texts
-    FROM held SEMI JOIN leaves USING (leaf) GROUP BY 1, 2
+    SELECT leaf, masked, any_value(parts) AS parts, any_value(n) AS n, count(DISTINCT text) AS n_texts,
+        len(list_filter(any_value(parts), lambda t: t <> '<*>')) AS fixed
+    FROM held SEMI JOIN (SELECT leaf FROM held GROUP BY 1 HAVING count(DISTINCT text) >= 3) USING (leaf)
+    WHERE n >= 5 GROUP BY 1, 2
 ), fields AS (
-    SELECT leaf, masked, n_texts, unnest(parts) AS token, generate_subscripts(parts, 1) AS place FROM forms
+    SELECT *, unnest(parts) AS token, generate_subscripts(parts, 1) AS place FROM forms
 ), constant AS (
-    SELECT leaf, place, token FROM (
-        SELECT leaf, place, token, sum(n_texts) AS n FROM fields WHERE token <> '<*>' GROUP BY ALL
-    ) JOIN leaves USING (leaf) WHERE n >= 3 AND 5 * n >= leaf_texts
-), matched AS (
-    SELECT leaf, masked, count(*) AS n_constant FROM fields SEMI JOIN constant USING (leaf, place, token)
-    GROUP BY ALL
-), ruled AS (
-    SELECT leaf, masked, CASE WHEN 10 * coalesce(n_constant, 0) >= 7 * len(parts) THEN leaf
-        WHEN n_texts >= 3 AND 2 * len(list_filter(parts, lambda t: t <> '<*>')) >= len(parts)
-        THEN '= ' || masked END AS grp
-    FROM forms LEFT JOIN matched USING (leaf, masked)
+    SELECT leaf, place, token FROM fields WHERE token <> '<*>' GROUP BY ALL HAVING sum(n_texts) >= 3
+), templates AS (
+    SELECT masked, '= ' || masked AS grp FROM forms WHERE 2 * fixed >= n
+    UNION ALL
+    SELECT masked, '~ ' || leaf || ' ' || string_agg(place || ':' || token, ' ' ORDER BY place)
+    FROM fields SEMI JOIN constant USING (leaf, place, token) GROUP BY leaf, masked, n HAVING 10 * count(*) >= 7 * n
+    UNION ALL
+    SELECT masked, '? ' || place || ' ' || array_to_string(list_concat(parts[:place - 1], parts[place + 1:]), ' ')
+    FROM fields WHERE place > 3 AND token <> '<*>' AND 10 * (fixed - 1) >= 7 * n
 ), hits AS (
-    SELECT r, i, doc_id, text, grp FROM held JOIN ruled USING (leaf, masked) WHERE grp IS NOT NULL
+    SELECT r, i, doc_id, text, grp, 3 AS needed FROM held JOIN templates USING (masked)
+    UNION ALL
+    SELECT r, i, doc_id, text, '" ' || literal, CASE WHEN n < 5 THEN 10 WHEN n < 10 THEN 3 ELSE 2 END FROM held
 ), groups AS (
-    SELECT grp, min(doc_id) AS first FROM hits GROUP BY 1 HAVING count(DISTINCT text) >= 3
+    SELECT grp, min(doc_id) AS first FROM hits GROUP BY 1 HAVING count(DISTINCT text) >= any_value(needed)
 ), dropped AS (
-    SELECT r, i FROM hits JOIN groups USING (grp) WHERE doc_id IS DISTINCT FROM first
+    SELECT DISTINCT r, i FROM hits JOIN groups USING (grp) WHERE doc_id IS DISTINCT FROM first
 ), cleaned AS (
     SELECT r, doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
     FROM docs LEFT JOIN (

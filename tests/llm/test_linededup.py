@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citesift.llm.linededup import drop_recurring_lines
+from citesift.llm import linededup
+from citesift.llm.linededup import drop_recurring_lines, drop_repeated_lines
 
 OWN = "entirely own words of document number {0} stand here alone {0}x{0}"
 
@@ -95,3 +96,51 @@ def test_a_long_line_of_two_texts_stays_in_one(docs, spark):
     for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
         table = stage(spark, table, "")
     assert texts(table) == {1: data[0][1], 2: alone[2], 3: data[2][1]}
+
+
+def test_other_lines_of_a_leaf_take_no_template_away(docs):
+    names = ["ann", "bob", "cid", "dora", "eve", "finn"]
+    data = [(i, f"{own(i)}\nThis page was last changed by {n} and is free to use by all") for i, n in enumerate(names)]
+    for crowd in (0, 40, 300):
+        # Some of them have a name in the place of the field, so that it looks constant there.
+        more = [
+            (100 + k, "This page was " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" if c != "d" else names[k % 6] for c in "abcdefghijk"))
+            for k in range(crowd)
+        ]
+        found = texts(drop_recurring_lines(docs(data + more)))
+        assert found == {0: data[0][1], **{i: own(i) for i in range(1, 6)}, **dict(more)}
+
+
+def test_templates_of_a_leaf_do_not_replace_each_other(docs):
+    mail, quote = "Please contact us by mail today", "Please contact us for a quote"
+    data = [(i, f"{own(i)}\n{mail if i < 4 else quote}") for i in range(1, 7)]
+    found = texts(drop_recurring_lines(docs(data)))
+    assert found == {i: text if i in (1, 4) else own(i) for i, text in data}
+
+
+def test_literal_repeats_go_with_digits_and_by_length(docs):
+    numbers, long_line, short = "Tel 555 010 2030 22", "Tel +1 555 010 2030 Fax +1 555 010 2031", "All rights reserved."
+    data = [(i, f"{own(i)}\n{numbers}") for i in range(1, 4)]
+    data += [(i, f"{own(i)}\n{long_line}") for i in (4, 5)]
+    data += [(i, f"{own(i)}\n {short}") for i in range(6, 16)]
+    found = texts(drop_recurring_lines(docs(data)))
+    assert found == {i: text if i in (1, 4, 6) else own(i) for i, text in data}
+    assert texts(drop_recurring_lines(docs(data[:-1])))[7] == data[6][1]
+    assert texts(drop_recurring_lines(docs(data), long_texts=3))[5] == data[4][1]
+
+
+def test_joins_beyond_a_broadcast_give_the_same(docs, monkeypatch):
+    data = [(i, f"{own(i)}\nPrinted from site on day {i} by user{i}") for i in range(1, 6)]
+    monkeypatch.setattr(linededup, "HASH_ROW", 1 << 40)
+    assert texts(drop_recurring_lines(docs(data))) == {1: data[0][1], **{i: own(i) for i in range(2, 6)}}
+
+
+def test_repeated_lines_of_edge_rows(docs):
+    line = "ten words or more that two texts have just the same way"
+    data = [(None, f"{own(1)}\n{line}"), (1, None), (2, ""), (3, line), (3, line), (4, f"{line}\n{own(2)}"), (5, "x " * 50_000)]
+    table = docs(data).withColumn("gone", F.lit(1)).withColumn("text_key", F.lit(2)).withColumn("first", F.lit(3))
+    found = drop_repeated_lines(table)
+    assert found.columns == table.columns
+    expected = [(None, own(1)), (1, None), (2, ""), (3, line), (3, line), (4, own(2)), (5, "x " * 50_000)]
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    assert drop_repeated_lines(docs([])).count() == 0
