@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citesift.llm.frames import small_batches, stored
-from citesift.llm.linededup import drop_recurring_lines, drop_repeated_lines
+from citesift.llm.linededup import MIN_TEXTS, drop_recurring_lines, drop_repeated_lines
 from citesift.llm.mixing import mix
 from citesift.llm.neardup import keep_one
 from citesift.llm.quality import keep_good
@@ -23,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines leave the texts of all documents but the first; ``n_chars`` stays as given."""
-    return drop_recurring_lines(docs, by_template=True)
+    """Recurring lines leave the texts of all documents but the first; ``n_chars`` stays as given.
+
+    Long lines of two texts wait for near-dedup, which would otherwise meet fragments of near copies.
+    """
+    return drop_recurring_lines(docs, long_texts=MIN_TEXTS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
