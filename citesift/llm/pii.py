@@ -1,16 +1,22 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 1. Seeds: e-mail addresses, IPv4 addresses, card and phone numbers by their form (fixed patterns,
-   confirmed by value ranges, digit counts and the Luhn sum).
-2. Candidates: other tokens of an identifier's shape (``SHAPE``: eight characters or more, at least two
-   digits and a letter; mere numbers that fail the checks of step 1 are not identifiers).
+   confirmed by value ranges, digit counts and the Luhn sum), and secrets: long mixed values that are
+   assigned to a name (kind ``secret``, not among the base kinds).
+2. Candidates: other tokens of six characters or more with at least two digits (``CANDIDATE``).
 3. Lexical patterns: the last word, and the last two words, in front of a seed or candidate, if seeds
    follow them much more often than chance (``MIN_LIFT``).
-4. The graph of patterns and the values they introduce is scored in ``ROUNDS`` rounds. A pattern's
-   confidence is the summed confidence of its values over their number plus ``DOUBT``, if it has
-   introduced ``MIN_SEEDS`` different seeds; a candidate has the confidence of its best pattern.
-   Unknown values count against a pattern, so a common word that introduces anything stays weak.
-5. Candidates that reach ``CONFIDENT`` are identifiers, wherever they occur (kind ``learned``).
+4. The graph of patterns and the values they introduce is scored. A pattern that has introduced ``MIN_SEEDS``
+   different seeds has as confidence the summed belief in its values over their number plus
+   ``DOUBT``. The belief in a seed is 1, in a candidate ``DAMPING`` times its weight times the confidence of its
+   best pattern; the weight is 1 for the shape of an identifier (``SHAPE``), else ``PLAIN``. As the damping makes
+   every round a contraction, there is one fixed point, and rounds go on until nothing moves by ``TOLERANCE``, without a cap.
+   With s seeds and u candidates of its own a pattern ends at s / (s + DOUBT + u (1 - DAMPING)): unknown
+   values count against it, smoothly.
+5. Candidates whose weight times confidence reaches ``CONFIDENT`` are identifiers (kind ``learned``): those of
+   an identifier's shape wherever they occur, others (mere numbers, short codes) behind the pattern only.
+
+Not found: identifiers without a digit (user names), of several words, or behind their value's right side only.
 
 Work: the forms are looked for in texts with a digit or an at sign only, in one pass; texts are never
 shuffled, only values with their contexts. Expressions are possessive and start at word or number
@@ -30,9 +36,12 @@ from pyspark.sql import functions as F
 from citesift.llm.frames import column, small, stored
 
 KINDS = ["email", "ip", "card", "phone"]
-LEARNED = "learned"
-ROUNDS = 3
+SECRET, LEARNED = "secret", "learned"
+ALL_KINDS = [*KINDS, SECRET, LEARNED]
 DOUBT = 1.0
+DAMPING = 0.9
+PLAIN = 0.9
+TOLERANCE = 1e-4
 MIN_SEEDS = 3
 MIN_LIFT = 3
 CONFIDENT = 0.75
@@ -50,7 +59,15 @@ FORMS = {
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 # Marks around a token that are not part of it.
 EDGES_LEFT, EDGES_RIGHT = r"^[(\[{\"'<,;:]+", r"[)\]}\"'>.,;:!?]+$"
+CANDIDATE = r"^(?=(?:[^0-9]*+[0-9]){2})(?=.{6})"
+# Weighs fully: eight characters or more, two digits and a letter.
 SHAPE = r"^(?=(?:[^0-9]*+[0-9]){2})(?=[^A-Za-z]*+[A-Za-z])(?=.{8})"
+# A value that is assigned to a name, in its own token or in front of it: 20 characters or more, four digits, four letters.
+ASSIGNED = r"[=:][\x20\x09-\x0D]*$"
+NAME = r"^[A-Za-z_][A-Za-z0-9_.-]*+[=:]"
+QUOTE = r"^[\"'`]"
+SECRET_VALUE = r"^[A-Za-z0-9][A-Za-z0-9_+/=-]{19,}+"
+MIXED = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})"
 IP_PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string,tail:string>"
@@ -143,10 +160,11 @@ def _is_valid(kind: str) -> Callable[[Column], Column]:
 
 
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, base, candidates``: one row per row of ``docs``, spans in code points.
+    """``doc_id, text_key, base, secrets, candidates``: one row per row of ``docs``, spans in code points.
 
-    ``base`` has the seeds in order of start and kind; ``candidates`` the other tokens of an
-    identifier's shape that touch no seed. Both carry the characters in front of them.
+    ``base`` has the seeds of the base kinds in order of start and kind, ``secrets`` the assigned values;
+    ``candidates`` the other tokens that may be identifiers and touch no seed. All carry the characters in
+    front of them.
     """
     body = F.coalesce(column(text).cast("string"), F.lit(""))
     rows = docs.select(column(doc).alias("doc_id"), body.alias("body"))
@@ -157,16 +175,18 @@ def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     pairs = [_found(body, FORMS[k], possible[k]).alias(k) for k in KINDS]
     rows = rows.select("doc_id", "text_key", *pairs, _found(body, TOKEN, number).alias("token"))
     spans = [F.filter(_placed(k, i), _is_valid(k)).alias(k) for i, k in enumerate(KINDS)]
-    rows = rows.select("doc_id", "text_key", *spans, _placed("token", len(KINDS)).alias("token"))
+    token = _placed("token", ALL_KINDS.index(LEARNED)).alias("token")
+    rows = rows.select("doc_id", "text_key", *spans, token)
     base = F.array_sort(F.concat(*KINDS), _by_place)
-    rows = rows.select("doc_id", "text_key", base.alias("base"), "token")
+    secrets = F.filter(F.transform("token", _assigned), lambda t: t["value"].rlike(MIXED))
+    rows = rows.select("doc_id", "text_key", base.alias("base"), secrets.alias("secrets"), "token")
     trimmed = F.transform("token", _trim)
-    free = F.filter(
-        trimmed,
-        lambda t: t["value"].rlike(SHAPE)
-        & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-    )
-    return rows.select("doc_id", "text_key", "base", free.alias("candidates"))
+
+    def touched(t: Column) -> Column:
+        return F.exists(F.concat("base", "secrets"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+
+    free = F.filter(trimmed, lambda t: t["value"].rlike(CANDIDATE) & ~touched(t))
+    return rows.select("doc_id", "text_key", "base", "secrets", free.alias("candidates"))
 
 
 def _by_place(a: Column, b: Column) -> Column:
@@ -188,6 +208,37 @@ def _trim(span: Column) -> Column:
     )
 
 
+def _assigned(span: Column) -> Column:
+    """The value that a token gives to a name, as a span; with an empty value if there is none."""
+    token = span["value"]
+    own = F.regexp_replace(token, NAME, "")
+    named = (F.length(own) < F.length(token)) | span["tail"].rlike(ASSIGNED)
+    bare = F.regexp_replace(own, QUOTE, "")
+    value = F.when(named, F.regexp_extract(bare, SECRET_VALUE, 0)).otherwise(F.lit(""))
+    start = span["start"] + F.length(token) - F.length(bare)
+    return F.struct(
+        start.alias("start"),
+        F.lit(ALL_KINDS.index(SECRET)).alias("kind"),
+        (start + F.length(value)).alias("end"),
+        value.alias("value"),
+        span["tail"].alias("tail"),
+    )
+
+
+def weight(value: Column) -> Column:
+    """How much of its pattern's confidence a candidate may have."""
+    return F.when(value.rlike(SHAPE), 1.0).otherwise(PLAIN)
+
+
+def _front(spans: DataFrame) -> DataFrame:
+    """``tail`` as ``words``, in lower case, without a word that may be cut."""
+    words = F.filter(F.split(F.lower("tail"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # A tail of full length may begin inside a word.
+    cut = F.when(F.length("tail") < TAIL_CHARS, 1).otherwise(2)
+    rows = spans.withColumn("words", words).withColumn("cut", cut).drop("tail")
+    return rows.withColumn("words", F.slice("words", F.col("cut"), F.size("words"))).drop("cut")
+
+
 def _grams(words: str) -> Column:
     """Words and neighbouring pairs; ``intro`` marks the ones that stand right in front."""
     n = F.size(words)
@@ -207,14 +258,10 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     A pattern is telling if seeds follow it ``MIN_LIFT`` times as often as it stands anywhere else in
     the text before seeds and candidates: "card" is, "the" is not.
     """
-    both = scanned.select(F.explode(F.concat("base", "candidates")).alias("s")).select(
-        "s.value", "s.tail", (F.col("s.kind") < len(KINDS)).alias("seed")
+    both = scanned.select(F.explode(F.concat("base", "secrets", "candidates")).alias("s")).select(
+        "s.value", "s.tail", (F.col("s.kind") != ALL_KINDS.index(LEARNED)).alias("seed")
     )
-    words = F.filter(F.split(F.lower("tail"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    # A tail of full length may begin inside a word.
-    cut = F.when(F.length("tail") < TAIL_CHARS, 1).otherwise(2)
-    both = both.select("value", "seed", words.alias("words"), cut.alias("cut"))
-    both = both.select("value", "seed", F.slice("words", F.col("cut"), F.size("words")).alias("words"))
+    both = _front(both)
     rows = both.select("value", "seed", F.explode(_grams("words")).alias("gram")).select("value", "seed", "gram.*")
     folded = rows.groupBy("pattern", "value", "seed", "intro").agg(F.count(F.lit(1)).alias("n"))
     folded = stored(folded, "pii-grams")
@@ -230,45 +277,72 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     return edges.join(telling, "pattern")
 
 
-def confident_values(edges: DataFrame) -> DataFrame:
-    """``value, confidence`` of the candidates, after ``ROUNDS`` rounds over the graph."""
-    edges = stored(edges, "pii-edges")
-    scores = None
-    for _ in range(ROUNDS):
-        known = edges if scores is None else edges.join(scores, "value", "left")
-        belief = F.lit(0.0) if scores is None else F.coalesce("confidence", F.lit(0.0))
-        belief = F.when(F.col("seed"), 1.0).otherwise(belief)
-        patterns = known.groupBy("pattern").agg(
-            (F.sum(belief) / (F.count(F.lit(1)) + DOUBT)).alias("confidence"),
-            F.sum(F.col("seed").cast("int")).alias("seeds"),
+def confidences(edges: DataFrame) -> DataFrame:
+    """``pattern, confidence`` at the fixed point, for ``edges`` of ``pattern, value, seed``."""
+    edges = stored(edges.withColumn("weight", weight(F.col("value"))), "pii-edges")
+    unknown = F.when(F.col("seed"), 0.0).otherwise(DAMPING * F.col("weight"))
+    counts = edges.groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("seed").cast("int")).alias("seeds"),
+        F.sum(unknown).alias("own"),
+    )
+    counts = counts.where(F.col("seeds") >= MIN_SEEDS)
+    # Exact for patterns that share no candidate, and a lower bound for others.
+    alone = F.col("seeds") / (F.col("n") + DOUBT - F.col("own"))
+    scores = stored(counts.select("pattern", "n", "seeds", alone.alias("confidence")), "pii-patterns")
+    candidates = edges.where(~F.col("seed")).select("pattern", "value", "weight")
+    moved = scores.isEmpty() or candidates.isEmpty()
+    while not moved:
+        best = candidates.join(scores, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
+        beliefs = candidates.join(best, "value").groupBy("pattern")
+        beliefs = beliefs.agg(F.sum(DAMPING * F.col("weight") * F.col("best")).alias("belief"))
+        confidence = (F.col("seeds") + F.coalesce("belief", F.lit(0.0))) / (F.col("n") + DOUBT)
+        after = scores.join(beliefs, "pattern", "left").select(
+            "pattern", "n", "seeds", confidence.alias("confidence"), F.abs(confidence - F.col("confidence")).alias("step")
         )
-        patterns = patterns.where(F.col("seeds") >= MIN_SEEDS).select("pattern", "confidence")
-        found = edges.where(~F.col("seed")).join(patterns, "pattern").groupBy("value")
-        scores = stored(found.agg(F.max("confidence").alias("confidence")), "pii-values")
-    return scores
+        after = stored(after, "pii-patterns")
+        moved = after.agg(F.max("step")).first()[0] < TOLERANCE
+        scores = after.drop("step")
+    return scores.select("pattern", "confidence")
+
+
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """A stored table with the string ``name``, marked for broadcast if its bytes are few."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(name))).first()
+    return small(df, 1, 32 * n + (size or 0))
 
 
 def personal_data(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, base, spans``: seeds, and seeds with learned identifiers, in order."""
+    """``doc_id, base, spans``: seeds of the base kinds, and all seeds with learned identifiers, in order."""
     scanned = stored(scan(docs, doc, text), "pii-spans")
-    scores = confident_values(occurrences(scanned))
-    learned = stored(scores.where(F.col("confidence") >= CONFIDENT).select("value"), "pii-learned")
-    n_learned = learned.count()
+    edges = occurrences(scanned)
+    patterns = stored(confidences(edges).where(F.col("confidence") >= CONFIDENT), "pii-confident")
+    shaped = edges.where(~F.col("seed") & F.col("value").rlike(SHAPE))
+    known = stored(shaped.join(patterns, "pattern", "left_semi").select("value").distinct(), "pii-learned")
+    telling = patterns.where(PLAIN * F.col("confidence") >= CONFIDENT).select("pattern")
+
     tokens = scanned.select("doc_id", "text_key", F.explode("candidates").alias("span"))
-    hits = tokens.join(small(learned, n_learned, 64), F.col("span.value") == F.col("value"), "left_semi")
+    anywhere = tokens.where(F.col("span.value").rlike(SHAPE))
+    hits = anywhere.join(_counted(known, "value"), F.col("span.value") == F.col("value"), "left_semi")
+    behind = _front(tokens.where(~F.col("span.value").rlike(SHAPE)).withColumn("tail", F.col("span.tail")))
+    behind = behind.select("doc_id", "text_key", "span", F.explode(_grams("words")).alias("gram"))
+    behind = behind.where("gram.intro").withColumn("pattern", F.col("gram.pattern"))
+    behind = behind.join(_counted(telling, "pattern"), "pattern", "left_semi").select(*tokens.columns)
+    hits = hits.unionByName(behind)
     # Equal rows have equal spans: they count once here and are joined to each of the rows.
     hits = hits.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("more"))
     hits = hits.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "more")
     none = F.array().cast(f"array<{SPAN}>")
+    every = F.concat("base", "secrets", F.coalesce("more", none))
     return (
         scanned.join(hits, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
-        .select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none)), _by_place).alias("spans"))
+        .select("doc_id", "base", F.array_sort(every, _by_place).alias("spans"))
     )
 
 
 def written(spans: Column) -> Column:
     """``kind:start:end`` of each span, joined by commas."""
-    names = F.array(*[F.lit(k) for k in [*KINDS, LEARNED]])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(
         F.transform(
             spans,
@@ -279,5 +353,5 @@ def written(spans: Column) -> Column:
 
 
 def count_kind(spans: str, kind: str) -> Column:
-    place = [*KINDS, LEARNED].index(kind)
+    place = ALL_KINDS.index(kind)
     return F.size(F.filter(spans, lambda s: s["kind"] == place)).cast("bigint")

@@ -161,6 +161,7 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[pii.count_kind("base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.written(F.col("spans")).alias("spans"),
+        pii.count_kind("spans", pii.SECRET).alias("n_secret"),
         pii.count_kind("spans", pii.LEARNED).alias("n_learned"),
     )
 

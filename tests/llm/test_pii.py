@@ -98,3 +98,63 @@ def test_empty_table_and_no_python(docs):
     assert spans(docs([])) == []
     plan = pii.scan(docs([]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_confidences(edges):
+    """The fixed point, by many plain rounds from zero."""
+    values = {}
+    for pattern, value, seed in edges:
+        values.setdefault(pattern, []).append((value, seed))
+    values = {p: vs for p, vs in values.items() if sum(seed for _, seed in vs) >= pii.MIN_SEEDS}
+    score = dict.fromkeys(values, 0.0)
+    for _ in range(400):
+        best = {}
+        for p, vs in values.items():
+            for v, _ in vs:
+                best[v] = max(best.get(v, 0.0), score[p])
+        of = lambda v: pii.DAMPING * (1.0 if len(v) >= 8 and any(c.isalpha() for c in v) else pii.PLAIN) * best[v]
+        score = {p: sum(1.0 if seed else of(v) for v, seed in vs) / (len(vs) + pii.DOUBT) for p, vs in values.items()}
+    return score
+
+
+def test_confidences_equal_plain_rounds(spark):
+    pick = random.Random(4)
+    edges = []
+    for p in range(12):
+        edges += [(f"p{p}", f"s{p}x{i}@mail.example", True) for i in range(pick.choice([2, 3, 5, 9, 15]))]
+        edges += [(f"p{p}", v, False) for v in pick.sample([f"AB{k}-123{k}" if k % 2 else f"12345{k}" for k in range(10, 40)], pick.randrange(12))]
+    found = pii.confidences(spark.createDataFrame(edges, "pattern string, value string, seed boolean"))
+    found = {r["pattern"]: r["confidence"] for r in found.collect()}
+    expected = plain_confidences(edges)
+    assert found.keys() == expected.keys()
+    assert all(abs(found[p] - expected[p]) < 2e-3 for p in expected)
+
+
+def test_unknown_values_lower_a_pattern_smoothly(spark):
+    edges = []
+    for u in (0, 5, 20, 200):
+        edges += [(f"with {u}", f"s{u}x{i}@mail.example", True) for i in range(12)]
+        edges += [(f"with {u}", f"KX-{u}-{i:04d}", False) for i in range(u)]
+    found = pii.confidences(spark.createDataFrame(edges, "pattern string, value string, seed boolean"))
+    found = {r["pattern"]: round(r["confidence"], 3) for r in found.collect()}
+    assert found == {f"with {u}": round(12 / (13 + 0.1 * u), 3) for u in (0, 5, 20, 200)}
+
+
+def test_numbers_and_short_codes_are_found_behind_a_pattern_only(docs):
+    data = [(i, f"some words about topic, please reach account u{i}@mail.example now") for i in range(16)]
+    values = ["078-05-1120", "555-010-2030", "AB1234", "KX-7741-AB"]
+    data += [(50 + k, f"other words, please reach account {v} now") for k, v in enumerate(values)]
+    data += [(60 + k, f"sold in lots of {v} pieces") for k, v in enumerate(values)]
+    found = {i: every for i, _, every in spans(docs(data))}
+    assert all(found[50 + k] == f"learned:34:{34 + len(v)}" for k, v in enumerate(values))
+    assert [found[60 + k] for k in range(4)] == ["", "", "", "learned:16:26"]
+
+
+def test_assigned_values_are_secrets(docs):
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    said = [f'as token = "{value}" here', f"{value}", f'key: {value}"### x', f"API_KEY='{value}';", f"see {value} = 1", "url=https://host/2023/ab12cd34ef56ab78"]
+    where = [(12, 52), None, (5, 45), (9, 49), None, None]
+    table = docs(list(enumerate(said)))
+    found = {i: every for i, _, every in spans(table)}
+    kinds = lambda every: [s for s in every.split(",") if s.startswith("secret")]
+    assert [kinds(found[i]) for i in range(6)] == [[f"secret:{w[0]}:{w[1]}"] if w else [] for w in where]
