@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from citesift.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
-from citesift.operators.contracts import check_unique_ids
+from citesift.operators.contracts import check_citable, check_unique_ids
 from citesift.operators.embedding import Encoder, embed_chunks
 from citesift.operators.features import corpus_stats
 from citesift.session import write_and_read
@@ -32,6 +32,7 @@ def index_documents(
     write_index(embed_chunks(chunks, encoder), index_path)
     index = read_index(documents.sparkSession, index_path)
     check_unique_ids(index)
+    check_citable(index)
     if events_path:
         log_event(
             documents.sparkSession,

@@ -21,6 +21,7 @@ from citesift.plans.assistant import open_assistant
 from citesift.plans.evaluate import evaluate_models
 from citesift.plans.train import Paths, train_models
 from citesift.sources.index_store import read_index, record_facts
+from citesift.plans.ingest import index_documents
 from citesift.streaming.asks import stream_ask
 from citesift.streaming.ingest import stream_index
 from citesift.streaming.rollup import latency_counts, rollup, stream_latency_counts
@@ -118,6 +119,28 @@ def test_query_stream_equals_batch(assistant, rows, spark, tmp_path):
         assert e["latency_ms"] > 0 and 0 < e["confidence"] <= 1
 
 
+@pytest.mark.parametrize("event_time", [None, "at"])
+def test_query_stream_answers_an_id_once(assistant, rows, spark, tmp_path, event_time):
+    schema = "query_id string, query string, at timestamp"
+    stamp = dt.datetime(2024, 1, 1)
+    source = str(tmp_path / "in")
+    paths = [str(tmp_path / p) for p in ("answers", "events", "checkpoint")]
+    # Equal ids in one batch, then, after a restart, ids of an earlier batch.
+    for ids in (["1", "1", "3"], ["3", "2", "2"]):
+        texts = dict(ASKED)
+        rows([(i, texts[i], stamp) for i in ids], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_ask(stream, assistant, *paths, event_time=event_time).awaitTermination()
+    assert sorted(r.query_id for r in spark.read.parquet(paths[0]).collect()) == ["1", "2", "3"]
+    assert spark.read.text(paths[1]).count() == 3
+
+
+def test_ingest_refuses_ids_that_a_citation_cannot_carry(rows, encoder, tmp_path):
+    broken = rows([("a]b.md", "/c/a]b.md", "some words of a text")], "doc_id string, source string, text string")
+    with pytest.raises(ValueError, match="citation"):
+        index_documents(broken, encoder, str(tmp_path / "index"))
+
+
 def test_document_stream_equals_batch(documents, encoder, spark, tmp_path):
     documents.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
