@@ -1,9 +1,9 @@
 """Which documents hold a query's text: relevance labels for a table of passages.
 
-A passage is in a document if its words stand there in order. Instead of comparing every passage
-with every document, both sides are keyed by short runs of words: the run a passage starts with
-must occur in the document, so an equality join on the run finds all candidates, and only those are
-compared in full.
+A passage is in a document if its words stand there in order. Both sides are cut into short runs of
+words. A passage is looked up by its rarest run, which tells where in a document it would have to
+start; only the words there are compared, by their digest. Texts of passages never leave their row,
+texts of documents meet places by document id, and copies of a passage are looked up once.
 """
 
 from __future__ import annotations
@@ -17,56 +17,127 @@ from citesift.functions.text import bind, words
 from citesift.session import work_dir, write_and_read
 
 ANCHOR_WORDS = 5
-BROADCAST_PASSAGES = 500_000
-BROADCAST_CANDIDATES = 500_000
+# A run is tested against one bit; the filter has this many bits per run, 64 MB at most.
+BITS_PER_RUN = 16
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 29
+# Bytes that are sent to every executor at most. A key is a row of fixed size.
+BROADCAST_BYTES = 64 << 20
+KEY_BYTES = 160
 
 
 def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """Distinct ``query_id, doc_id`` where the document's words contain the query's words.
 
-    Passages shorter than the anchor use their whole length; the few anchor lengths in use are
-    looked up first, so documents are only cut into runs that some passage needs. Up to
-    ``BROADCAST_PASSAGES`` passages (two numbers each) the keys are broadcast and no document run is
-    shuffled; beyond that the join shuffles the runs, and AQE splits runs that many copies share.
-    The candidates are written and counted: few are sent to the documents, many are joined by id.
+    Passages shorter than the anchor are one run. Runs of documents pass a bit filter of the passages'
+    runs before they are shuffled or written; what it lets through by chance finds no key. A passage
+    with a run that stands nowhere is in no document and goes. Frequencies are counted once, from the
+    written runs. Keys and places are broadcast up to ``BROADCAST_BYTES``, and joined by shuffles beyond,
+    where AQE splits a run that many copies share. Blank passages are in no document; rows without an
+    id have no partner.
     """
-    passages = queries.select("query_id", words(F.col("query")).alias("w")).where(F.size("w") > 0)
-    passages = passages.select(
-        "query_id",
-        F.least(F.lit(anchor), F.size("w")).alias("length"),
-        _spaced(F.col("w")).alias("passage"),
-        F.xxhash64(F.slice("w", 1, anchor)).alias("run"),
-    )
-    used = passages.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
-    lengths = sorted(r["length"] for r in used)
+    spark = queries.sparkSession
+    folder = f"{work_dir(spark)}/anchored/{uuid.uuid4().hex}"
+    asked = queries.select("query_id", words(F.col("query")).alias("w")).where(F.size("w") > 0)
+    asked = asked.select("query_id", "w", F.size("w").alias("length"), _digest(F.col("w")).alias("passage"))
+
+    lengths = asked.select(F.least(F.lit(anchor), "length").alias("n")).distinct()
+    lengths = sorted(r["n"] for r in lengths.collect())  # at most ``anchor`` rows
     if not lengths:
         return queries.select("query_id", F.lit("").alias("doc_id")).where(F.lit(False))
-    keys = passages.select("query_id", "run")
-    if sum(r["n"] for r in used) <= BROADCAST_PASSAGES:
+    cut = F.least(F.lit(anchor), F.size("w"))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("w") - cut),
+        lambda i: F.struct(i.alias("offset"), F.xxhash64(F.slice("w", i + 1, cut)).alias("run")),
+    )
+    passage_runs = (
+        asked.select("passage", "length", F.explode(runs).alias("r"))
+        .select("passage", "length", "r.offset", "r.run")
+        .distinct()
+    )
+    passage_runs = write_and_read(passage_runs, f"{folder}/passage-runs")
+
+    placed = documents.select("doc_id", F.explode(bind(words(F.col("text")), _runs_of(lengths))).alias("r"))
+    placed = placed.select("doc_id", "r.start", "r.run")
+    placed = write_and_read(_maybe_in(placed, passage_runs), f"{folder}/document-runs")
+
+    keys = write_and_read(_rarest(passage_runs, placed), f"{folder}/keys")
+    n_keys = keys.count()
+    if n_keys * KEY_BYTES <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
+    places = (
+        placed.join(keys, "run")
+        .where("start >= offset")
+        .select("doc_id", (F.col("start") - F.col("offset")).alias("start"), "length", "passage")
+    )
+    places = write_and_read(places, f"{folder}/places")
+    sent = places.agg(F.coalesce(F.sum(F.octet_length("doc_id") + KEY_BYTES), F.lit(0))).first()[0]
+    if sent <= BROADCAST_BYTES:
+        places = F.broadcast(places)
+    found = (
+        documents.select("doc_id", words(F.col("text")).alias("w"))
+        .join(places, "doc_id")
+        .where(_digest(F.slice("w", F.col("start") + 1, F.col("length"))) == F.col("passage"))
+        .select("doc_id", "passage")
+        .distinct()
+    )
+    return found.join(asked.select("query_id", "passage"), "passage").select("query_id", "doc_id").distinct()
+
+
+def _runs_of(lengths: list[int]):
+    """The ``start`` and hash of all runs of the given lengths in a list of words."""
 
     def runs(w: Column) -> Column:
         def of_length(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.size(w) - n + 1)
-            cut = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, n)))
-            return F.when(F.size(w) >= n, cut).otherwise(F.array().cast("array<bigint>"))
-
-        return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
-
-    keyed = documents.select("doc_id", F.explode(bind(words(F.col("text")), runs)).alias("run"))
-    candidates = keyed.join(keys, "run").select("query_id", "doc_id").distinct()
-    place = f"{work_dir(queries.sparkSession)}/anchored/{uuid.uuid4().hex}"
-    candidates = write_and_read(candidates, place)
-    if candidates.count() <= BROADCAST_CANDIDATES:
-        candidates = F.broadcast(candidates)
+            starts = F.sequence(F.lit(0), F.size(w) - n)
+            cut = F.transform(
+                starts,
+                lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice(w, i + 1, n)).alias("run")),
+            )
+            return F.when(F.size(w) >= n, cut).otherwise(F.array().cast("array<struct<start:int,run:bigint>>"))
+
+        return F.concat(*[of_length(n) for n in lengths])
+
+    return runs
+
+
+def _maybe_in(placed: DataFrame, passage_runs: DataFrame) -> DataFrame:
+    """The rows whose run sets a bit of the passages' filter: all that match, and few others.
+
+    The filter is a table of bitmaps, broadcast whole: its size is fixed by ``bits``.
+    """
+    n = passage_runs.count()
+    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << (n * BITS_PER_RUN).bit_length()))
+    place = F.pmod("run", F.lit(bits))
+    filled = (
+        passage_runs.select(place.alias("place"))
+        .select(F.bitmap_bucket_number("place").alias("_part"), F.bitmap_bit_position("place").alias("_bit"))
+        .groupBy("_part")
+        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    )
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    return (
+        placed.withColumn("_place", place)
+        .withColumn("_part", F.bitmap_bucket_number("_place"))
+        .withColumn("_bit", F.bitmap_bit_position("_place"))
+        .join(F.broadcast(filled), "_part")
+        .withColumn("_byte", byte)
+        .where(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1"))
+        .select(*placed.columns)
+    )
+
+
+def _rarest(passage_runs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``passage, length, offset, run``: the run of each passage that stands in the fewest places."""
+    frequency = placed.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "run")).alias("best")
     return (
-        documents.select("doc_id", "text")
-        .join(candidates, "doc_id")
-        .join(passages.select("query_id", "passage"), "query_id")
-        .where(F.contains(_spaced(words(F.col("text"))), F.col("passage")))
-        .select("query_id", "doc_id")
+        passage_runs.join(frequency, "run", "left")
+        .groupBy("passage", "length")
+        .agg(best)
+        .where("best.n > 0")
+        .select("passage", "length", "best.offset", "best.run")
     )
 
 
-def _spaced(w: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+def _digest(w: Column) -> Column:
+    return F.sha2(F.array_join(w, " ").cast("binary"), 256)

@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from citesift.functions.text import token_list
 from citesift.operators import metrics as M
+from citesift.operators import relevance
 from citesift.operators.evaluation import candidates, evaluate_ranking
 from citesift.operators.features import (
     BatchPairScorer,
@@ -294,6 +296,40 @@ def test_relevant_documents_equal_brute_force(rows):
     assert relevant_documents(queries.where("false"), documents).count() == 0
 
 
+def test_relevant_documents_with_one_passage_in_most_documents(rows, monkeypatch):
+    shared = "the same five words and more of them everywhere"
+    docs = [f"w{i} {shared} v{i}" for i in range(400)] + [shared.replace("more", "less"), None, ""]
+    documents = rows([(f"d{i}", t) for i, t in enumerate(docs)], "doc_id string, text string")
+    asked = [("q1", shared), ("q2", shared), ("q3", f"{shared} v7"), ("q4", "five words and less of"), ("q5", None)]
+    queries = rows(asked, "query_id string, query string")
+    expected = {(q, f"d{i}") for q in ("q1", "q2") for i in range(400)} | {("q3", "d7"), ("q4", "d400")}
+    for limit in (relevance.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(relevance, "BROADCAST_BYTES", limit)
+        found = [tuple(r) for r in relevant_documents(queries, documents).collect()]
+        assert set(found) == expected and len(found) == len(expected)
+
+
+def test_only_document_ids_move_texts(rows, capsys, monkeypatch):
+    monkeypatch.setattr(relevance, "BROADCAST_BYTES", 0)
+    documents = rows([("d1", "one two three four five six")], "doc_id string, text string")
+    queries = rows([("q1", "two three four five six")], "query_id string, query string")
+    relevant_documents(queries, documents).explain("formatted")
+    moved = re.findall(r"\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: (.*)", capsys.readouterr().out)
+    assert len(moved) >= 4
+    for columns, how in moved:
+        names = {c.split("#")[0] for c in columns.split(", ")}
+        assert "hashpartitioning(doc_id" in how or names <= {"doc_id", "query_id", "passage", "start", "length"}
+
+
+def test_bit_filter_keeps_all_that_match(rows):
+    kept = rows([(i * 7919 - 10**9,) for i in range(500)], "run long")
+    placed = rows([("d", i, i - 10**9) for i in range(0, 500 * 7919, 101)], "doc_id string, start int, run long")
+    wanted = {i * 7919 - 10**9 for i in range(500)}
+    found = [r.run for r in relevance._maybe_in(placed, kept).collect()]
+    assert {r.run for r in placed.collect()} & wanted <= set(found)
+    assert len(found) < placed.count() / 100
+
+
 def test_label_join_ignores_other_queries(rows):
     hits = rows([("q1", "A"), ("q2", "A")], "query_id string, doc_id string")
     relevance = rows([("q2", "A")], "query_id string, doc_id string")
