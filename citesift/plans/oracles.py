@@ -591,7 +591,8 @@ FROM events""",
         CHUNKS, select="SELECT chunk_id, doc_id, chunk_index, 256::bigint AS dim FROM chunks"
     ),
     "stream_ask_answers": sql(*ASK, select=ASK_SELECT),
-    "stream_event_rollup": ROLLUP.replace(
+    "stream_event_rollup": ROLLUP,
+    "stream_event_rollup_closed": ROLLUP.replace(
         "FROM events GROUP BY ALL",
         """FROM events
   WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)

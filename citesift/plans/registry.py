@@ -51,7 +51,13 @@ from citesift.session import work_dir
 from citesift.sources.index_store import read_index, record_facts
 from citesift.streaming.asks import stream_ask
 from citesift.streaming.ingest import stream_index
-from citesift.streaming.rollup import latency_counts, rollup, stream_latency_counts
+from citesift.streaming.rollup import (
+    latency_counts,
+    read_window_counts,
+    rollup,
+    stream_latency_counts,
+    stream_window_counts,
+)
 
 KNN = 10
 DIGITS = 6
@@ -787,7 +793,16 @@ def stream_ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, open ones too."""
     folder = _stream_folder(spark, "rollup")
     incoming = T.as_served(_stream_of(spark, sf_dir, "events"))
+    stream_window_counts(incoming, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _rollup_columns(rollup(read_window_counts(spark, f"{folder}/out")))
+
+
+@query
+def stream_event_rollup_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _stream_folder(spark, "rollup-closed")
+    incoming = T.as_served(_stream_of(spark, sf_dir, "events"))
     stream_latency_counts(incoming, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return _rollup_columns(rollup(spark.read.parquet(f"{folder}/out")))

@@ -24,7 +24,13 @@ from citesift.sources.index_store import read_index, record_facts
 from citesift.plans.ingest import index_documents
 from citesift.streaming.asks import stream_ask
 from citesift.streaming.ingest import stream_index
-from citesift.streaming.rollup import latency_counts, rollup, stream_latency_counts
+from citesift.streaming.rollup import (
+    latency_counts,
+    read_window_counts,
+    rollup,
+    stream_latency_counts,
+    stream_window_counts,
+)
 
 DOCS = {
     "fruit.md": "apples and pears grow on trees in the orchard and taste sweet in autumn",
@@ -259,3 +265,37 @@ def test_event_rollup_stream_equals_batch_and_drops_late_rows(rows, spark, tmp_p
     by = {(r.window_start.day, r.intent): r for r in found}
     assert by[1, "factual"].p50 == 2.0 and by[1, "factual"].n == 2
     assert by[1, OUT_OF_SCOPE].refusal_rate == 1.0
+
+
+def test_window_counts_hold_open_windows_and_tell_late_rows(rows, spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+
+    def at(hours, ms=1.0):
+        return (None if hours is None else day + dt.timedelta(hours=hours), "factual", False, ms)
+
+    parts = [[at(20, 3.0), at(26), at(1, None)], [at(3, 99.0), at(50), at(25, 7.0), at(None)], [at(25, 8.0)], []]
+    for i, part in enumerate(parts):
+        served(rows, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+        stream = (
+            spark.readStream.schema("ts timestamp, intent string, refused boolean, latency_ms double")
+            .option("recursiveFileLookup", True)
+            .parquet(str(tmp_path / "in"))
+        )
+        stream_window_counts(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        so_far = served(rows, [r for p in parts[: i + 1] for r in p])
+        found = rollup(read_window_counts(spark, str(tmp_path / "out")))
+        assert sorted(found.collect()) == sorted(rollup(latency_counts(so_far)).collect())
+    late = read_window_counts(spark, str(tmp_path / "out"), late=True).collect()
+    # 26 o'clock closes the first day for the second batch; 50 o'clock the second day for the third.
+    assert sorted((r.window_start.day, r.latency_ms, r.n) for r in late) == [(1, 99.0, 1), (2, 8.0, 1)]
+    punctual = read_window_counts(spark, str(tmp_path / "out"), late=False)
+    assert punctual.agg(F.sum("n")).first()[0] == 5
+
+
+def test_a_batch_that_is_run_again_counts_once(rows, spark, tmp_path):
+    served(rows, [(dt.datetime(2024, 1, 1), "a", False, 1.0)]).write.parquet(str(tmp_path / "in"))
+    for run in ("first", "again"):  # a lost checkpoint gives the same batch number again
+        stream = spark.readStream.schema("ts timestamp, intent string, refused boolean, latency_ms double")
+        stream = stream.parquet(str(tmp_path / "in"))
+        stream_window_counts(stream, str(tmp_path / "out"), str(tmp_path / run)).awaitTermination()
+    assert [r.n for r in read_window_counts(spark, str(tmp_path / "out")).collect()] == [1]
