@@ -5,12 +5,14 @@ An encoder is any object with ``dim`` and ``encode(df, text_col, out_col) -> Dat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +38,54 @@ class HashEncoder:
     def __init__(self, dim: int = HASH_DIM):
         self.dim = dim
 
+    def weighed(self, counted: DataFrame) -> DataFrame:
+        """``_weights`` from the token counts ``_counts``."""
+        return counted.withColumn("_weights", F.col("_counts"))
+
     def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
         counts = CountVectorizerModel.from_vocabulary(
             bucket_labels(self.dim), inputCol="_buckets", outputCol="_counts"
         )
-        unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit")
+        unit = Normalizer(p=2.0, inputCol="_weights", outputCol="_unit")
         bucketed = df.withColumn("_buckets", token_buckets(F.coalesce(text_col, F.lit("")), self.dim))
         return (
-            unit.transform(counts.transform(bucketed))
+            unit.transform(self.weighed(counts.transform(bucketed)))
             .withColumn(out_col, vector_to_array("_unit", "float32"))
-            .drop("_buckets", "_counts", "_unit")
+            .drop("_buckets", "_counts", "_weights", "_unit")
         )
 
 
+class IdfEncoder(HashEncoder):
+    """Token counts in hash buckets, each times the rarity of its bucket in the corpus, scaled to length 1.
+
+    The rarity is ``ln((1 + n) / (1 + df)) + 1``, where ``df`` of the ``n`` chunks have a token in the bucket;
+    it is at least 1, so a text with tokens never gets the zero vector. ``fit`` learns it, one number per
+    bucket. The fitted encoder is stateless: corpus, queries and streams all use the one fitted at ingest.
+    """
+
+    def __init__(self, dim: int = HASH_DIM, rarity: list[float] | None = None):
+        super().__init__(dim)
+        if rarity is not None and len(rarity) != dim:
+            raise ValueError(f"{len(rarity)} weights for {dim} buckets")
+        self.rarity = rarity
+
+    def fit(self, chunks: DataFrame, text_col: str = "text") -> IdfEncoder:
+        """One pass; what is shuffled and read is one count per bucket, and one of the chunks."""
+        every = "all"  # no bucket is named so
+        held = F.array_distinct(token_buckets(F.coalesce(text_col, F.lit("")), self.dim))
+        names = chunks.select(F.explode(F.concat(held, F.array(F.lit(every)))).alias("name"))
+        found = {r["name"]: r["count"] for r in names.groupBy("name").count().collect()}
+        n = found.get(every, 0)
+        rarity = [math.log((1 + n) / (1 + found.get(b, 0))) + 1 for b in bucket_labels(self.dim)]
+        return IdfEncoder(self.dim, rarity)
+
+    def weighed(self, counted: DataFrame) -> DataFrame:
+        if self.rarity is None:
+            raise ValueError("the encoder has no weights: fit it, or open the one saved with the index")
+        weights = Vectors.dense(self.rarity)
+        return ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weights").transform(counted)
+
+
 class BatchEncoder:
     """Plug-in encoder: ``factory()`` builds a model that maps a list of texts to a float matrix.
 

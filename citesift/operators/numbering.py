@@ -8,9 +8,14 @@ the same; only the bucket counts, a small table, are summed per group.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows that one task numbers, about.
+BUCKET_ROWS = 250_000
 HASH_BUCKET_DIGITS = 3
 SEQUENCE_SPAN = 1_000_000
 
@@ -20,9 +25,33 @@ def hash_order(*columns: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary"))
 
 
-def hash_bucket(order: Column) -> Column:
-    """Leading hex digits: an ordered bucket of a hash order, 4,096 of nearly equal size."""
-    return F.substring(order, 1, HASH_BUCKET_DIGITS)
+def hash_bucket(order: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
+    """Leading hex digits: an ordered bucket of a hash order, ``16 ** digits`` of nearly equal size."""
+    return F.substring(order, 1, digits)
+
+
+def hash_digits(n_rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """As many hex digits as keep the buckets of ``n_rows`` rows below ``bucket_rows``, about."""
+    digits = 1
+    while 16**digits * bucket_rows < n_rows:
+        digits += 1
+    return digits
+
+
+def range_bucketed(
+    df: DataFrame, column: str, n_rows: int, name: str = "_range", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Add ``name``: an ordered bucket of a number, of about ``bucket_rows`` rows each whatever its gaps.
+
+    The bounds are approximate quantiles, one per bucket. Rows without a number go, as they have no place.
+    """
+    df = df.where(F.col(column).isNotNull())
+    n = max(1, math.ceil(n_rows / bucket_rows))
+    bounds = sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    if not bounds:
+        return df.withColumn(name, F.lit(0.0))
+    splits = [-math.inf, *bounds, math.inf]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=name).transform(df)
 
 
 def sequence_bucket(seq: Column, span: int = SEQUENCE_SPAN) -> Column:

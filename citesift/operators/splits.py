@@ -7,15 +7,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citesift.operators.numbering import (
     hash_bucket,
+    hash_digits,
     hash_order,
     number_rows,
-    sequence_bucket,
+    range_bucketed,
 )
 
 VALIDATION_SHARE = 0.3
@@ -24,8 +25,10 @@ HOLDOUT_SHARE = 0.3
 
 def prefix_split(queries: DataFrame, share: float = VALIDATION_SHARE) -> DataFrame:
     """Add ``position`` by ``seq`` and ``is_validation``: the first ``max(1, int(n * share))`` rows."""
-    n_validation = max(1, int(queries.count() * share))
-    numbered = number_rows(queries, [], [F.col("seq")], sequence_bucket(F.col("seq")))
+    n = queries.count()
+    n_validation = max(1, int(n * share))
+    bucketed = range_bucketed(queries, "seq", n)
+    numbered = number_rows(bucketed, [], [F.col("seq")], F.col("_range")).drop("_range")
     return numbered.withColumn("is_validation", F.col("position") <= n_validation)
 
 
@@ -53,12 +56,13 @@ def stratified_holdout(
     counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
     quotas = holdout_quotas(counts, share)
     order = hash_order(key)
-    numbered = number_rows(labelled, [label], [order, F.col(key)], hash_bucket(order))
-    wanted = labelled.sparkSession.createDataFrame(
-        [(c, n) for c, n in quotas.items()],
-        T.StructType([T.StructField("_label", labelled.schema[label].dataType), T.StructField("_quota", T.LongType())]),
-    )
-    # One row per class.
+    bucket = hash_bucket(order, hash_digits(sum(counts.values())))
+    numbered = number_rows(labelled, [label], [order, F.col(key)], bucket)
+    # One row per class, as literals: no Python worker makes them.
+    fields = [T.StructField("_label", labelled.schema[label].dataType), T.StructField("_quota", T.LongType())]
+    table = F.array(*[F.struct(F.lit(c).alias("_label"), F.lit(n).alias("_quota")) for c, n in quotas.items()])
+    table = table.cast(T.ArrayType(T.StructType(fields)))
+    wanted = labelled.sparkSession.range(1).select(F.inline(table))
     return (
         numbered.join(F.broadcast(wanted), F.col(label).eqNullSafe(F.col("_label")))
         .withColumn("is_test", F.col("position") <= F.col("_quota"))
@@ -66,13 +70,15 @@ def stratified_holdout(
     )
 
 
+def _fold_plan(folds: int) -> list[Column]:
+    smallest = F.min("n")
+    n_folds = F.greatest(F.lit(2), F.least(F.lit(folds), smallest)).cast("bigint")
+    return [smallest.alias("smallest_class"), n_folds.alias("n_folds")]
+
+
 def fold_count(class_counts: DataFrame, folds: int) -> DataFrame:
     """``smallest_class, n_folds``: at least 2 folds, at most ``folds`` or the smallest class."""
-    smallest = F.min("n")
-    return class_counts.agg(
-        smallest.alias("smallest_class"),
-        F.greatest(F.lit(2), F.least(F.lit(folds), smallest)).cast("bigint").alias("n_folds"),
-    )
+    return class_counts.agg(*_fold_plan(folds))
 
 
 def class_counts(labelled: DataFrame, label: str) -> DataFrame:
@@ -84,7 +90,8 @@ def stratified_folds(labelled: DataFrame, label: str, key: str, folds: int) -> D
 
     ``folds`` is lowered to the smallest class, never below 2.
     """
-    n = fold_count(class_counts(labelled, label), folds).first()["n_folds"]
+    plan = class_counts(labelled, label).agg(*_fold_plan(folds), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")).first()
     order = hash_order(key)
-    numbered = number_rows(labelled, [label], [order, F.col(key)], hash_bucket(order))
-    return numbered.withColumn("fold", ((F.col("position") - 1) % n).cast("int")).drop("position")
+    bucket = hash_bucket(order, hash_digits(plan["n_rows"]))
+    numbered = number_rows(labelled, [label], [order, F.col(key)], bucket)
+    return numbered.withColumn("fold", ((F.col("position") - 1) % plan["n_folds"]).cast("int")).drop("position")

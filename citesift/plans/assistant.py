@@ -12,6 +12,7 @@ from citesift.operators.routing import LogisticRouter
 from citesift.plans.ask import Assistant
 from citesift.plans.ingest import saved_stats
 from citesift.plans.train import Paths
+from citesift.sources.encoders import index_encoder
 from citesift.sources.index_store import read_index
 from citesift.sources.models import load_model
 
@@ -26,6 +27,7 @@ def open_assistant(
 ) -> Assistant:
     """Index, statistics, ranker and router by their paths. ``options`` are those of ``Assistant``."""
     index = read_index(spark, paths.index)
+    encoder = index_encoder(spark, encoder, paths.index)
     scorer = scorer or Bm25Scorer.from_stats(*saved_stats(index, f"{paths.index}.stats"))
     return Assistant(
         index,

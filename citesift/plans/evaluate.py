@@ -19,6 +19,7 @@ from citesift.plans.ask import RERANK_TOP_K, RETRIEVE_TOP_K
 from citesift.plans.ingest import saved_stats
 from citesift.plans.train import Paths, labelled_candidates
 from citesift.session import work_dir, write_and_read
+from citesift.sources.encoders import index_encoder
 from citesift.sources.eventlog import log_event
 from citesift.sources.index_store import read_index
 from citesift.sources.labels import INTENT, read_jsonl, with_file_order
@@ -46,6 +47,7 @@ def evaluate_models(
         router_config = RouterConfig(**load_setting(spark, paths.router, ROUTER_CONFIG_SCHEMA))
     run = f"{work_dir(spark)}/eval-{uuid.uuid4().hex[:12]}"
     index = read_index(spark, paths.index)
+    encoder = index_encoder(spark, encoder, paths.index)
     scorer = scorer or Bm25Scorer.from_stats(*saved_stats(index, f"{paths.index}.stats"))
     ranker = ModelRanker(load_model(paths.ranker))
     labelled, relevance, features = labelled_candidates(

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citesift.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
 from citesift.operators.contracts import check_citable, check_unique_ids
-from citesift.operators.embedding import Encoder, embed_chunks
+from citesift.operators.embedding import Encoder, IdfEncoder, embed_chunks
 from citesift.operators.features import corpus_stats
 from citesift.session import write_and_read
 from citesift.sources.corpus import read_text_corpus
+from citesift.sources.encoders import save_encoder
 from citesift.sources.eventlog import log_event
 from citesift.sources.index_store import read_index, write_index
 
@@ -26,9 +27,13 @@ def index_documents(
     """Chunk, embed, save and reopen. Ids are deterministic, so re-runs are safe.
 
     Scan to write is one pass without a shuffle; the full contract is checked once, on what was
-    written.
+    written. An encoder with corpus weights is fitted by a pass before, unless it is fitted, and
+    saved next to the index.
     """
     chunks = chunk_documents(documents, size, overlap)
+    if isinstance(encoder, IdfEncoder):
+        encoder = encoder if encoder.rarity is not None else encoder.fit(chunks)
+        save_encoder(documents.sparkSession, encoder, index_path)
     write_index(embed_chunks(chunks, encoder), index_path)
     index = read_index(documents.sparkSession, index_path)
     check_unique_ids(index)
@@ -70,5 +75,3 @@ def saved_stats(index: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     # The size is written last: it marks the statistics as complete.
     frequency = write_and_read(frequency, f"{path}/frequency")
     return frequency, write_and_read(size, f"{path}/size")
-
-

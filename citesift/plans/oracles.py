@@ -346,6 +346,16 @@ FROM (SELECT DISTINCT chunk_id, unnest({tokens("text")}) AS token FROM chunks) G
         select=f"SELECT count(*) AS n_chunks, sum(len({tokens('text')}))::bigint AS n_tokens FROM chunks",
     ),
     "hash_embed": sql(CHUNKS, CHUNK_VECTORS, select=f"SELECT chunk_id, b AS bucket, {r6('w', 'weight')} FROM cv"),
+    "hash_embed_idf": sql(
+        CHUNKS,
+        CHUNK_VECTORS,
+        """
+n AS (SELECT count(*) AS n FROM chunks),
+rarity AS (SELECT b, ln((1 + any_value(n)) / (1 + count(*))::double) + 1 AS idf FROM cv_counts, n GROUP BY b),
+rare AS (SELECT chunk_id, b, c * idf AS x FROM cv_counts JOIN rarity USING (b)),
+rare_unit AS (SELECT chunk_id, b, (x / sqrt(sum(x * x) OVER (PARTITION BY chunk_id)))::float AS w FROM rare)""",
+        select=f"SELECT chunk_id, b AS bucket, {r6('w', 'weight')} FROM rare_unit",
+    ),
     "l2_normalize": """
 WITH v AS (
   SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::double * (label + 1) AS x

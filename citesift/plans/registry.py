@@ -22,6 +22,7 @@ from citesift.functions.vectors import l2_norm, l2_normalize
 from citesift.operators import contracts, metrics, splits
 from citesift.operators.blocks import topk
 from citesift.operators.chunking import replicate_chunks
+from citesift.operators.embedding import IdfEncoder
 from citesift.operators.evaluation import RunConfig, build_report, evaluate_ranking
 from citesift.operators.features import (
     corpus_stats,
@@ -152,6 +153,15 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("chunk_id", count_of("bucket", "bucket"), rounded(F.col("weight").cast("double"), "weight"))
 
 
+@query
+def hash_embed_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = T.chunks(spark, sf_dir)
+    vectors = IdfEncoder(T.ENCODER.dim).fit(chunks).encode(chunks).select("chunk_id", "embedding")
+    return vectors.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight")).where(
+        F.col("weight") > 0
+    ).select("chunk_id", count_of("bucket", "bucket"), rounded(F.col("weight").cast("double"), "weight"))
+
+
 @query
 def l2_normalize_(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.table(spark, sf_dir, "embeddings")

@@ -17,6 +17,7 @@ from citesift.operators.routing import RouterTraining, train_router
 from citesift.plans.ask import RETRIEVE_TOP_K
 from citesift.plans.ingest import build_corpus_index, saved_stats
 from citesift.session import work_dir, write_and_read
+from citesift.sources.encoders import index_encoder
 from citesift.sources.eventlog import log_event
 from citesift.sources.index_store import index_exists, read_index
 from citesift.sources.labels import INTENT, RELEVANCE, read_jsonl, relevance_pairs, with_file_order
@@ -47,7 +48,9 @@ def labelled_candidates(
     spark: SparkSession, path: str, index: DataFrame, encoder: Encoder, scorer: PairScorer, k: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The labelled queries of a file, their relevance pairs and their featurised candidates."""
-    labelled = with_file_order(read_jsonl(spark, path, RELEVANCE)).persist()
+    labelled = with_file_order(read_jsonl(spark, path, RELEVANCE))
+    # The order of the file is found once; the labels are read by the search, the pairs and the report.
+    labelled = write_and_read(labelled, f"{work_dir(spark)}/labelled/{uuid.uuid4().hex}")
     queries = encoder.encode(labelled.select("query_id", "seq", "query"), "query")
     return labelled, relevance_pairs(labelled), candidates(queries, index, k, scorer)
 
@@ -63,6 +66,7 @@ def train_models(
 ) -> tuple[RankerTraining, RouterTraining]:
     """The ranker trains on candidates of the depth it will later reorder."""
     index = open_or_build_index(spark, paths, encoder)
+    encoder = index_encoder(spark, encoder, paths.index)
     scorer = scorer or Bm25Scorer.from_stats(*saved_stats(index, f"{paths.index}.stats"))
     _, relevance, features = labelled_candidates(
         spark, paths.relevance_train, index, encoder, scorer, retrieve_top_k

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citesift.functions.prompts import REFUSAL
 from citesift.operators.chunking import chunk_documents
-from citesift.operators.embedding import HashEncoder
+from citesift.operators.embedding import HashEncoder, IdfEncoder
 from citesift.operators.features import Bm25Scorer, corpus_stats
 from citesift.operators.generation import ExtractiveGenerator
 from citesift.operators.latency import latency_summary
@@ -19,9 +19,10 @@ from citesift.operators.routing import OUT_OF_SCOPE, CentroidRouter
 from citesift.plans.ask import Assistant
 from citesift.plans.assistant import open_assistant
 from citesift.plans.evaluate import evaluate_models
+from citesift.plans.ingest import index_documents
 from citesift.plans.train import Paths, train_models
+from citesift.sources.encoders import index_encoder
 from citesift.sources.index_store import read_index, record_facts
-from citesift.plans.ingest import index_documents
 from citesift.streaming.asks import stream_ask
 from citesift.streaming.ingest import stream_index
 from citesift.streaming.rollup import (
@@ -160,6 +161,27 @@ def test_document_stream_equals_batch(documents, encoder, spark, tmp_path):
     assert streamed == batch
 
 
+def test_idf_weights_are_saved_with_the_index_and_used_by_all(documents, rows, spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = index_documents(documents, IdfEncoder(256), path, 8, 2)
+    chunks = chunk_documents(documents, 8, 2)
+    fitted = index_encoder(spark, IdfEncoder(256), path)
+    assert fitted.rarity == pytest.approx(IdfEncoder(256).fit(chunks).rarity)
+    expected = fitted.encode(chunks).orderBy("chunk_id").collect()
+    assert index.select(*expected[0].__fields__).orderBy("chunk_id").collect() == expected
+    documents.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(documents.schema).parquet(str(tmp_path / "in"))
+    stream_index(stream, fitted, str(tmp_path / "out"), str(tmp_path / "c"), 8, 2).awaitTermination()
+    record_facts(spark, str(tmp_path / "out"))
+    streamed = read_index(spark, str(tmp_path / "out")).orderBy("chunk_id").collect()
+    assert streamed == index.orderBy("chunk_id").collect()
+    with pytest.raises(ValueError, match="no saved encoder"):
+        index_encoder(spark, IdfEncoder(256), str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="16 buckets"):
+        index_encoder(spark, IdfEncoder(16), path)
+    assert index_encoder(spark, fitted, "nowhere") is fitted
+
+
 def test_train_and_evaluate_jobs(spark, encoder, tmp_path):
     (tmp_path / "corpus").mkdir()
     for name, text in DOCS.items():

@@ -16,7 +16,14 @@ from citesift.operators.contracts import (
     vocabulary_drift,
 )
 from citesift.operators.guardrail import admitted, refused
-from citesift.operators.numbering import hash_bucket, hash_order, number_rows, sequence_bucket
+from citesift.operators.numbering import (
+    hash_bucket,
+    hash_digits,
+    hash_order,
+    number_rows,
+    range_bucketed,
+    sequence_bucket,
+)
 from citesift.operators.routing import (
     INTENTS,
     OUT_OF_SCOPE,
@@ -49,6 +56,28 @@ def test_numbering_of_null_groups_and_sequences(rows):
     assert sorted((r.g or "", r.seq, r.position) for r in found) == [("", 3, 1), ("", 5, 2), ("x", 1, 1)]
 
 
+@pytest.mark.parametrize("gap", [1, 10**7, 10**15])
+def test_ranges_number_sparse_ids_in_many_buckets(rows, gap):
+    ids = [i * gap - 50 for i in range(500)]
+    df = rows([(i,) for i in ids[::-1]] + [(None,)], "seq long")
+    bucketed = range_bucketed(df, "seq", 501, bucket_rows=50)
+    sizes = [r["count"] for r in bucketed.groupBy("_range").count().collect()]
+    assert len(sizes) >= 9 and max(sizes) <= 100
+    found = {r.seq: r.position for r in number_rows(bucketed, [], [F.col("seq")], F.col("_range")).collect()}
+    assert found == {i: n + 1 for n, i in enumerate(ids)}
+
+
+def test_ranges_of_copies_and_of_nothing(rows):
+    one = range_bucketed(rows([(7,)] * 40, "seq int"), "seq", 40, bucket_rows=4)
+    assert number_rows(one, [], [F.col("seq")], F.col("_range")).agg(F.max("position")).first()[0] == 40
+    assert range_bucketed(rows([], "seq int"), "seq", 0).count() == 0
+    assert range_bucketed(rows([(None,)] * 9, "seq int"), "seq", 9, bucket_rows=2).count() == 0
+
+
+def test_hash_digits_grow_with_the_rows():
+    assert [hash_digits(n, 10) for n in (0, 160, 161, 2_561, 10**9)] == [1, 1, 2, 3, 7]
+
+
 def test_prefix_split_takes_the_first_queries(rows):
     for n, expected in [(10, 3), (2, 1), (1, 1), (7, 2)]:
         df = rows([(f"q{i}", i * 10) for i in range(n)], "query_id string, seq int")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citesift.functions.vectors import dot, l2_normalize
-from citesift.operators.embedding import BatchEncoder, HashEncoder, embed_chunks
+from citesift.operators.embedding import BatchEncoder, HashEncoder, IdfEncoder, embed_chunks
 from citesift.operators.topk import attach_passages, dense_topk
 
 INDEX = "chunk_id string, doc_id string, source string, chunk_index int, text string, embedding array<float>"
@@ -32,6 +32,40 @@ def test_hash_encoder_equals_plain_python(rows, dim):
         assert found[t] == pytest.approx(plain_embedding(t, dim), abs=1e-7)
 
 
+@pytest.mark.parametrize("dim", [16, 100])
+def test_idf_encoder_equals_plain_python(rows, dim):
+    corpus = ["the cat", "the dog the dog", "the bird", "", None]
+    df = rows([(t,) for t in corpus], "text string")
+    fitted = IdfEncoder(dim).fit(df)
+    held = [{i for i, x in enumerate(plain_embedding(t or "", dim)) if x} for t in corpus]
+    rarity = [math.log(6 / (1 + sum(b in h for h in held))) + 1 for b in range(dim)]
+    assert fitted.rarity == pytest.approx(rarity)
+    asked = ["the dog", "unseen words", "", None, "cat cat the"]
+    found = [r.embedding for r in fitted.encode(rows([(t,) for t in asked], "text string").coalesce(1)).collect()]
+    for text, vector in zip(asked, found):
+        plain = np.array(plain_embedding(text or "", dim)) * rarity
+        assert vector == pytest.approx(plain / (np.linalg.norm(plain) or 1), abs=1e-6)
+
+
+def test_idf_ranks_the_rare_word_first(rows):
+    corpus = ["the the the the cat", "the dog sat there", "the bird", "the the the of the"]
+    fitted = IdfEncoder(256).fit(rows([(t,) for t in corpus], "text string"))
+    texts = rows([(t,) for t in ["the cat", *corpus]], "text string").coalesce(1)
+    found = np.array([r.embedding for r in fitted.encode(texts).collect()])
+    plain = np.array([r.embedding for r in HashEncoder(256).encode(texts).collect()])
+    assert np.argmax(found[1:] @ found[0]) == 0
+    # Without weights the frequent word alone decides.
+    assert (found[1:] @ found[0])[3] < (plain[1:] @ plain[0])[3]
+
+
+def test_idf_encoder_must_be_fitted(rows):
+    with pytest.raises(ValueError, match="no weights"):
+        IdfEncoder(16).encode(rows([("a",)], "text string"))
+    with pytest.raises(ValueError, match="3 weights for 16"):
+        IdfEncoder(16, [1.0, 1.0, 1.0])
+    assert IdfEncoder(16).fit(rows([], "text string")).rarity == [1.0] * 16
+
+
 def test_normalisation_keeps_zero_vectors(rows):
     df = rows([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     found = [r[0] for r in df.select(l2_normalize(F.col("v"))).collect()]
