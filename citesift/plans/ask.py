@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from citesift.operators.guardrail import admitted, refused
 from citesift.operators.rerank import Ranker, rerank
 from citesift.operators.routing import OUT_OF_SCOPE, Router
 from citesift.session import work_dir, write_and_read
+from citesift.sources.eventlog import append_lines
 
 RETRIEVE_TOP_K = 50
 RERANK_TOP_K = 5
@@ -79,6 +81,19 @@ class Assistant:
         return turned_away.unionByName(answered)
 
 
+def ask_and_log(assistant: Assistant, queries: DataFrame, answers_path: str, events_path: str) -> DataFrame:
+    """Answer a table of queries, save the answers and append one event for each.
+
+    An event carries its share of the time that all answers took. Answers are written first: a run that breaks
+    off logs nothing.
+    """
+    started = time.perf_counter()
+    answers = write_and_read(assistant.ask(queries), answers_path)
+    elapsed_ms = (time.perf_counter() - started) * 1000
+    append_lines(ask_events(answers, elapsed_ms / max(1, answers.count()), assistant.refuse), events_path)
+    return answers
+
+
 def ask_events(answers: DataFrame, latency_ms: float, refuse: str = OUT_OF_SCOPE) -> DataFrame:
     """One event line per answer. Queries are answered as a batch; ``latency_ms`` is their share."""
     turned_away = F.col("intent") == refuse

@@ -31,10 +31,11 @@ def index_documents(
     saved next to the index.
     """
     chunks = chunk_documents(documents, size, overlap)
+    saved = None
     if isinstance(encoder, IdfEncoder):
         encoder = encoder if encoder.rarity is not None else encoder.fit(chunks)
-        save_encoder(documents.sparkSession, encoder, index_path)
-    write_index(embed_chunks(chunks, encoder), index_path)
+        saved = save_encoder(documents.sparkSession, encoder, index_path)
+    write_index(embed_chunks(chunks, encoder), index_path, saved)
     index = read_index(documents.sparkSession, index_path)
     check_unique_ids(index)
     check_citable(index)

@@ -49,9 +49,9 @@ from citesift.operators.topk import dense_topk
 from citesift.plans import tables as T
 from citesift.plans.ask import RERANK_TOP_K, RETRIEVE_TOP_K, Assistant
 from citesift.session import work_dir
-from citesift.sources.index_store import read_index, record_facts
+from citesift.sources.index_store import read_index
 from citesift.streaming.asks import stream_ask
-from citesift.streaming.ingest import stream_index
+from citesift.streaming.ingest import stream_into_index
 from citesift.streaming.rollup import (
     latency_counts,
     read_window_counts,
@@ -781,10 +781,9 @@ def stream_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _stream_folder(spark, "index")
     incoming = documents_from_table(_stream_of(spark, sf_dir, "documents"))
     cores = spark.sparkContext.defaultParallelism
-    stream_index(
+    stream_into_index(
         incoming, T.ENCODER, f"{folder}/out", f"{folder}/checkpoint", partitions=cores
     ).awaitTermination()
-    record_facts(spark, f"{folder}/out")
     return read_index(spark, f"{folder}/out").select(
         "chunk_id", "doc_id", count_of("chunk_index", "chunk_index"), count_of(F.size("embedding"), "dim")
     )

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citesift.operators.contracts import check_training_sets, check_vocabulary
 from citesift.operators.embedding import Encoder
 from citesift.operators.evaluation import candidates
 from citesift.operators.features import Bm25Scorer, PairScorer, ranking_examples
@@ -63,21 +64,31 @@ def train_models(
     retrieve_top_k: int = RETRIEVE_TOP_K,
     ranker_trials: int = RANKER_TRIALS,
     router_trials: int = ROUTER_TRIALS,
+    intents: list[str] | None = None,
 ) -> tuple[RankerTraining, RouterTraining]:
-    """The ranker trains on candidates of the depth it will later reorder."""
+    """The ranker trains on candidates of the depth it will later reorder.
+
+    Labels are checked before anything is trained: train and held-out queries are disjoint, every relevant
+    document is indexed, and the intents are those of ``intents``, if given.
+    """
     index = open_or_build_index(spark, paths, encoder)
     encoder = index_encoder(spark, encoder, paths.index)
     scorer = scorer or Bm25Scorer.from_stats(*saved_stats(index, f"{paths.index}.stats"))
-    _, relevance, features = labelled_candidates(
+    labelled, relevance, features = labelled_candidates(
         spark, paths.relevance_train, index, encoder, scorer, retrieve_top_k
     )
+    held_out = with_file_order(read_jsonl(spark, paths.relevance_eval, RELEVANCE))
+    references = relevance.select("doc_id").unionByName(relevance_pairs(held_out).select("doc_id"))
+    check_training_sets(labelled, held_out, references, index)
+    labelled_intents = with_file_order(read_jsonl(spark, paths.intents, INTENT))
+    if intents is not None:
+        check_vocabulary(labelled_intents.withColumnRenamed("intent", "label"), intents)
     # The trials read the candidates many times; written, they are searched only once.
     features = write_and_read(features, f"{work_dir(spark)}/train-{uuid.uuid4().hex[:12]}/features")
     ranker = train_ranker(ranking_examples(features, relevance), ranker_trials)
     save_model(ranker.model, paths.ranker)
 
-    intents = with_file_order(read_jsonl(spark, paths.intents, INTENT))
-    router = train_router(encoder.encode(intents, "query"), trials=router_trials)
+    router = train_router(encoder.encode(labelled_intents, "query"), trials=router_trials)
     save_model(router.model, paths.router)
     save_setting(spark, asdict(router.config), paths.router)
     log_event(

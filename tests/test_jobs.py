@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -16,15 +17,16 @@ from citesift.operators.generation import ExtractiveGenerator
 from citesift.operators.latency import latency_summary
 from citesift.operators.rerank import LinearRanker
 from citesift.operators.routing import OUT_OF_SCOPE, CentroidRouter
-from citesift.plans.ask import Assistant
+from citesift.plans.ask import Assistant, ask_and_log
 from citesift.plans.assistant import open_assistant
 from citesift.plans.evaluate import evaluate_models
 from citesift.plans.ingest import index_documents
 from citesift.plans.train import Paths, train_models
+from citesift.sources import index_store
 from citesift.sources.encoders import index_encoder
 from citesift.sources.index_store import read_index, record_facts
 from citesift.streaming.asks import stream_ask
-from citesift.streaming.ingest import stream_index
+from citesift.streaming.ingest import stream_index, stream_into_index
 from citesift.streaming.rollup import (
     latency_counts,
     read_window_counts,
@@ -161,6 +163,29 @@ def test_document_stream_equals_batch(documents, encoder, spark, tmp_path):
     assert streamed == batch
 
 
+def test_document_stream_commits_every_batch(documents, encoder, spark, tmp_path, monkeypatch):
+    documents.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, checkpoint = str(tmp_path / "index"), str(tmp_path / "c")
+    append, calls = index_store._append, []
+
+    def breaks_off(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        append(*args)
+
+    monkeypatch.setattr(index_store, "_append", breaks_off)
+    with pytest.raises(Exception, match="lost"):
+        stream_into_index(stream, encoder, out, checkpoint, 8, 2).awaitTermination()
+    part = {tuple(r) for r in read_index(spark, out).select("chunk_id").collect()}
+    stream_into_index(stream, encoder, out, checkpoint, 8, 2).awaitTermination()
+    whole = read_index(spark, out).orderBy("chunk_id")
+    batch = encoder.encode(chunk_documents(documents, 8, 2)).orderBy("chunk_id")
+    assert whole.collect() == batch.select(whole.columns).collect()
+    assert part < {tuple(r) for r in whole.select("chunk_id").collect()}
+
+
 def test_idf_weights_are_saved_with_the_index_and_used_by_all(documents, rows, spark, tmp_path):
     path = str(tmp_path / "index")
     index = index_documents(documents, IdfEncoder(256), path, 8, 2)
@@ -205,6 +230,14 @@ def test_train_and_evaluate_jobs(spark, encoder, tmp_path):
         report=str(tmp_path / "report"),
         events=str(tmp_path / "events"),
     )
+    same = replace(paths, relevance_eval=paths.relevance_train)
+    with pytest.raises(ValueError, match="overlap"):
+        train_models(spark, same, encoder, retrieve_top_k=10)
+    unknown = jsonl("unknown.jsonl", [{"query": "of no file", "relevant_docs": ["gone.md"]}])
+    with pytest.raises(ValueError, match="gone.md"):
+        train_models(spark, replace(paths, relevance_eval=unknown), encoder, retrieve_top_k=10)
+    with pytest.raises(ValueError, match="vocabulary"):
+        train_models(spark, paths, encoder, retrieve_top_k=10, intents=["factual", "summarize"])
     ranker, router = train_models(
         spark, paths, encoder, retrieve_top_k=10, ranker_trials=2, router_trials=2
     )
@@ -229,6 +262,11 @@ def test_train_and_evaluate_jobs(spark, encoder, tmp_path):
     opened = open_assistant(spark, paths, encoder, ExtractiveGenerator(), retrieve_top_k=10)
     asked = spark.createDataFrame([("1", "apples in the orchard")], "query_id string, query string")
     assert opened.ask(asked).count() == 1
+    answers = ask_and_log(opened, asked, str(tmp_path / "answers"), paths.events)
+    assert answers.collect() == spark.read.parquet(str(tmp_path / "answers")).collect()
+    events = [json.loads(r.value) for r in spark.read.text(paths.events).collect()]
+    (event,) = [e for e in events if e["event"] == "ask"]
+    assert event["latency_ms"] > 0 and event["component"] == "serve"
     with pytest.raises(ValueError, match="different ids"):
         opened.ask(asked.union(asked).union(asked).union(asked)).count()
 

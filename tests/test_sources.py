@@ -10,9 +10,10 @@ from citesift.functions.eventlog import event_json
 from citesift.operators.contracts import align_vectors, check_aligned, check_index
 from citesift.operators.embedding import HashEncoder
 from citesift.plans.ingest import build_corpus_index
+from citesift.sources import index_store
 from citesift.sources.corpus import documents_from_table, read_text_corpus
 from citesift.sources.eventlog import append_lines, log_event, read_events
-from citesift.sources.index_store import read_index, write_index
+from citesift.sources.index_store import add_to_index, index_exists, read_index, remove_old_versions, write_index
 from citesift.sources.labels import RELEVANCE, read_jsonl, relevance_pairs, with_file_order
 
 
@@ -117,6 +118,61 @@ def test_an_index_with_rows_added_or_lost_is_refused(spark, rows, tmp_path):
         read_index(spark, path)
 
 
+def ids_of(index):
+    return sorted(r.chunk_id for r in index.collect())
+
+
+@pytest.mark.parametrize("broken", ["files", "manifest"])
+def test_a_write_that_breaks_off_leaves_the_index(spark, rows, tmp_path, monkeypatch, broken):
+    path = str(tmp_path / "i")
+    write_index(index_rows(rows, [("a", [1.0])]), path)
+    opened = read_index(spark, path)
+    new = index_rows(rows, [("b", [1.0]), ("c", [1.0])])
+    with monkeypatch.context() as m:
+        if broken == "files":
+            fail = F.when(F.col("chunk_id") == "c", F.raise_error(F.lit("lost"))).otherwise(F.col("source"))
+            attempt = new.withColumn("source", fail.cast("string"))
+        else:
+            def lost(*_):
+                raise RuntimeError("lost")
+
+            m.setattr(index_store, "_append", lost)
+            attempt = new
+        with pytest.raises(Exception, match="lost"):
+            write_index(attempt, path)
+        with pytest.raises(Exception, match="lost"):
+            add_to_index(attempt, path, "x")
+    assert ids_of(read_index(spark, path)) == ["a"]
+    add_to_index(new, path, "x")
+    assert ids_of(read_index(spark, path)) == ["a", "b", "c"]
+    write_index(new, path)
+    assert ids_of(read_index(spark, path)) == ["b", "c"]
+    assert ids_of(opened) == ["a"]
+    assert len(remove_old_versions(spark, path)) == 2
+    assert ids_of(read_index(spark, path)) == ["b", "c"]
+
+
+def test_a_first_write_that_breaks_off_is_no_index(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    assert not index_exists(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(index_store, "_append", lambda *_: None)
+        write_index(index_rows(rows, [("a", [1.0])]), path)
+    assert not index_exists(spark, path)
+    with pytest.raises(ValueError, match="no recorded facts"):
+        read_index(spark, path)
+
+
+def test_rows_are_added_once_and_checked(spark, rows, tmp_path):
+    path = str(tmp_path / "i")
+    for name, entries in [("1", [("a", [1.0])]), ("2", []), ("1", [("z", [1.0])]), ("3", [("b", [0.5])])]:
+        add_to_index(index_rows(rows, entries), path, name)
+    assert ids_of(read_index(spark, path)) == ["a", "b"]
+    add_to_index(index_rows(rows, [("c", [1.0, 0.0])]), path, "4")
+    with pytest.raises(ValueError, match="dimensions"):
+        read_index(spark, path)
+
+
 def test_alignment(rows):
     chunks = rows([("a", "x"), ("b", "y")], "chunk_id string, text string")
     vectors = rows([("b", [2.0]), ("a", [1.0])], "chunk_id string, embedding array<float>")
