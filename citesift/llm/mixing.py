@@ -37,10 +37,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citesift.llm.frames import column, fresh, stored, text_bytes
+from citesift.llm.samples import first_rows
 from citesift.llm.texts import WHITE_SPACE, WordHashes, word_hashes
 
 log = logging.getLogger(__name__)
@@ -156,10 +157,9 @@ def fit_domains(
     ids = docs.select(column(doc).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     known = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).distinct()
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(order, "doc_id"))
     known = stored(known.join(ids, "doc_id", "left_semi"), "labelled")
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
-    sample = known.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_DOMAIN).drop("rank")
+    sample = first_rows(known, "domain", order, "doc_id", dict.fromkeys(sizes, SAMPLE_PER_DOMAIN), sizes)
     # At most SAMPLE_PER_DOMAIN ids per domain.
     rows = docs.select(column(doc).alias("doc_id"), text_bytes(text).alias("data"))
     rows = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "domain"])
