@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citesift.llm import gru
 from citesift.llm.frames import column, stored, text_bytes
+from citesift.llm.samples import first_rows
 from citesift.llm.texts import slices
 
 SAMPLE_PER_CLASS = {0: 1600, 1: 800}
@@ -212,15 +213,15 @@ def labelled_sample(
     short = rows.where((F.length("data") <= SAMPLE_BYTES) & F.col("doc_id").isNotNull())
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).distinct()
     order = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
-    known = known.join(short.select("doc_id"), "doc_id", "left_semi").withColumn("rank", rank)
-    wanted = F.when(F.col("label") == 1, SAMPLE_PER_CLASS[1]).otherwise(SAMPLE_PER_CLASS[0])
-    sample = stored(known.where(F.col("rank") <= wanted).select("doc_id", "label"), "toxic-sample")
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi").select("doc_id", "label")
+    known = stored(known, "toxic-known")
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    wanted = {g: SAMPLE_PER_CLASS[int(g)] for g in n}
+    sample = stored(first_rows(known, "label", order, "doc_id", wanted, n), "toxic-sample")
     # At most SAMPLE_PER_CLASS ids per class.
     found = short.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "label"])
     found = found.orderBy("doc_id", "label").collect()
     drawn = np.array([r["label"] for r in found], np.int64)
-    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     shift = 0.0
     if len(n) == 2 and 0 < drawn.sum() < len(drawn):
         shift = float(np.log(drawn.sum() / (len(drawn) - drawn.sum())) - np.log(n[1] / n[0]))
