@@ -6,6 +6,7 @@ An encoder is any object with ``dim`` and ``encode(df, text_col, out_col) -> Dat
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,10 +14,12 @@ import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citesift.functions.vectors import bucket_labels, token_buckets
+from citesift.session import work_dir, write_and_read
 
 HASH_DIM = 256
 
@@ -42,18 +45,26 @@ class HashEncoder:
         """``_weights`` from the token counts ``_counts``."""
         return counted.withColumn("_weights", F.col("_counts"))
 
-    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
+    def counted(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """``_counts``: the tokens of a text in each bucket."""
         counts = CountVectorizerModel.from_vocabulary(
             bucket_labels(self.dim), inputCol="_buckets", outputCol="_counts"
         )
-        unit = Normalizer(p=2.0, inputCol="_weights", outputCol="_unit")
         bucketed = df.withColumn("_buckets", token_buckets(F.coalesce(text_col, F.lit("")), self.dim))
+        return counts.transform(bucketed).drop("_buckets")
+
+    def scaled(self, counted: DataFrame, out_col: str = "embedding") -> DataFrame:
+        """The vectors of ``counted`` rows."""
+        unit = Normalizer(p=2.0, inputCol="_weights", outputCol="_unit")
         return (
-            unit.transform(self.weighed(counts.transform(bucketed)))
+            unit.transform(self.weighed(counted))
             .withColumn(out_col, vector_to_array("_unit", "float32"))
-            .drop("_buckets", "_counts", "_weights", "_unit")
+            .drop("_counts", "_weights", "_unit")
         )
 
+    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
+        return self.scaled(self.counted(df, text_col), out_col)
+
 
 class IdfEncoder(HashEncoder):
     """Token counts in hash buckets, each times the rarity of its bucket in the corpus, scaled to length 1.
@@ -75,9 +86,22 @@ class IdfEncoder(HashEncoder):
         held = F.array_distinct(token_buckets(F.coalesce(text_col, F.lit("")), self.dim))
         names = chunks.select(F.explode(F.concat(held, F.array(F.lit(every)))).alias("name"))
         found = {r["name"]: r["count"] for r in names.groupBy("name").count().collect()}
-        n = found.get(every, 0)
-        rarity = [math.log((1 + n) / (1 + found.get(b, 0))) + 1 for b in bucket_labels(self.dim)]
-        return IdfEncoder(self.dim, rarity)
+        return self._of([found.get(b, 0) for b in bucket_labels(self.dim)], found.get(every, 0))
+
+    def _of(self, held: list[int], n: int) -> IdfEncoder:
+        return IdfEncoder(self.dim, [math.log((1 + n) / (1 + df)) + 1 for df in held])
+
+    def fit_encode(self, chunks: DataFrame, text_col: str = "text", out_col: str = "embedding") -> tuple[IdfEncoder, DataFrame]:
+        """``fit`` and the encoded chunks without their text, which is read and hashed once for both.
+
+        The counts are written; fitting adds up one number per bucket in every task.
+        """
+        place = f"{work_dir(chunks.sparkSession)}/bucket-counts/{uuid.uuid4().hex}"
+        counts = write_and_read(self.counted(chunks, text_col).drop(text_col), place)
+        found = counts.select(Summarizer.metrics("numNonZeros", "count").summary(F.col("_counts")).alias("s")).first()["s"]
+        held = [int(x) for x in found["numNonZeros"].toArray()] if found["count"] else [0] * self.dim
+        fitted = self._of(held, int(found["count"]))
+        return fitted, fitted.scaled(counts, out_col)
 
     def weighed(self, counted: DataFrame) -> DataFrame:
         if self.rarity is None:

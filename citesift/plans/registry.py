@@ -155,8 +155,8 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hash_embed_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = T.chunks(spark, sf_dir)
-    vectors = IdfEncoder(T.ENCODER.dim).fit(chunks).encode(chunks).select("chunk_id", "embedding")
+    chunks = T.chunks(spark, sf_dir).select("chunk_id", "text")
+    _, vectors = IdfEncoder(T.ENCODER.dim).fit_encode(chunks)
     return vectors.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight")).where(
         F.col("weight") > 0
     ).select("chunk_id", count_of("bucket", "bucket"), rounded(F.col("weight").cast("double"), "weight"))

@@ -200,3 +200,13 @@ def test_passages_are_fetched_the_same_both_ways(rows):
     columns = sorted(large.columns)
     assert sorted(small.select(columns).collect()) == sorted(large.select(columns).collect())
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
+
+def test_fit_encode_is_fit_then_encode_with_one_pass_over_the_text(rows, tmp_path):
+    chunks = rows([("a", "red red fox"), ("b", "red hen"), ("b", "red hen"), (None, None), ("d", "")], "chunk_id string, text string")
+    for some in (chunks, chunks.where("chunk_id = 'none'")):
+        fitted, vectors = IdfEncoder(16).fit_encode(some)
+        apart = IdfEncoder(16).fit(some)
+        assert fitted.rarity == apart.rarity
+        expected = apart.encode(some).select("chunk_id", "embedding")
+        assert sorted(map(repr, vectors.collect())) == sorted(map(repr, expected.collect()))
+        assert "md5" not in vectors._jdf.queryExecution().optimizedPlan().toString()
