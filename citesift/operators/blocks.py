@@ -37,6 +37,7 @@ FILE_ROWS = 1 << 18
 MAX_BLOCKS = 1_024
 SAMPLE_ROWS = 20_000
 ROUNDS = 8
+NEAREST_ROWS = 1_024
 # Scores are single precision; bounds are raised by this share of their size.
 SLACK = 1e-6
 
@@ -95,7 +96,13 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres**2).sum(axis=1) - 2 * vectors @ centres.T, axis=1)
+    """A nearest centre of each vector, in single precision: of nearly equal ones any is as good."""
+    half, across = (centres**2).sum(axis=1).astype(np.float32) / 2, centres.T.astype(np.float32)
+    of = np.empty(len(vectors), np.int64)
+    for lo in range(0, len(vectors), NEAREST_ROWS):
+        part = slice(lo, lo + NEAREST_ROWS)
+        of[part] = np.argmax(vectors[part].astype(np.float32) @ across - half, axis=1)
+    return of
 
 
 def fit_centres(sample: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -108,10 +115,9 @@ def fit_centres(sample: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
     centres = sample[pick.choice(len(sample), n, replace=False)].copy()
     for _ in range(rounds):
         of = nearest(sample, centres)
-        for c in range(n):
-            own = sample[of == c]
-            if len(own):
-                centres[c] = own.mean(axis=0)
+        order = np.argsort(of, kind="stable")
+        used, first = np.unique(of[order], return_index=True)
+        centres[used] = np.add.reduceat(sample[order], first, axis=0) / np.diff(first, append=len(of))[:, None]
     return centres
 
 

@@ -61,11 +61,11 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocked(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> BlockedIndex:
-    """The index ``name`` in blocks, written the first time a session asks for it."""
+    """The index ``name``, a table that is stored, in blocks, written the first time a session asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _blocked:
         place = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
-        _blocked[key] = write_blocked_index(build(), f"{work_dir(spark)}/{place}/blocked-{name}")
+        _blocked[key] = write_blocked_index(build(), f"{work_dir(spark)}/{place}/blocked-{name}", stored=True)
     return _blocked[key]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from citesift.operators.blocks import (
     SUMMARY,
     BlockedIndex,
     fit_centres,
+    nearest,
     placed_rows,
     sample_vectors,
     summarised,
@@ -30,24 +32,28 @@ ROWS_SCHEMA = T.StructType(
 )
 
 
-def write_blocked_index(index: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> BlockedIndex:
+def write_blocked_index(
+    index: DataFrame, path: str, block_rows: int = BLOCK_ROWS, stored: bool = False
+) -> BlockedIndex:
     """Save an index in about one block per ``block_rows`` chunks, ``MAX_BLOCKS`` at most, and reopen it.
 
-    The index is computed once and written, centres are fitted to a bounded sample, and every chunk goes to
-    the nearest. That is the one shuffle of the index. A block with more than ``FILE_ROWS`` chunks, as of
-    copies, is written by several tasks.
+    The index is computed once and written, unless it is ``stored``, a table that only needs to be read. Centres
+    are fitted to a bounded sample, and every chunk goes to the nearest, once. That is the one shuffle of the index.
+    A block that by the sample holds more than ``FILE_ROWS`` chunks, as of copies, is written by several tasks.
     """
     spark = index.sparkSession
     columns = [c if c in index.columns else F.lit(None).cast("string").alias(c) for c in INDEX_SCHEMA.names]
-    index = write_and_read(index.select(columns), f"{work_dir(spark)}/unblocked/{uuid.uuid4().hex}")
+    index = index.select(columns)
+    if not stored:
+        index = write_and_read(index, f"{work_dir(spark)}/unblocked/{uuid.uuid4().hex}")
     n = index.count()
-    centres = fit_centres(sample_vectors(index, n), min(MAX_BLOCKS, max(1, -(-n // block_rows))))
-    placed = placed_rows(index, centres)
-    parts = F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("parts")
-    parts = write_and_read(placed.groupBy("block").agg(parts), f"{work_dir(spark)}/block-parts/{uuid.uuid4().hex}")
-    part = F.expr("pmod(xxhash64(chunk_id), parts)")
-    n_files = parts.agg(F.coalesce(F.sum("parts"), F.lit(1))).first()[0]
-    placed = placed.join(F.broadcast(parts), "block").repartition(int(n_files), "block", part)
+    sample = sample_vectors(index, n)
+    centres = fit_centres(sample, min(MAX_BLOCKS, max(1, -(-n // block_rows))))
+    held = np.bincount(nearest(sample, centres), minlength=len(centres)) if len(sample) else np.ones(1)
+    # At most ``MAX_BLOCKS`` numbers.
+    parts = np.ceil(np.maximum(1, held * n / max(1, held.sum()) / FILE_ROWS)).astype(int).tolist()
+    part = F.pmod(F.xxhash64("chunk_id"), F.element_at(F.lit(parts), F.col("block") + 1))
+    placed = placed_rows(index, centres).repartition(sum(parts), "block", part)
     placed.select(ROWS_SCHEMA.names).write.mode("overwrite").partitionBy("block").parquet(path)
     rows = spark.read.schema(ROWS_SCHEMA).parquet(path)
     # Written last: it marks the index as complete.

@@ -151,3 +151,15 @@ def test_edges(spark, rows, tmp_path):
 def test_an_empty_index_has_no_hits(rows, tmp_path):
     index = write_blocked_index(rows([], INDEX), str(tmp_path / "index"))
     assert blocked_topk(asked_of(rows, clustered(2, 4, 1)), index, 3).count() == 0
+
+
+def test_a_stored_index_is_placed_once_and_not_written_again(spark, rows, tmp_path, monkeypatch):
+    from citesift.sources import block_store
+
+    vectors = clustered(80, 4, 3)
+    index_of(rows, vectors).write.parquet(str(tmp_path / "plain"))
+    written = []
+    monkeypatch.setattr(block_store, "write_and_read", lambda df, path: written.append(path))
+    index = write_blocked_index(spark.read.parquet(str(tmp_path / "plain")), str(tmp_path / "index"), 30, stored=True)
+    assert not written
+    assert found_by(blocked_topk(asked_of(rows, vectors[:4]), index, 5)) == brute_force(vectors[:4], vectors, 5)
