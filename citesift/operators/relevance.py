@@ -13,13 +13,15 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citesift.functions.text import bind, words
+from citesift.functions.text import words
 from citesift.session import work_dir, write_and_read
 
 ANCHOR_WORDS = 5
 # A run is tested against one bit; the filter has this many bits per run, 64 MB at most.
 BITS_PER_RUN = 16
 LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 29
+# 64-bit numbers in a row of the filter.
+PART_NUMBERS = 512
 # Bytes that are sent to every executor at most. A key is a row of fixed size.
 BROADCAST_BYTES = 64 << 20
 KEY_BYTES = 160
@@ -56,8 +58,7 @@ def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = A
     )
     passage_runs = write_and_read(passage_runs, f"{folder}/passage-runs")
 
-    placed = documents.select("doc_id", F.explode(bind(words(F.col("text")), _runs_of(lengths))).alias("r"))
-    placed = placed.select("doc_id", "r.start", "r.run")
+    placed = _runs_of(documents, lengths)
     placed = write_and_read(_maybe_in(placed, passage_runs), f"{folder}/document-runs")
 
     keys = write_and_read(_rarest(passage_runs, placed), f"{folder}/keys")
@@ -71,10 +72,12 @@ def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = A
     )
     places = write_and_read(places, f"{folder}/places")
     sent = places.agg(F.coalesce(F.sum(F.octet_length("doc_id") + KEY_BYTES), F.lit(0))).first()[0]
+    held = places.select("doc_id").distinct()
     if sent <= BROADCAST_BYTES:
-        places = F.broadcast(places)
+        places, held = F.broadcast(places), F.broadcast(held)
     found = (
-        documents.select("doc_id", words(F.col("text")).alias("w"))
+        documents.join(held, "doc_id", "left_semi")  # only their words are needed
+        .select("doc_id", words(F.col("text")).alias("w"))
         .join(places, "doc_id")
         .where(_digest(F.slice("w", F.col("start") + 1, F.col("length"))) == F.col("passage"))
         .select("doc_id", "passage")
@@ -83,45 +86,41 @@ def relevant_documents(queries: DataFrame, documents: DataFrame, anchor: int = A
     return found.join(asked.select("query_id", "passage"), "passage").select("query_id", "doc_id").distinct()
 
 
-def _runs_of(lengths: list[int]):
-    """The ``start`` and hash of all runs of the given lengths in a list of words."""
+def _runs_of(documents: DataFrame, lengths: list[int]) -> DataFrame:
+    """``doc_id, start, run``: all runs of the given lengths in the words of a document.
 
-    def runs(w: Column) -> Column:
-        def of_length(n: int) -> Column:
-            starts = F.sequence(F.lit(0), F.size(w) - n)
-            cut = F.transform(
-                starts,
-                lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice(w, i + 1, n)).alias("run")),
-            )
-            return F.when(F.size(w) >= n, cut).otherwise(F.array().cast("array<struct<start:int,run:bigint>>"))
-
-        return F.concat(*[of_length(n) for n in lengths])
-
-    return runs
+    Only places are made rows: the words stay a variable of the loop over them that Spark generates.
+    """
+    w, start, n = F.col("w"), F.col("start"), F.col("n")
+    starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))
+    sized = documents.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.explode(F.lit(lengths)).alias("n"))
+    placed = sized.select("doc_id", "w", "n", F.explode(starts).alias("start"))
+    return placed.select("doc_id", "start", F.xxhash64(F.slice(w, start + 1, n)).alias("run"))
 
 
 def _maybe_in(placed: DataFrame, passage_runs: DataFrame) -> DataFrame:
     """The rows whose run sets a bit of the passages' filter: all that match, and few others.
 
-    The filter is a table of bitmaps, broadcast whole: its size is fixed by ``bits``.
+    The filter is a table of bits in 64-bit numbers, broadcast whole: its size is fixed by ``bits``.
     """
     n = passage_runs.count()
     bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << (n * BITS_PER_RUN).bit_length()))
     place = F.pmod("run", F.lit(bits))
-    filled = (
-        passage_runs.select(place.alias("place"))
-        .select(F.bitmap_bucket_number("place").alias("_part"), F.bitmap_bit_position("place").alias("_bit"))
+    part, number = F.expr(f"_place div {64 * PART_NUMBERS}"), F.expr(f"cast(_place div 64 % {PART_NUMBERS} as int)")
+    numbers = (
+        passage_runs.select(place.alias("_place"))
+        .groupBy(part.alias("_part"), number.alias("at"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(_place % 64 as int)))").alias("x"))
         .groupBy("_part")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
     )
-    byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    every = F.sequence(F.lit(0), F.lit(PART_NUMBERS - 1))
+    filled = numbers.select("_part", F.transform(every, lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("_bits"))
     return (
         placed.withColumn("_place", place)
-        .withColumn("_part", F.bitmap_bucket_number("_place"))
-        .withColumn("_bit", F.bitmap_bit_position("_place"))
+        .withColumn("_part", part)
         .join(F.broadcast(filled), "_part")
-        .withColumn("_byte", byte)
-        .where(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1"))
+        .where(F.getbit(F.element_at("_bits", number + 1), F.expr("cast(_place % 64 as int)")) == 1)
         .select(*placed.columns)
     )
 

@@ -356,3 +356,20 @@ def test_candidates_of_a_query_without_tokens(rows, spark):
     queries = encoder.encode(rows([("q", "!!!")], "query_id string, query string"), "query")
     found = candidates(queries, index, 5, Bm25Scorer.from_stats(*corpus_stats(chunks))).collect()
     assert [(r.score, r.cross_encoder_score, r.lexical_overlap) for r in found] == [(0.0, 0.0, 0.0)] * 2
+
+
+def test_runs_are_rows_of_generated_code_and_the_filter_lets_all_of_them_through(rows):
+    documents = rows([("a", "one two\tthree one two"), ("b", "x"), ("c", ""), ("d", None), (None, "x y")], "doc_id string, text string")
+    runs = relevance._runs_of(documents, [1, 3])
+    expected = []
+    for d, text in [("a", "one two three one two"), ("b", "x"), (None, "x y")]:
+        w = text.split()
+        expected += [(d, i, " ".join(w[i : i + n])) for n in (1, 3) for i in range(len(w) - n + 1)]
+    named = rows([(r, r.split()) for r in {e[2] for e in expected}], "name string, w array<string>")
+    named = named.select("name", F.xxhash64("w").alias("run"))
+    found = [(r.doc_id, r.start, r.name) for r in runs.join(named, "run").collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr) and runs.count() == len(expected)
+    wanted = named.where("name in ('x', 'two three one')")
+    assert {r.run for r in wanted.collect()} <= {r.run for r in relevance._maybe_in(runs, wanted).collect()}
+    assert relevance._maybe_in(runs, wanted).count() < runs.count()
+    assert "transform(" not in runs._jdf.queryExecution().optimizedPlan().toString()
