@@ -98,9 +98,10 @@ class IdfEncoder(HashEncoder):
         """
         place = f"{work_dir(chunks.sparkSession)}/bucket-counts/{uuid.uuid4().hex}"
         counts = write_and_read(self.counted(chunks, text_col).drop(text_col), place)
-        found = counts.select(Summarizer.metrics("numNonZeros", "count").summary(F.col("_counts")).alias("s")).first()["s"]
-        held = [int(x) for x in found["numNonZeros"].toArray()] if found["count"] else [0] * self.dim
-        fitted = self._of(held, int(found["count"]))
+        n, held = counts.count(), [0] * self.dim
+        if n:  # there is no summary of no rows
+            held = counts.select(Summarizer.numNonZeros(F.col("_counts"))).first()[0].toArray().astype(int).tolist()
+        fitted = self._of(held, n)
         return fitted, fitted.scaled(counts, out_col)
 
     def weighed(self, counted: DataFrame) -> DataFrame:
