@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ WHITESPACE_CHARACTERS = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 TOKEN = "[a-z0-9]+"
+TOKEN_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 ID_HEX_DIGITS = 12
 
 
@@ -97,6 +99,17 @@ def token_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
+def lower_bytes(text: Column) -> Column:
+    """A text as ``tokens_of`` takes it: in lower case, as UTF-8."""
+    return F.lower(text).cast("binary")
+
+
+def tokens_of(texts: pa.Array) -> Iterator[list[bytes]]:
+    """``token_list`` of each text of an Arrow batch made by ``lower_bytes``; NULL has no tokens."""
+    for text in texts:
+        yield text.as_py().translate(TOKEN_BYTES).split() if text.is_valid else []
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(token_list(text))
 

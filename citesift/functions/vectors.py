@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from citesift.functions.text import bind, token_list
 
 HASH_HEX_DIGITS = 8
+# What a task remembers: so many tokens, none longer than this.
+REMEMBERED_TOKENS, REMEMBERED_LENGTH = 250_000, 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,3 +63,28 @@ def _hex_digits(dim: int) -> int:
         if dim == 16**j:
             return j
     return 0
+
+
+class TokenBuckets(dict):
+    """The bucket of ``token_buckets`` as a number, by token in UTF-8."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: bytes) -> int:
+        digest = md5(token, usedforsecurity=False).digest()
+        bucket = int.from_bytes(digest[: HASH_HEX_DIGITS // 2], "big") % self.dim
+        if len(token) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED_TOKENS:
+                self.clear()
+            self[token] = bucket
+        return bucket
+
+    def counts(self, texts: Iterable[list[bytes]]) -> np.ndarray:
+        """Tokens in each bucket, one row per text."""
+        rows = []
+        for tokens in texts:
+            found = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+            rows.append(np.bincount(found, minlength=self.dim))
+        return np.array(rows, np.float64).reshape(len(rows), self.dim)

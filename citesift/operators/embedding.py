@@ -10,15 +10,18 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark.ml.feature import ElementwiseProduct, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citesift.functions.vectors import bucket_labels, token_buckets
+from citesift.functions.text import lower_bytes, tokens_of
+from citesift.functions.vectors import TokenBuckets, bucket_labels, token_buckets
 from citesift.session import work_dir, write_and_read
 
 HASH_DIM = 256
@@ -33,37 +36,36 @@ class Encoder(Protocol):
 class HashEncoder:
     """Offline encoder: token counts in ``dim`` hash buckets, scaled to length 1.
 
-    Runs wholly inside the JVM: token buckets are built-in expressions, the counting is the
-    vocabulary lookup of ``CountVectorizerModel`` over the fixed bucket names. Stateless, so it
+    The counting runs in Arrow batches; a task hashes a token once and remembers its bucket. Stateless, so it
     also runs on streams. A NULL text has no tokens and gets the zero vector, as an empty one.
     """
 
     def __init__(self, dim: int = HASH_DIM):
         self.dim = dim
 
-    def weighed(self, counted: DataFrame) -> DataFrame:
-        """``_weights`` from the token counts ``_counts``."""
-        return counted.withColumn("_weights", F.col("_counts"))
+    def _counting(self, text_col: str, finish: Callable[[np.ndarray], np.ndarray], kind: str) -> Column:
+        """``finish`` of the counts of a batch, one row per text."""
+        dim = self.dim
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            buckets = TokenBuckets(dim)
+            for texts in batches:
+                values = finish(buckets.counts(tokens_of(texts)))
+                yield pa.ListArray.from_arrays(np.arange(0, values.size + 1, dim, dtype=np.int32), values.ravel())
+
+        return F.arrow_udf(run, kind).asNondeterministic()(lower_bytes(F.coalesce(text_col, F.lit(""))))
 
     def counted(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """``_counts``: the tokens of a text in each bucket."""
-        counts = CountVectorizerModel.from_vocabulary(
-            bucket_labels(self.dim), inputCol="_buckets", outputCol="_counts"
-        )
-        bucketed = df.withColumn("_buckets", token_buckets(F.coalesce(text_col, F.lit("")), self.dim))
-        return counts.transform(bucketed).drop("_buckets")
-
-    def scaled(self, counted: DataFrame, out_col: str = "embedding") -> DataFrame:
-        """The vectors of ``counted`` rows."""
-        unit = Normalizer(p=2.0, inputCol="_weights", outputCol="_unit")
-        return (
-            unit.transform(self.weighed(counted))
-            .withColumn(out_col, vector_to_array("_unit", "float32"))
-            .drop("_counts", "_weights", "_unit")
-        )
+        counts = self._counting(text_col, lambda found: found, "array<double>")
+        return df.withColumn("_counts", array_to_vector(counts))
 
     def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
-        return self.scaled(self.counted(df, text_col), out_col)
+        def unit(counts: np.ndarray) -> np.ndarray:
+            length = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+            return (counts / np.where(length == 0, 1.0, length)).astype(np.float32)
+
+        return df.withColumn(out_col, self._counting(text_col, unit, "array<float>"))
 
 
 class IdfEncoder(HashEncoder):
@@ -104,7 +106,20 @@ class IdfEncoder(HashEncoder):
         fitted = self._of(held, n)
         return fitted, fitted.scaled(counts, out_col)
 
+    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
+        return self.scaled(self.counted(df, text_col), out_col)
+
+    def scaled(self, counted: DataFrame, out_col: str = "embedding") -> DataFrame:
+        """The vectors of ``counted`` rows."""
+        unit = Normalizer(p=2.0, inputCol="_weights", outputCol="_unit")
+        return (
+            unit.transform(self.weighed(counted))
+            .withColumn(out_col, vector_to_array("_unit", "float32"))
+            .drop("_counts", "_weights", "_unit")
+        )
+
     def weighed(self, counted: DataFrame) -> DataFrame:
+        """``_weights`` from the token counts ``_counts``."""
         if self.rarity is None:
             raise ValueError("the encoder has no weights: fit it, or open the one saved with the index")
         weights = Vectors.dense(self.rarity)

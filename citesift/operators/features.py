@@ -7,14 +7,16 @@ holding ``query_id, query, text, text_tokens`` and the prepared columns.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citesift.functions.text import bind, overlap_of_sets, token_list, token_set
+from citesift.functions.text import bind, lower_bytes, overlap_of_sets, token_list, token_set, tokens_of
 
 # The order in which a model sees the features.
 FEATURES = ("dense_cosine", "cross_encoder_score", "lexical_overlap")
@@ -22,6 +24,8 @@ FEATURES = ("dense_cosine", "cross_encoder_score", "lexical_overlap")
 # The usual BM25 parameters.
 K1 = 1.2
 B = 0.75
+# Different tokens that a task counts before it passes them on.
+COUNTED_TOKENS = 250_000
 
 
 class PairScorer(Protocol):
@@ -34,10 +38,26 @@ def corpus_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What BM25 needs to know of a corpus: ``token, df`` and one row ``n_chunks, n_tokens``.
 
     Built once per index. Frequencies are counted map-side before the shuffle, so a token that is
-    in every chunk costs one row per task.
+    in every chunk costs one row per task, or per ``COUNTED_TOKENS`` different ones.
     """
-    tokens = chunks.select(F.explode(token_set(F.col("text"))).alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table() -> pa.RecordBatch:
+            # Tokens are ASCII.
+            names = pa.array(list(found), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(list(found.values()), pa.int64())], ["token", "df"])
+
+        found: Counter[bytes] = Counter()
+        for batch in batches:
+            for tokens in tokens_of(batch.column(0)):
+                found.update(set(tokens))
+                if len(found) >= COUNTED_TOKENS:
+                    yield table()
+                    found.clear()
+        yield table()
+
+    counted = chunks.select(lower_bytes(F.col("text"))).mapInArrow(count, "token string, df long")
+    frequency = counted.groupBy("token").agg(F.sum("df").alias("df"))
     size = chunks.agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.coalesce(F.sum(F.size(token_list(F.col("text")))), F.lit(0)).alias("n_tokens"),

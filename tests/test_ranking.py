@@ -11,6 +11,7 @@ from citesift.functions.text import token_list
 from citesift.operators import metrics as M
 from citesift.operators import relevance
 from citesift.operators.evaluation import candidates, evaluate_ranking
+from citesift.operators import features
 from citesift.operators.features import (
     BatchPairScorer,
     Bm25Scorer,
@@ -373,3 +374,13 @@ def test_runs_are_rows_of_generated_code_and_the_filter_lets_all_of_them_through
     assert {r.run for r in wanted.collect()} <= {r.run for r in relevance._maybe_in(runs, wanted).collect()}
     assert relevance._maybe_in(runs, wanted).count() < runs.count()
     assert "transform(" not in runs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frequencies_are_added_up_however_often_a_task_passes_them_on(rows, monkeypatch):
+    chunks = rows([("A b a",), (None,), ("b-c é",), ("",), ("c C b",)], "text string").coalesce(1)
+    wanted = {"a": 1, "b": 3, "c": 2}
+    for at_once in (1, 2, 100):
+        monkeypatch.setattr(features, "COUNTED_TOKENS", at_once)
+        frequency, size = corpus_stats(chunks)
+        assert {r.token: r.df for r in frequency.collect()} == wanted
+        assert tuple(size.first()) == (5, 8)

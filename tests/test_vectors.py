@@ -5,10 +5,13 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citesift.functions.vectors import dot, l2_normalize
+from citesift.functions import vectors
+from citesift.functions.text import lower_bytes, tokens_of
+from citesift.functions.vectors import TokenBuckets, bucket_labels, dot, l2_normalize, token_buckets
 from citesift.operators.embedding import BatchEncoder, HashEncoder, IdfEncoder, embed_chunks
 from citesift.operators.topk import attach_passages, dense_topk
 
@@ -210,3 +213,18 @@ def test_fit_encode_is_fit_then_encode_with_one_pass_over_the_text(rows, tmp_pat
         expected = apart.encode(some).select("chunk_id", "embedding")
         assert sorted(map(repr, vectors.collect())) == sorted(map(repr, expected.collect()))
         assert "md5" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_batch_hashes_a_token_once_and_buckets_are_those_of_the_expression(rows, monkeypatch):
+    texts = ["The the THE fox-1", None, "", "İx KK é9 " + "a" * 100, "fox " * 50]
+    df = rows([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    hashed = []
+    monkeypatch.setattr(vectors, "md5", lambda t, **how: hashed.append(t) or hashlib.md5(t, **how))
+    for dim in (7, 16, 256):
+        listed = df.orderBy("i").select(token_buckets(F.coalesce("text", F.lit("")), dim), lower_bytes(F.col("text")))
+        named, data = zip(*listed.collect())
+        labels = bucket_labels(dim)
+        hashed.clear()
+        found = TokenBuckets(dim).counts(tokens_of(pa.array(map(lambda d: d and bytes(d), data), pa.binary())))
+        assert found.tolist() == [[row.count(b) for b in labels] for row in named]
+        assert len(hashed) == len(set(hashed))
