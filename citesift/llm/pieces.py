@@ -14,8 +14,9 @@ Two kinds of models, told apart by the model file:
   and exactly one path to each boundary is left. Ids equal those of the SentencePiece library.
 
 A text is cut where no piece can lie across (before a space, around characters that only stand
-alone); those stretches, mostly words, and inside them the runs between two characters that no piece
-has side by side, are remembered per task, up to ``REMEMBERED`` each and ``REMEMBERED_BYTES`` of words and runs.
+alone, between a word and a sign that no piece has behind a letter); those stretches, mostly words, and inside
+them the runs between two characters that no piece has side by side, are remembered per task, up to ``REMEMBERED``
+and ``REMEMBERED_BYTES`` of them together.
 
 Spaces become the marker character and one is put in front; characters outside the vocabulary become
 their UTF-8 bytes. The marker character itself, if a text holds it, is written as bytes too, so
@@ -32,6 +33,8 @@ import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from operator import add
+from string import punctuation
 from typing import NamedTuple
 
 import numpy as np
@@ -174,6 +177,53 @@ class Merger:
         return found
 
 
+class Node(dict):
+    """A place of ``Endings``: the node after each character that was met here, and ``ending`` for ``state``."""
+
+    __slots__ = ("endings", "state", "ending")
+
+    def __init__(self, endings: Endings, state: str):
+        super().__init__()
+        self.endings, self.state = endings, state
+        ids = endings.ids
+        self.ending = [(ids[state[i:]], len(state) - i) for i in range(len(state)) if state[i:] in ids]
+
+    def __missing__(self, char: str) -> Node:
+        return self.endings.after(self, char)
+
+
+class Endings:
+    """Which pieces end at each place of a text, longest first: one lookup a character.
+
+    The state is the longest end of the text read so far that some piece begins with. Nodes are made when a text
+    first needs them; beyond ``REMEMBERED`` steps they are all forgotten.
+    """
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
+        self.begins = {p[:i] for p in ids for i in range(1, len(p) + 1)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.nodes: dict[str, Node] = {}
+        self.root, self.n_steps = Node(self, ""), 0
+
+    def after(self, node: Node, char: str) -> Node:
+        state = node.state + char
+        while state and state not in self.begins:
+            state = state[1:]
+        if not state:
+            return self.root
+        if self.n_steps >= REMEMBERED:
+            self.forget()
+        found = self.nodes.get(state)
+        if found is None:
+            found = self.nodes[state] = Node(self, state)
+        node[char] = found
+        self.n_steps += 1
+        return found
+
+
 class Stream:
     """Viterbi search over a text of any length, with the state of one window."""
 
@@ -181,27 +231,28 @@ class Stream:
         self.vocab = vocab
         self.merger = Merger(vocab.scores)
         self.lowest = min((s for s, _ in vocab.scores.values()), default=0.0) - UNKNOWN_PENALTY
-        # Every end of a piece, with the id if it is a piece: the walk to the left stops at None.
-        self.tails = {p[i:]: -1 for p in vocab.scores for i in range(len(p))}
-        self.tails.update(self.merger.ids)
+        self.endings = Endings(self.merger.ids)
 
     def search(self, text: str) -> Iterator[tuple[int, int, int]]:
         """``id, start, end`` of each piece as soon as it is certain; id -1 for unknown characters."""
-        tails, scores, merger = self.tails, self.vocab.scores, self.merger
+        scores, merger, node = self.vocab.scores, self.merger, self.endings.root
         follows, longest, merging = merger.follows, self.vocab.longest, self.vocab.algorithm == "bpe"
         nothing: dict[int, bool] = {}
         # State of the boundaries from ``base`` on: id of the last piece, its start, score of the path.
         base, last, back, total = 0, [-1], [0], [0.0]
         check = 2 * longest
         for end in range(1, len(text) + 1):
-            start, low = end - 1, max(base, end - longest)
+            start = end - 1
             best, come, score = -1, start, None
+            node = node[text[start]]
             if not merging and text[start] not in scores:
                 score = total[start - base] + self.lowest
-            while start >= low and (piece := tails.get(text[start:end])) is not None:
-                if piece < 0:
-                    pass
-                elif merging:
+            # Of equal sums the shortest piece is taken.
+            for piece, size in node.ending if merging else reversed(node.ending):
+                start = end - size
+                if start < base:
+                    continue
+                if merging:
                     left = last[start - base]
                     may = follows.get(left, nothing).get(piece)
                     if may is None:
@@ -214,7 +265,6 @@ class Stream:
                     now = total[start - base] + scores[text[start:end]][0]
                     if score is None or now > score:
                         best, come, score = piece, start, now
-                start -= 1
             last.append(best)
             back.append(come)
             total.append(score or 0.0)
@@ -231,26 +281,26 @@ class Stream:
         """``search`` for a text inside one window, where nothing is certain before the end."""
         if self.vocab.algorithm != "bpe":
             return list(self.search(text))
-        n, get, follows, nothing = len(text), self.tails.get, self.merger.follows, {}
-        last, back = [-1] * (n + 1), list(range(-1, n))
-        for end in range(1, n + 1):
-            start = end - 1
-            piece = get(text[start])
-            while piece is not None:
-                if piece >= 0:
-                    left = last[start]
-                    may = follows.get(left, nothing).get(piece)
-                    if may is None:
-                        before = text[back[start] : start] if left >= 0 else ""
-                        may = self.merger.checked(before, text[start:end])
-                    if may:
-                        last[end], back[end] = piece, start
-                        break
-                if not start:
+        node, follows, nothing = self.endings.root, self.merger.follows, {}
+        last, back = [-1], [-1]
+        # What is known to follow the last piece of the path to each boundary.
+        after = [follows.get(-1, nothing)]
+        for end, char in enumerate(text, 1):
+            node = node[char]
+            best, come = -1, end - 1
+            for piece, size in node.ending:
+                start = end - size
+                may = after[start].get(piece)
+                if may is None:
+                    before = text[back[start] : start] if last[start] >= 0 else ""
+                    may = self.merger.checked(before, text[start:end])
+                if may:
+                    best, come = piece, start
                     break
-                start -= 1
-                piece = get(text[start:end])
-        return self._path(n, 0, last, back)
+            last.append(best)
+            back.append(come)
+            after.append(follows.get(best, nothing))
+        return self._path(len(text), 0, last, back)
 
     @staticmethod
     def _common(ends: range, base: int, back: list[int]) -> int:
@@ -278,23 +328,26 @@ class Encoder(dict):
         super().__init__()
         self.vocab = vocab
         self.stream = Stream(vocab)
+        self.pairs = {p[i : i + 2] for p in vocab.scores for i in range(len(p) - 1)}
         if vocab.mark_leads:
             alone = {c for c in "\n\t\r" if not any(c in p for p in vocab.scores)}
             alone = re.escape("".join(sorted(alone)))
-            self.stretches = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone or MARK}]")
+            # A word is a stretch without the sign behind it, if no piece has a letter before that sign.
+            signs = {c for c in punctuation if not any(a.isalpha() and b == c for a, b in self.pairs)}
+            numerals = "".join(sorted({a for a, _ in self.pairs if a.isalnum() and not a.isalpha()}))
+            ahead = f"(?=[{re.escape(''.join(sorted(signs)))}])"
+            word = f"{MARK}*+[^\\W\\d_{numerals}]++{ahead}|" if signs else ""
+            self.stretches = re.compile(f"{word}{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone or MARK}]")
         else:
             self.stretches = re.compile("(?s).+")
         self.mark_ids = self.pack(self.spell(MARK))
-        self.pairs = {p[i : i + 2] for p in vocab.scores for i in range(len(p) - 1)}
-        self.runs: dict[str, bytes] = {}
         self.room = REMEMBERED_BYTES
 
     def _make_room(self, key: str, packed: bytes) -> None:
         """Forget all that is remembered when there is too much of it, in number or in bytes."""
         self.room -= ENTRY_BYTES + 4 * len(key) + len(packed)
-        if self.room < 0 or len(self) >= REMEMBERED or len(self.runs) >= REMEMBERED:
+        if self.room < 0 or len(self) >= REMEMBERED:
             self.clear()
-            self.runs.clear()
             self.room = REMEMBERED_BYTES
 
     @staticmethod
@@ -316,25 +369,17 @@ class Encoder(dict):
                 ids.extend(self.spell(text[start:end]))
         return ids
 
-    def _run(self, run: str) -> bytes:
-        """Ids of a run that may hold a piece across each of its places."""
-        packed = self.runs.get(run)
-        if packed is None:
-            packed = self.pack(self._ids(run))
-            self._make_room(run, packed)
-            self.runs[run] = packed
-        return packed
-
     def __missing__(self, stretch: str) -> bytes:
         if len(stretch) > LONG_STRETCH:
             return self.pack(self._ids(stretch))
-        pairs, found, start = self.pairs, [], 0
-        for i in range(1, len(stretch)):
-            if stretch[i - 1 : i + 1] not in pairs:  # no piece has these two side by side
-                found.append(self._run(stretch[start:i]))
-                start = i
-        found.append(self._run(stretch[start:]))
-        packed = b"".join(found)
+        pairs = self.pairs
+        # Where no piece has the two neighbours side by side.
+        cuts = [i for i, pair in enumerate(map(add, stretch, stretch[1:]), 1) if pair not in pairs]
+        if cuts:
+            bounds = zip([0, *cuts], [*cuts, len(stretch)])
+            packed = b"".join([self[stretch[lo:hi]] for lo, hi in bounds])
+        else:
+            packed = self.pack(self._ids(stretch))
         self._make_room(stretch, packed)
         self[stretch] = packed
         return packed
@@ -372,7 +417,6 @@ def _released(encoder: Encoder, results: Iterator[pa.Array]) -> Iterator[pa.Arra
         yield from results
     finally:
         encoder.clear()
-        encoder.runs.clear()
         encoder.room = REMEMBERED_BYTES
 
 

@@ -94,3 +94,20 @@ def test_kind_is_read_from_the_model_file():
     assert pieces.algorithm_of(b"") == "unigram"
     with pytest.raises(ValueError):
         pieces.algorithm_of(bytes([0x12, 2, 0x18, 3]))
+
+
+@given(st.sets(st.text(alphabet="abc", min_size=1, max_size=4), min_size=1), st.text(alphabet="abcd", max_size=30), st.integers(0, 9))
+def test_endings_are_all_pieces_that_end_at_a_place(found, text, steps):
+    ids = {p: i for i, p in enumerate(sorted(found))}
+    node = pieces.Endings(ids).root
+    node.endings.n_steps = pieces.REMEMBERED - steps
+    for end, char in enumerate(text, 1):
+        node = node[char]
+        assert node.ending == [(ids[text[i:end]], end - i) for i in range(end) if text[i:end] in ids]
+
+
+def test_a_word_is_remembered_once_whatever_sign_is_behind_it(model):
+    encoder = pieces.Encoder(pieces.load())
+    text = "station, station. station; ²station? x².5 a.b station_1 (station)"
+    assert encoder.encode(text).tolist() == model.encode(text)
+    assert [w for w in encoder if w.startswith("▁station")] == ["▁station"]
