@@ -51,6 +51,8 @@ N_FORM = 4
 SAMPLE_PER_DOMAIN = 1500
 EPOCHS, LEARNING_RATE, PENALTY = 60, 0.05, 1e-5
 GRAIN = 1000
+# Entries (a feature of a document) whose products are held at once while fitting.
+BLOCK_ENTRIES = 1 << 16
 # Totals and optimality are met to TOLERANCE; directions of M below RANK of the largest are taken as none.
 TOLERANCE, RANK, LEAST_EPS, MOST_STALLS = 1e-7, 1e-9, 1e-7, 10
 # Lengths of a step that are tried.
@@ -90,34 +92,56 @@ class Classifier(NamedTuple):
         return z / z.sum()
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int, float]], n_domains: int) -> Classifier:
-    """Full-batch Adam on the weighted log loss. Rows: buckets, weights, domain, importance."""
+class Sample(NamedTuple):
+    """Labelled documents in a row: ``at`` and ``value`` hold the features of all, from ``starts`` on those of each."""
+
+    at: np.ndarray
+    value: np.ndarray
+    starts: np.ndarray
+    domain: np.ndarray
+    importance: np.ndarray
+
+
+def blocks(starts: np.ndarray, end: int) -> list[tuple[slice, slice]]:
+    """Segments, and their entries, in blocks of about ``BLOCK_ENTRIES``; a segment is never cut."""
+    first = np.unique(np.append(np.searchsorted(starts, np.arange(0, end, BLOCK_ENTRIES)), len(starts)))
+    entry = np.append(starts, end)[first]
+    return [(slice(*s), slice(*e)) for s, e in zip(zip(first[:-1], first[1:]), zip(entry[:-1], entry[1:]))]
+
+
+def fit(sample: Sample, n_domains: int) -> Classifier:
+    """Full-batch Adam on the weighted log loss. Products of features are made block by block and not kept."""
     n_features = N_BUCKETS + N_FORM
     weights, bias = np.zeros((n_features, n_domains), np.float32), np.full(n_domains, 0.0)
-    if not rows:
+    at, value, starts, y, importance = sample
+    if not len(y):
         return Classifier(weights, bias)
-    y = np.array([r[2] for r in rows])
-    importance = np.array([r[3] for r in rows])
     importance = importance / importance.sum()
     shares = np.bincount(y, importance, n_domains)
     bias = np.log(np.maximum(shares, 1e-12))
     bias[shares == 0] = -1e9
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    at = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows])
+    # The same entries by feature: their rows and values, and where each feature begins.
     by_feature = np.argsort(at, kind="stable")
-    used, first = np.unique(at[by_feature], return_index=True)
-    starts = np.searchsorted(row, np.arange(len(rows)))
+    feature, value_of = at[by_feature], value[by_feature]
+    row_of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts, append=len(at)))[by_feature]
+    del by_feature
+    first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1]))
+    used = feature[first]
+    del feature
+    by_row, by_used = blocks(starts, len(at)), blocks(first, len(at))
     goal = np.eye(n_domains)[y]
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     mb, vb = np.zeros(n_domains), np.zeros(n_domains)
+    z = np.empty((len(y), n_domains))
     for step in range(1, EPOCHS + 1):
-        z = np.add.reduceat(weights[at] * value[:, None], starts) + bias
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        error = (z / z.sum(axis=1, keepdims=True) - goal) * importance[:, None]
+        for rows, e in by_row:
+            z[rows] = np.add.reduceat(weights[at[e]] * value[e, None].astype(float), starts[rows] - e.start) + bias
+        odds = np.exp(z - z.max(axis=1, keepdims=True))
+        error = (odds / odds.sum(axis=1, keepdims=True) - goal) * importance[:, None]
         gradient = PENALTY * weights
-        spread = (error[row] * value[:, None])[by_feature]
-        gradient[used] += np.add.reduceat(spread, first)
+        for features_, e in by_used:
+            spread = error[row_of[e]] * value_of[e, None]
+            gradient[used[features_]] += np.add.reduceat(spread, first[features_] - e.start)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         rate = LEARNING_RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         weights = (weights - rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
@@ -165,15 +189,18 @@ def fit_domains(
     rows = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "domain"])
     built = F.arrow_udf(_features, FEATURES_TYPE)("data")
     found = rows.select("doc_id", "domain", built.alias("f")).select("doc_id", "domain", "f.*")
-    found = found.orderBy("doc_id", "domain").toPandas()
-    drawn = found["domain"].value_counts()
-    return fit(
-        [
-            (np.asarray(a), np.asarray(w), domains.index(d), sizes[d] / drawn[d])
-            for a, w, d in zip(found["at"], found["weight"], found["domain"])
-        ],
-        len(domains),
-    )
+    return fit(drawn_sample(found.orderBy("doc_id", "domain"), domains, sizes), len(domains))
+
+
+def drawn_sample(found: DataFrame, domains: list[str], sizes: dict[str, int]) -> Sample:
+    """The rows ``doc_id, domain, at, weight`` on the driver: 8 bytes an entry, as Arrow and never as Python objects."""
+    table = found.select("domain", "at", "weight").toArrow().combine_chunks()
+    at, weight = (pa.concat_arrays(table[c].chunks or [pa.array([], table[c].type)]) for c in ("at", "weight"))
+    domain = np.array([domains.index(d) for d in table["domain"].to_pylist()], np.int64)
+    drawn = np.bincount(domain, minlength=len(domains))
+    importance = np.array([sizes[domains[d]] / drawn[d] for d in domain])
+    length = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return Sample(at.flatten().to_numpy(), weight.flatten().to_numpy(), np.cumsum(length) - length, domain, importance)
 
 
 def membership(docs: DataFrame, model: Classifier, text: str = "text") -> Column:

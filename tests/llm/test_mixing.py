@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,34 @@ def test_absent_and_tiny_domains(spark, case, goal):
     mine, brute = fit.reached - goal, reached - goal
     assert mine @ metric @ mine <= brute @ metric @ brute + 1e-5
     assert np.abs(fit.reached - reached).max() < 1e-5 or mine @ metric @ mine < brute @ metric @ brute
+
+
+def test_blocks_of_any_size_give_the_same_model(monkeypatch):
+    pick = np.random.default_rng(3)
+    length = pick.integers(1, 40, 50)
+    at = np.concatenate([np.sort(pick.choice(300, n, replace=False)) for n in length]).astype(np.int32)
+    sample = mixing.Sample(at, pick.random(len(at), np.float32), np.cumsum(length) - length, pick.integers(0, 3, 50), pick.random(50))
+    models = []
+    for entries in (1, 16, 1 << 20):
+        monkeypatch.setattr(mixing, "BLOCK_ENTRIES", entries)
+        models.append(mixing.fit(sample, 3))
+    assert np.abs(models[0].weights).max() > 0
+    for model in models[1:]:
+        assert (model.weights == models[0].weights).all() and (model.bias == models[0].bias).all()
+
+
+def test_the_driver_holds_few_bytes_for_each_entry_of_the_sample(docs, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "EPOCHS", 2)
+    pick = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(8000)]
+    data = [(i, " ".join(pick.choice(words, 1000, replace=False))) for i in range(300)]
+    table, known = docs(data), rows([(i, sorted(KINDS)[i % 3]) for i in range(300)], "doc_id long, domain string")
+    mixing.fit_domains(table.limit(3), known, sorted(KINDS))  # imports
+    tracemalloc.start()
+    try:
+        mixing.fit_domains(table, known, sorted(KINDS))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    entries = 300 * 900
+    assert peak < 40 * entries
