@@ -4,7 +4,9 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from citesift.operators import metrics as M
@@ -16,6 +18,7 @@ from citesift.operators.contracts import (
     vocabulary_drift,
 )
 from citesift.operators.guardrail import admitted, refused
+from citesift.operators.logistic import Fit, fit_jointly
 from citesift.operators.numbering import (
     hash_bucket,
     hash_digits,
@@ -34,6 +37,7 @@ from citesift.operators.routing import (
     pick_class,
     router_configs,
     train_router,
+    with_vector,
 )
 from citesift.sources.models import load_model, save_model
 
@@ -157,6 +161,62 @@ def test_trained_router_round_trip_and_holdout(rows, tmp_path):
     assert list(json.loads(report.listed)) == sorted(INTENTS)
 
 
+def noisy(rows, n_classes, n=240):
+    """Classes that overlap, a feature that never varies and one that rarely does."""
+    rng = random.Random(7)
+    data = []
+    for i in range(n):
+        label = min(int(rng.random() * n_classes * 1.4), n_classes - 1)
+        vector = [rng.gauss(1.0 if c == label else 0.0, 1.0) for c in range(3)] + [0.1, float(i % 7 == 0)]
+        data.append((float(label), vector, i % 3, 1.0, 0.5 + rng.random()))
+    return rows(data, "label double, embedding array<double>, fold int, even double, uneven double")
+
+
+@pytest.mark.parametrize("n_classes", [2, 3])
+def test_joint_fits_end_where_single_fits_end(rows, n_classes):
+    df = noisy(rows, n_classes).repartition(3).persist()
+    fits = [Fit(f, p, w) for f in range(3) for p, w in [(1e-4, "even"), (0.2, "uneven")]]
+    found, counts = fit_jointly(df, fits, n_classes, 1000, 1e-4)
+    counted = {(r.fit, r.label, r.prediction): r.n for r in counts.collect()}
+    expected = {}
+    for i, (fit, weights) in enumerate(zip(fits, found, strict=True)):
+        single = LogisticRegression(
+            maxIter=1000, tol=1e-4, regParam=fit.penalty, standardization=False, weightCol=fit.weight
+        ).fit(with_vector(df.where(F.col("fold") != fit.held_out)))
+        coefficients = single.coefficientMatrix.toArray()
+        assert weights[-len(coefficients) :, :-1] == pytest.approx(coefficients, abs=1e-6)
+        intercepts = weights[:, -1] - weights[:, -1].mean() if n_classes > 2 else weights[1:, -1]
+        assert intercepts == pytest.approx(single.interceptVector.toArray(), abs=1e-6)
+        scored = single.transform(with_vector(df.where(F.col("fold") == fit.held_out)))
+        for r in scored.groupBy("label", "prediction").count().collect():
+            expected[i, r["label"], r["prediction"]] = r["count"]
+    assert counted == expected
+
+
+def test_joint_fits_of_one_class_and_of_odd_vectors(rows):
+    schema = "label double, embedding array<float>, fold int, w double"
+    some = rows([(1.0, [float(i), 2.0], i % 2, 1.0) for i in range(6)], schema)
+    found, counts = fit_jointly(some, [Fit(0, 0.1, "w")], 3, 10, 1e-4)
+    assert list(np.isinf(found[0][:, -1])) == [False, True, False]
+    assert [tuple(r) for r in counts.collect()] == [(0, 1.0, 1.0, 3)]
+    with pytest.raises(ValueError, match="fold 0 is empty"):
+        fit_jointly(some.where("fold = 0"), [Fit(0, 0.1, "w")], 3, 10, 1e-4)
+    odd = rows([(float(i), [float("nan"), 2.0], i, 1.0) for i in range(2)], schema)
+    with pytest.raises(ValueError, match="NaN"):
+        fit_jointly(odd, [Fit(0, 0.1, "w")], 2, 10, 1e-4)
+
+
+def test_more_trials_do_not_read_the_rows_more_often(rows, spark):
+    df = labelled(rows)
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for trials in (1, 6):
+        spark.sparkContext.setJobGroup(f"trials-{trials}", "router trials")
+        train_router(df, trials=trials, parallelism=1)
+        jobs[trials] = len(tracker.getJobIdsForGroup(f"trials-{trials}"))
+    spark.sparkContext.setJobGroup("other", "other tests")
+    assert jobs[6] < 2 * jobs[1]
+
+
 def test_router_search_space():
     configs = router_configs(50)
     assert configs == router_configs(50)
