@@ -18,7 +18,8 @@ whole copies of a document do not make its lines boilerplate (near-dedup removes
 
 Work: one pass over the texts writes hashes and masked forms of their lines, and finds the leaves that recur; a
 second one, over these tables, collects the lines of such leaves, and everything after runs on these. Hot
-lines are folded map-side before anything is joined, and joins that are too large to broadcast are salted.
+lines are folded map-side before anything is joined. What a join broadcasts passes the driver and has a bound in
+bytes there; beyond it the join is a shuffle in which hot keys are salted.
 
 Defined cases: NULL texts stay NULL and empty ones empty; within one document a repeated line counts
 once, and all its occurrences go or stay together; a NULL id counts as larger than all others; rows
@@ -50,7 +51,13 @@ NOT_BLANK = r"[^ \t\r\f\x0B]"
 # A token with a digit, found from its start, so that long tokens take linear time.
 WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 SALTS = 16
+# Rows of one key from which on it is dealt to ``SALTS`` tasks.
+HOT_ROWS = 1_000
+# A broadcast passes the driver, which holds it as a hash table and once more in blocks, until its garbage is collected:
+# the bytes there of a row of hashes, and of a document's dropped lines (and 8 each), and the most that is sent at once.
 HASH_ROW = 48
+DROPPED_ROW = 160
+SENT_BYTES, SENT_DROPPED = 8 << 20, 24 << 20
 
 
 def spaced(line: Column) -> Column:
@@ -79,18 +86,24 @@ def _needed(n: Column, long_texts: int) -> Column:
 
 
 def _joined(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a table with hot keys to a stored one with unique keys: by broadcast, or salted if too large for it.
+    """Join a table with hot keys to a stored one with unique keys: by broadcast, or with hot keys salted if too large for it.
 
-    ``few`` holds hashes, numbers and at most two ids.
+    ``few`` holds hashes, numbers and at most two ids, and as ``n_rows`` about how many rows of ``many`` a key meets.
     """
-    n = few.count()
-    near = small(few, n, HASH_ROW)
-    if near is not few:
+    n, total = few.agg(F.count(F.lit(1)), F.sum("n_rows")).first()
+    keyed = few.drop("n_rows")
+    near = small(keyed, n, HASH_ROW, SENT_BYTES)
+    if near is not keyed:
         return many.join(near, on, how)
+    # Never more hot keys than may be broadcast. Salted copies must not be broadcast for their size on disk.
+    is_hot = F.col("n_rows") > max(HOT_ROWS, total * HASH_ROW // SENT_BYTES)
+    hot = F.broadcast(few.where(is_hot).select(*on, F.lit(True).alias("hot")))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = few.withColumn("salt", F.explode(salts)).drop("n_rows").hint("merge")
     # From the row itself, so that a task that is run again deals its rows alike.
     salt = F.pmod(F.xxhash64(*[column(c) for c in many.columns]), F.lit(SALTS)).cast("int")
-    copies = few.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return many.withColumn("salt", salt).join(copies, [*on, "salt"], how).drop("salt")
+    dealt = many.join(hot, on, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
+    return dealt.join(copies, [*on, "salt"], how).drop("salt")
 
 
 def _raw_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -142,10 +155,11 @@ def _cells(forms: DataFrame) -> DataFrame:
 
 def _templates(forms: DataFrame) -> DataFrame:
     """``form, group`` and the counts of the form: the templates that a form may belong to."""
-    counts = ["form", "n_texts", "low", "high", "first"]
+    counts = ["form", "n_texts", "n_rows", "low", "high", "first"]
     cells = _cells(forms)
     constant = cells.groupBy("leaf", "cell").agg(F.sum("n_texts").alias("n_cell"))
-    constant = stored(constant.where(F.col("n_cell") >= MIN_TEXTS).select("leaf", "cell"), "line-constants")
+    constant = constant.where(F.col("n_cell") >= MIN_TEXTS).select("leaf", "cell", F.col("n_cell").alias("n_rows"))
+    constant = stored(constant, "line-constants")
     matched = _joined(cells, constant, ["leaf", "cell"]).groupBy("leaf", "n", *counts)
     matched = matched.agg(F.expr("bit_xor(cell)").alias("constants"), F.count(F.lit(1)).alias("n_constant"))
     matched = matched.where(10 * F.col("n_constant") >= CONSTANT_TENTHS * F.col("n"))
@@ -156,19 +170,20 @@ def _templates(forms: DataFrame) -> DataFrame:
 
 
 def _recurring_forms(held: DataFrame) -> DataFrame:
-    """``form, low_first, high_first``: forms of recurring templates with the first documents of these."""
+    """``form, low_first, high_first, n_rows``: forms of recurring templates with the first documents of these."""
     lines = held.where(F.col("masked").isNotNull())
     keys = ["leaf", "form", "n", "masked"]
-    forms = lines.groupBy(*keys, "text_key").agg(F.min("doc").alias("first"))
+    forms = lines.groupBy(*keys, "text_key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n_rows"))
     forms = forms.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_texts"),
+        F.sum("n_rows").alias("n_rows"),
         F.min("text_key").alias("low"),
         F.max("text_key").alias("high"),
         F.min("first").alias("first"),
     )
     forms = stored(forms, "line-forms")
     words = F.size(F.filter(F.split("masked", " "), lambda t: t != FIELD))
-    alone = forms.where((F.col("n_texts") >= MIN_TEXTS) & (2 * words >= F.col("n"))).select("form", "first")
+    alone = forms.where((F.col("n_texts") >= MIN_TEXTS) & (2 * words >= F.col("n"))).select("form", "first", "n_rows")
 
     members = _templates(forms)
     # Two of a form's texts, or the fact that it has enough by itself, decide the support of its groups.
@@ -178,15 +193,22 @@ def _recurring_forms(held: DataFrame) -> DataFrame:
         (F.col("n_texts") >= MIN_TEXTS).alias("enough"),
         F.explode(F.array_distinct(F.array("low", "high"))).alias("text_key"),
     )
-    texts = texts.groupBy("group", "text_key").agg(F.min("first").alias("first"), F.max("enough").alias("enough"))
+    texts = texts.groupBy("group", "text_key").agg(
+        F.min("first").alias("first"), F.max("enough").alias("enough"), F.count(F.lit(1)).alias("n_rows")
+    )
     groups = texts.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"), F.max("enough").alias("enough"), F.min("first").alias("of_group")
+        F.count(F.lit(1)).alias("n"),
+        F.max("enough").alias("enough"),
+        F.min("first").alias("of_group"),
+        F.sum("n_rows").alias("n_rows"),
     )
-    groups = groups.where((F.col("n") >= MIN_TEXTS) | F.col("enough")).select("group", "of_group")
+    groups = groups.where((F.col("n") >= MIN_TEXTS) | F.col("enough")).select("group", "of_group", "n_rows")
     groups = stored(groups, "line-groups")
-    found = _joined(members, groups, ["group"]).select("form", F.col("of_group").alias("first"))
+    found = _joined(members, groups, ["group"]).select("form", F.col("of_group").alias("first"), "n_rows")
     found = found.unionByName(alone).groupBy("form")
-    return found.agg(F.min("first").alias("low_first"), F.max("first").alias("high_first"))
+    return found.agg(
+        F.min("first").alias("low_first"), F.max("first").alias("high_first"), F.max("n_rows").alias("n_rows")
+    )
 
 
 def recurring_lines(
@@ -194,15 +216,17 @@ def recurring_lines(
 ) -> DataFrame:
     """``doc, text_key, line_key``: lines to drop, as their literal key."""
     lines = stored(_parsed(docs, doc, text), "lines")
-    leaves = lines.groupBy("leaf", "n", "text_key").agg(F.lit(1).alias("one"))
-    leaves = leaves.groupBy("leaf", "n").agg(F.count("one").alias("leaf_texts"))
-    leaves = leaves.where(F.col("leaf_texts") >= _needed(F.col("n"), long_texts)).select("leaf")
+    leaves = lines.groupBy("leaf", "n", "text_key").agg(F.count(F.lit(1)).alias("n_rows"))
+    leaves = leaves.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("leaf_texts"), F.sum("n_rows").alias("n_rows"))
+    leaves = leaves.where(F.col("leaf_texts") >= _needed(F.col("n"), long_texts)).select("leaf", "n_rows")
     held = stored(_joined(lines, stored(leaves, "leaves"), ["leaf"]), "held-lines")
 
-    same = held.groupBy("literal", "n", "text_key").agg(F.min("doc").alias("first"))
-    same = same.groupBy("literal", "n").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"))
+    same = held.groupBy("literal", "n", "text_key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n_rows"))
+    same = same.groupBy("literal", "n").agg(
+        F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.sum("n_rows").alias("n_rows")
+    )
     same = same.where(F.col("texts") >= _needed(F.col("n"), long_texts))
-    same = stored(same.select("literal", "first", F.lit(True).alias("is_same")), "same-lines")
+    same = stored(same.select("literal", "first", "n_rows", F.lit(True).alias("is_same")), "same-lines")
     forms = _recurring_forms(held).withColumn("is_form", F.lit(True))
 
     rows = held.select("doc", "text_key", "literal", "form")
@@ -229,9 +253,11 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     same in ``LONG_TEXTS`` different texts, for every document but the first."""
     rows = _raw_lines(docs, doc, text).where(n_tokens(F.col("line")) >= LONG_TOKENS)
     rows = rows.select("doc", "text_key", F.xxhash64("line").alias("line_key"))
-    groups = rows.groupBy("line_key", "text_key").agg(F.min("doc").alias("first"))
-    groups = groups.groupBy("line_key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
-    groups = stored(groups.where(F.col("n") >= LONG_TEXTS).select("line_key", "first"), "repeated-lines")
+    groups = rows.groupBy("line_key", "text_key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n_rows"))
+    groups = groups.groupBy("line_key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.sum("n_rows").alias("n_rows")
+    )
+    groups = stored(groups.where(F.col("n") >= LONG_TEXTS).select("line_key", "first", "n_rows"), "repeated-lines")
     rows = _joined(rows, groups, ["line_key"]).where(~F.col("doc").eqNullSafe(F.col("first")))
     return rows.select("doc", "text_key", "line_key")
 
@@ -252,7 +278,7 @@ def _without(docs: DataFrame, lines: DataFrame, doc: str, text: str) -> DataFram
     dropped = dropped.select(
         F.col("doc").alias(f"{key}_doc"), F.col("text_key").alias(f"{key}_of"), F.col("gone").alias(gone)
     )
-    dropped = small(dropped, n_docs + (n_lines or 0) // 4, 40)
+    dropped = small(dropped.hint("merge"), n_docs + (n_lines or 0) * 8 // DROPPED_ROW, DROPPED_ROW, SENT_DROPPED)
     kept = F.filter(
         F.split(column(text), "\n"), lambda line: ~F.array_contains(F.col(gone), literal_key(line))
     )

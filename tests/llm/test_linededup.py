@@ -135,6 +135,42 @@ def test_joins_beyond_a_broadcast_give_the_same(docs, monkeypatch):
     assert texts(drop_recurring_lines(docs(data))) == {1: data[0][1], **{i: own(i) for i in range(2, 6)}}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_too_large_for_the_driver_are_not_broadcast(spark, docs, monkeypatch):
+    # Hash tables of several hundred thousand rows, which 32 MB of bare hashes allowed, weigh hundreds of MB on the driver.
+    n = 300_000
+    keys = F.xxhash64("id").alias("key")
+    few = linededup.stored(spark.range(n).select(keys, F.col("id").alias("first"), F.lit(1).alias("n_rows")), "few")
+    many = spark.range(10).select(keys, "id")
+    found = linededup._joined(many, few, ["key"])
+    assert "SortMergeJoin" in plan(found)
+    assert sorted(r["first"] for r in found.collect()) == list(range(10))
+
+    monkeypatch.setattr(linededup, "SENT_DROPPED", 0)
+    data = [(i, f"{own(i)}\nPrinted from site on day {i} by user{i}") for i in range(1, 6)]
+    cleaned = drop_recurring_lines(docs(data))
+    assert "SortMergeJoin" in plan(cleaned) and "BroadcastHashJoin" not in plan(cleaned)
+    assert texts(cleaned) == {1: data[0][1], **{i: own(i) for i in range(2, 6)}}
+
+
+def test_hot_keys_of_a_large_join_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SENT_BYTES", 4 * linededup.HASH_ROW)
+    monkeypatch.setattr(linededup, "HOT_ROWS", 10)
+    many = spark.range(1_000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("key"), "id")
+    few = spark.range(0, 1_000, 3).select(F.col("id").alias("key"), F.when(F.col("id") == 0, 900).otherwise(1).alias("n_rows"))
+    few = linededup.stored(few.withColumn("first", -F.col("key")), "few")
+    expected = [(i, 0 if i < 900 else -i if i % 3 == 0 else None) for i in range(1_000)]
+    left = linededup._joined(many, few, ["key"], "left")
+    assert plan(left).count("SortMergeJoin") == 1 and plan(left).count("BroadcastHashJoin") == 1
+    assert left.columns == ["key", "id", "first"]
+    assert sorted((r["id"], r["first"]) for r in left.collect()) == expected
+    inner = linededup._joined(many, few, ["key"])
+    assert sorted((r["id"], r["first"]) for r in inner.collect()) == [e for e in expected if e[1] is not None]
+
+
 def test_repeated_lines_of_edge_rows(docs):
     line = "ten words or more that two texts have just the same way"
     data = [(None, f"{own(1)}\n{line}"), (1, None), (2, ""), (3, line), (3, line), (4, f"{line}\n{own(2)}"), (5, "x " * 50_000)]
