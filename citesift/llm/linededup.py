@@ -54,10 +54,10 @@ SALTS = 16
 # Rows of one key from which on it is dealt to ``SALTS`` tasks.
 HOT_ROWS = 1_000
 # A broadcast passes the driver, which holds it as a hash table and once more in blocks, until its garbage is collected:
-# the bytes there of a row of hashes, and of a document's dropped lines (and 8 each), and the most that is sent at once.
-HASH_ROW = 48
-DROPPED_ROW = 160
-SENT_BYTES, SENT_DROPPED = 8 << 20, 24 << 20
+# the bytes there of a row of hashes, of a mere hash, and of a document's dropped lines (and 8 each), and the most that
+# is sent at once.
+HASH_ROW, KEY_ROW, DROPPED_ROW = 48, 24, 160
+SENT_BYTES, SENT_DROPPED = 16 << 20, 24 << 20
 
 
 def spaced(line: Column) -> Column:
@@ -92,7 +92,7 @@ def _joined(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner")
     """
     n, total = few.agg(F.count(F.lit(1)), F.sum("n_rows")).first()
     keyed = few.drop("n_rows")
-    near = small(keyed, n, HASH_ROW, SENT_BYTES)
+    near = small(keyed, n, KEY_ROW if keyed.columns == on else HASH_ROW, SENT_BYTES)
     if near is not keyed:
         return many.join(near, on, how)
     # Never more hot keys than may be broadcast. Salted copies must not be broadcast for their size on disk.
@@ -138,18 +138,18 @@ def _parsed(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def _cells(forms: DataFrame) -> DataFrame:
-    """One row per word of a masked form: ``place`` and ``cell``, the hash of place and word.
+    """One row per word of a masked form: ``place`` and ``cell``, the hash of leaf, place and word.
 
     ``others`` is the hash of all other cells of the form, ``fixed`` the number of its words.
     """
     parts = F.split("masked", " ")
-    cells = F.transform(parts, lambda t, i: F.xxhash64(i, t))
+    cells = F.transform(parts, lambda t, i: F.xxhash64("leaf", i, t))
     total = F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, c: s.bitwiseXOR(c))
     fixed = F.size(F.filter(parts, lambda t: t != FIELD))
     rows = forms.select("*", cells.alias("cells"), fixed.alias("fixed"))
     rows = rows.withColumn("total", total).drop("masked")
     rows = rows.select("*", F.posexplode("cells").alias("place", "cell")).drop("cells")
-    rows = rows.where(F.col("cell") != F.xxhash64("place", F.lit(FIELD)))
+    rows = rows.where(F.col("cell") != F.xxhash64("leaf", "place", F.lit(FIELD)))
     return rows.withColumn("others", F.col("total").bitwiseXOR(F.col("cell"))).drop("total")
 
 
@@ -157,10 +157,10 @@ def _templates(forms: DataFrame) -> DataFrame:
     """``form, group`` and the counts of the form: the templates that a form may belong to."""
     counts = ["form", "n_texts", "n_rows", "low", "high", "first"]
     cells = _cells(forms)
-    constant = cells.groupBy("leaf", "cell").agg(F.sum("n_texts").alias("n_cell"))
-    constant = constant.where(F.col("n_cell") >= MIN_TEXTS).select("leaf", "cell", F.col("n_cell").alias("n_rows"))
+    constant = cells.groupBy("cell").agg(F.sum("n_texts").alias("n_cell"))
+    constant = constant.where(F.col("n_cell") >= MIN_TEXTS).select("cell", F.col("n_cell").alias("n_rows"))
     constant = stored(constant, "line-constants")
-    matched = _joined(cells, constant, ["leaf", "cell"]).groupBy("leaf", "n", *counts)
+    matched = _joined(cells, constant, ["cell"]).groupBy("leaf", "n", *counts)
     matched = matched.agg(F.expr("bit_xor(cell)").alias("constants"), F.count(F.lit(1)).alias("n_constant"))
     matched = matched.where(10 * F.col("n_constant") >= CONSTANT_TENTHS * F.col("n"))
     general = matched.select(*counts, F.xxhash64("leaf", "constants").alias("group"))
